@@ -107,3 +107,11 @@ def all_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK,
     if drop_warmup:
         d = d.dropna(subset=[c for c in features if c in d.columns])
     return d
+
+
+def select_features(columns, exclude=("r", "open", "high", "low", "close", "volume")) -> list[str]:
+    """Schema-driven feature list: every indicator column except the return and OHLCV."""
+    keys = {"symbol", "day", "i"}
+    cols = [c for c in columns if c not in exclude and c not in keys and not c.startswith("_")]
+    known = [c for c in FEATURES if c in cols]
+    return known + [c for c in cols if c not in known]
