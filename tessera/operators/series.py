@@ -111,7 +111,8 @@ def running_many(df: DataFrame, key: str | Sequence[str], specs: Sequence[tuple[
     else:
         d = df if BLK in df.columns else with_block(df, i, block)
     w = Window.partitionBy(*keys, BLK).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
-    wp = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    # The carry window runs over the block-totals table (keys x blocks rows).
+    wp = (Window.partitionBy(*keys) if keys else Window).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     for n, (v, op, _) in enumerate(specs):
         d = d.withColumn(f"_in{n}", fns[op](v).over(w))
     tot = d.groupBy(*keys, BLK).agg(*[fns[op](v).alias(f"_bt{n}") for n, (v, op, _) in enumerate(specs)])

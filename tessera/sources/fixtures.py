@@ -100,3 +100,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.lit(0.1) + (t % 9) * 0.05, 6).alias("dropout"),
         F.round(F.lit(1e-6) * F.pow(F.lit(10.0), t % 4), 12).alias("weight_decay"),
     )
+
+
+def embedding_dim(spark: SparkSession, sf_dir: str) -> int:
+    """Vector length, read from one row (the scan stops after the first row)."""
+    return int(table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0])
