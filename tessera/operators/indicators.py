@@ -77,8 +77,13 @@ def bounded_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK
     return S.own_rows(d)
 
 
-def recursive_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK) -> DataFrame:
-    """RSI, MACD (+ signal, diff) and ATR via two block-scan rounds."""
+def recursive_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK,
+                         between=None) -> DataFrame:
+    """RSI, MACD (+ signal, diff) and ATR via two block-scan rounds.
+
+    ``between`` (optional) is applied to the intermediate table between the
+    rounds, e.g. to materialise it.
+    """
     a_rsi = 1.0 / RSI_WINDOW
     d = df.withColumn("_atr_x", F.when(F.col("i") == ATR_WINDOW - 1, F.col("_tr_seed"))
                       .otherwise(F.col("_tr")))
@@ -94,6 +99,8 @@ def recursive_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLO
           .withColumn("macd", F.col("_efast") - F.col("_eslow"))
           .withColumn("atr_14", F.coalesce(F.col("_atr"), F.lit(0.0))))
     d = d.withColumn("rsi_14", F.when(F.col("_edn").isNotNull() & F.col("_eup").isNotNull(), F.col("rsi_14")))
+    if between is not None:
+        d = between(d)
     d = S.ewm(d, key, [S.EwmSpec("macd", 2.0 / (MACD_SIGN + 1), "macd_signal", MACD_SLOW - 1, MACD_SIGN)],
               block=block)
     d = d.withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))

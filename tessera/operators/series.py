@@ -129,6 +129,21 @@ def running_many(df: DataFrame, key: str | Sequence[str], specs: Sequence[tuple[
     return d.drop(BLK) if bucket is not None else d
 
 
+def renumber(df: DataFrame, key: str | Sequence[str], keep: Column, i: str = "i",
+             block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Keep rows where ``keep`` holds and renumber positions contiguously.
+
+    new i = old i - (rows dropped at or before it): a running count with the
+    block scan, which reuses the current (key, block) partitioning instead of
+    numbering the panel again from scratch.
+    """
+    k = F.coalesce(keep, F.lit(False))
+    d = df.withColumn("_drop", (~k).cast("long")).withColumn("_keep", k)
+    d = running_many(d, key, [("_drop", "sum", "_dropped")], i=i, block=block)
+    return (d.filter(F.col("_keep")).withColumn(i, F.col(i) - F.col("_dropped"))
+             .drop("_drop", "_keep", "_dropped", BLK))
+
+
 def month_bucket(order: str = "day") -> Column:
     return F.trunc(F.col(order), "month")
 

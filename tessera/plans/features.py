@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as IND
 from ..operators import series as S
 from ..operators import samples as SMP
+from ..session import stage
 
 
 def returns_panel(bars: DataFrame, key: str = "symbol", block: int = S.DEFAULT_BLOCK) -> DataFrame:
@@ -25,21 +26,35 @@ def returns_panel(bars: DataFrame, key: str = "symbol", block: int = S.DEFAULT_B
 
 def joined_panel(bars: DataFrame, vol: DataFrame, key: str = "symbol",
                  block: int = S.DEFAULT_BLOCK) -> DataFrame:
-    """Returns inner-joined with the second market series on day, renumbered.
+    """Returns inner-joined with the second market series on day, renumbered 0..n-1.
 
-    ``vol`` has one row per day; AQE broadcasts it at run time when its
-    measured size is under the threshold, else the join stays sort-merge.
+    ``vol`` has one row per day.  It is left-joined (AQE broadcasts it at run
+    time when its measured size is under the threshold, else sort-merge) and
+    rows without a return or a value are dropped by ``series.renumber``,
+    which keeps the positions contiguous without a second numbering pass.
     """
-    r = returns_panel(bars, key, block).drop("i")
-    j = r.join(vol.dropna("any"), "day", "inner")
-    return S.with_position(j, key, "day")
+    d = S.with_position(bars.dropna("any"), key, "day")
+    d = IND.log_return(d, key, block=block)
+    d = d.join(vol.dropna("any"), "day", "left")
+    d = S.renumber(d, key, F.col("r").isNotNull() & F.col("vix_close").isNotNull(), block=block)
+    return stage(d, "joined-panel")
+
+
+def indicator_panel(bars: DataFrame, vol: DataFrame, key: str = "symbol",
+                    block: int = S.DEFAULT_BLOCK) -> DataFrame:
+    """All indicators on the joined panel, warm-up rows kept (nulls)."""
+    d = IND.bounded_indicators(joined_panel(bars, vol, key, block), key, block)
+    return IND.recursive_indicators(d, key, block, between=lambda x: stage(x, "ewm-round"))
 
 
 def feature_panel(bars: DataFrame, vol: DataFrame, key: str = "symbol",
                   block: int = S.DEFAULT_BLOCK) -> DataFrame:
-    """Indicators with the warm-up dropped, renumbered 0..n-1 per symbol."""
-    d = IND.all_indicators(joined_panel(bars, vol, key, block), key, block).drop("i")
-    return S.with_position(d, key, "day")
+    """Indicators with the warm-up dropped (any null feature), renumbered 0..n-1 per symbol."""
+    d = indicator_panel(bars, vol, key, block)
+    keep = F.lit(True)
+    for c in IND.FEATURES:
+        keep = keep & F.col(c).isNotNull()
+    return stage(S.renumber(d, key, keep, block=block), "feature-panel")
 
 
 def preds(bars: DataFrame, key: str = "symbol", block: int = S.DEFAULT_BLOCK) -> DataFrame:

@@ -93,7 +93,7 @@ def q_ewm(spark, sf):
 
 
 def _joined_indicators(spark, sf):
-    return IND.all_indicators(FT.joined_panel(_bars(spark, sf), FX.vol_index(spark, sf)), drop_warmup=False)
+    return FT.indicator_panel(_bars(spark, sf), FX.vol_index(spark, sf)).drop("_blk")
 
 
 @register("rsi", R(sql("SELECT symbol, day, rsi_14 FROM ind", "ind"), "rsi_14"))

@@ -63,3 +63,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the checkpoint folder for staged outputs."""
     import uuid
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df, name: str = "stage"):
+    """Write ``df`` as parquet under the checkpoint folder and read it back.
+
+    Cuts the lineage where a plan joins a table with an aggregate of itself
+    (two-level scans), so later steps do not recompute it, and survives
+    executor loss (the files are on shared storage, unlike a local
+    checkpoint).  The read-back table carries real size statistics for AQE.
+    Disabled with ``spark.conf.set("tessera.stage", "false")``.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("tessera.stage", "true") != "true":
+        return df
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
