@@ -89,7 +89,9 @@ def static_roles(i: Column, n: Column, train: float = 0.70, val: float = 0.85, o
 def assign(samples: DataFrame, folds: DataFrame, keys: Sequence[str], i: str = "i") -> DataFrame:
     """Samples x fold ranges on the key with ``lo <= i < hi`` (each sample meets
     at most one range per fold and role)."""
-    f = folds.withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi")
-    cond = [samples[k] == f[k] for k in keys] + [samples[i] >= f["_lo"], samples[i] < f["_hi"]]
+    rest = [c for c in folds.columns if c not in keys and c not in ("lo", "hi")]
+    f = folds.select(*[F.col(k).alias(f"_fk_{k}") for k in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
+                     *rest)
+    cond = [F.col(k) == F.col(f"_fk_{k}") for k in keys] + [F.col(i) >= F.col("_lo"), F.col(i) < F.col("_hi")]
     j = samples.join(f, cond, "inner")
-    return j.select(samples["*"], *[c for c in f.columns if c not in keys and c not in ("_lo", "_hi")])
+    return j.select(*samples.columns, *rest)

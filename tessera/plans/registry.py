@@ -57,7 +57,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-def R(body: str, *cols: str, digits: int = DIGITS, sig: tuple[str, ...] = ()) -> str:
+def R(body: str, *cols: str, digits: int = DIGITS, sig: tuple[str, ...] = (), sig_digits: int = 10) -> str:
     """DuckDB: round the named double columns of ``body`` (``sig``: to 10 significant digits)."""
     if not cols and not sig:
         return body
@@ -66,7 +66,8 @@ def R(body: str, *cols: str, digits: int = DIGITS, sig: tuple[str, ...] = ()) ->
         x = f"CAST({c} AS DOUBLE)"
         e = f"floor(log10(abs({x})))"
         rep.append(f"""CASE WHEN {x} = 0 THEN 0.0 WHEN {e} >= 0
-  THEN round({x} / pow(10.0, {e}), 9) * pow(10.0, {e}) ELSE round({x} * pow(10.0, -{e}), 9) / pow(10.0, -{e}) END + 0.0 AS {c}""")
+  THEN round({x} / pow(10.0, {e}), {sig_digits - 1}) * pow(10.0, {e})
+  ELSE round({x} * pow(10.0, -{e}), {sig_digits - 1}) / pow(10.0, -{e}) END + 0.0 AS {c}""")
     return f"SELECT * REPLACE ({', '.join(rep)}) FROM ({body}) _r"
 
 
