@@ -186,3 +186,14 @@ def q_day_texts(spark, sf):
     g = capped.groupBy("day").agg(F.collect_list("headline").alias("texts"))
     return g.select("day", F.size("texts").cast("long").alias("n_texts"),
                     F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+@register("encode_text")
+def q_encode_text(spark, sf):
+    """Default hashing encoder in mapInPandas on the corpus texts, then daily means (rows-only)."""
+    from ..functions import text as TX
+    from ..functions.udf import encode_text
+    dim = FX.embedding_dim(spark, sf)
+    d = news_dedup(spark, sf).select("row_no", "day", TX.news_text().alias("text"))
+    vec = E.daily_mean(encode_text(d, dim=dim).select("day", "emb"))
+    return rounded(vec.select("day", "n_news", E.vector_sum().alias("emb_sum"), E.l2_norm().alias("emb_norm")))

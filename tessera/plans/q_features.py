@@ -218,3 +218,15 @@ def q_running_drawdown(spark, sf):
     d = S.running_product(p, "symbol", "_f", "curve", i="i")
     d = S.running(d, "symbol", "curve", "max", "peak", i="i")
     return rounded(d.select("symbol", "day", (F.col("curve") / F.col("peak") - 1).alias("drawdown")))
+
+
+@register("score_fn")
+def q_score_fn(spark, sf):
+    """A numpy scorer over stacked 30-day windows, per Arrow batch (rows-only)."""
+    from ..functions.udf import score_windows
+    s = FT.samples(_bars(spark, sf), FX.vol_index(spark, sf), lookback=30)
+
+    def rsi_tilt(x):   # (b, L, f): mean RSI of the window, centred and scaled
+        return (x[:, :, 1].mean(axis=1) - 50.0) / 50.0
+
+    return rounded(score_windows(s, rsi_tilt).select("symbol", "day", "y_t1", "y_pred"))
