@@ -76,16 +76,42 @@ def trial_records(trials: DataFrame, trial: str = "trial", loss: str = "loss",
         F.when(finite, F.avg(loss)).alias("mean_loss"), F.when(finite, se).alias("se"), k.alias("k"))
 
 
-def select_one_se(records: DataFrame, parsimony: Sequence[Column], trial: str = "trial") -> DataFrame:
+def select_one_se(records: DataFrame, parsimony: Sequence[Column], trial: str = "trial",
+                  keys: Sequence[str] = ()) -> DataFrame:
     """Trials within one SE of the best mean; the simplest by ``parsimony`` (then trial id).
 
-    Empty when no trial has a finite mean (``enforce_selection`` raises then).
+    Per group of ``keys`` (e.g. symbol, outer fold); a group without any finite
+    mean selects nothing (``enforce_selection`` raises then).
     """
+    keys = list(keys)
     valid = records.filter(F.col("mean_loss").isNotNull())
-    best = valid.agg(F.min_by(F.struct("mean_loss", "se"), F.struct(F.col("mean_loss"), F.col(trial))).alias("_b"))
-    cand = valid.crossJoin(F.broadcast(best)).filter(F.col("mean_loss") <= F.col("_b.mean_loss") + F.col("_b.se"))
-    pick = cand.agg(F.min_by(F.col(trial), F.struct(*parsimony, F.col(trial))).alias("_t"))
-    return records.join(F.broadcast(pick), records[trial] == pick["_t"], "inner").drop("_t")
+    best = valid.groupBy(*keys).agg(
+        F.min_by(F.struct("mean_loss", "se"), F.struct(F.col("mean_loss"), F.col(trial))).alias("_b"))
+    cand = (valid.join(best, keys, "inner") if keys else valid.crossJoin(F.broadcast(best)))
+    cand = cand.filter(F.col("mean_loss") <= F.col("_b.mean_loss") + F.col("_b.se"))
+    pick = cand.groupBy(*keys).agg(F.min_by(F.col(trial), F.struct(*parsimony, F.col(trial))).alias("_t"))
+    pick = pick.select(*[F.col(k).alias(f"_pk_{k}") for k in keys], "_t")
+    cond = [F.col(k) == F.col(f"_pk_{k}") for k in keys] + [F.col(trial) == F.col("_t")]
+    out = records.join(F.broadcast(pick) if not keys else pick, cond, "inner")
+    return out.drop("_t", *[f"_pk_{k}" for k in keys])
+
+
+def evaluate_with(trials: DataFrame, folds: DataFrame, fn, schema_extra: str = "loss double") -> DataFrame:
+    """Injected evaluator: ``fn(pandas trials x folds batch) -> Series of losses``, run on the
+    (trial x fold) frame in Arrow batches; a batch that raises yields null losses."""
+    frame = trials.crossJoin(F.broadcast(folds)) if folds is not None else trials
+    from pyspark.sql import types as T
+    out_schema = T.StructType(frame.schema.fields + [T.StructField("loss", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            try:
+                pdf["loss"] = np.asarray(fn(pdf), dtype=float)
+            except Exception:          # a failing evaluation must not abort the search
+                pdf["loss"] = np.nan
+            yield pdf
+
+    return frame.mapInPandas(run, out_schema)
 
 
 def enforce_selection(selected: DataFrame) -> dict:

@@ -197,3 +197,22 @@ def q_encode_text(spark, sf):
     d = news_dedup(spark, sf).select("row_no", "day", TX.news_text().alias("text"))
     vec = E.daily_mean(encode_text(d, dim=dim).select("day", "emb"))
     return rounded(vec.select("day", "n_news", E.vector_sum().alias("emb_sum"), E.l2_norm().alias("emb_norm")))
+
+
+@register("return_paths_aligned", R(sql("""SELECT p.symbol, p.start_day, p.path_sum, ds.day IS NOT NULL AS matched,
+  coalesce(ds.emb_sum, 0.0) AS cond_sum
+FROM (SELECT symbol, day AS start_day, sum(r) OVER w AS path_sum, count(*) OVER wa AS na FROM rets
+      WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING),
+             wa AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)) p
+LEFT JOIN dsum ds ON ds.day = p.start_day WHERE p.na = 20""", "rets", "dsum"), "path_sum", "cond_sum"))
+def q_paths_aligned(spark, sf):
+    """20-day return paths over all bars, conditioned on the vector of the start day (zeros if none):
+    the key join replaces the positional offset."""
+    from ..operators import samples as SMP
+    dim = FX.embedding_dim(spark, sf)
+    paths = SMP.return_paths(FT.returns_panel(_bars(spark, sf)), 20).withColumnRenamed("start_day", "day")
+    vec = E.daily_mean(news_vectors(spark, sf).select("day", "emb"))
+    j = E.join_daily_embedding(paths, vec, dim)
+    return rounded(j.select("symbol", F.col("day").alias("start_day"),
+                            F.aggregate("path", F.lit(0.0), lambda a, x: a + x).alias("path_sum"), "matched",
+                            E.vector_sum().alias("cond_sum")))

@@ -379,3 +379,19 @@ def q_dm_p(spark, sf):
     from ..functions.probability import t_cdf
     d = dm_table(spark, sf)
     return rounded(d.withColumn("p_value", t_cdf(F.col("stat"), (F.col("n") - 1).cast("double"))))
+
+
+@register("naive_up", R(sql(f"""SELECT a.*, d.max_drawdown FROM (
+  SELECT horizon, symbol, avg(y_true) / (stddev_pop(y_true) + 1e-8) * sqrt(252) AS sharpe,
+    avg(CASE WHEN y_true > 0 THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n
+  FROM preds WHERE model = 'zero' GROUP BY horizon, symbol) a
+JOIN ({_dd_sql('y_true', "(SELECT * FROM preds WHERE model = 'zero')", 'horizon, symbol')}) d USING (horizon, symbol)""",
+                            "preds"), "sharpe", "accuracy", "max_drawdown", digits=5))
+def q_naive_up(spark, sf):
+    """Always-up baseline: continuous signal of a constant 1 (= buy & hold) and its hit rate."""
+    d = preds(spark, sf).filter(F.col("model") == "zero").withColumn("_one", F.lit(1.0))
+    bt = M.proba_backtest(d, ["horizon", "symbol"], "_one", mode="continuous").select("horizon", "symbol", "sharpe",
+                                                                                      "max_drawdown")
+    acc = d.groupBy("horizon", "symbol").agg(F.avg(M.direction_label().cast("double")).alias("accuracy"),
+                                            F.count(F.lit(1)).alias("n"))
+    return rounded(bt.join(acc, ["horizon", "symbol"]), 5)

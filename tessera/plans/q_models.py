@@ -271,3 +271,79 @@ def q_classifier(spark, sf):
     p = m.transform(va.transform(test))
     return rounded(p.groupBy("symbol").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
                                            F.count(F.lit(1)).alias("n")))
+
+
+@register("evaluate_fn", R(sql(f"""SELECT symbol, trial, CAST(fold AS INTEGER) AS fold,
+  1 + (0.1 + {_U.format(n='dropout')} * 0.4) + [64, 128, 256][CAST(floor({_U.format(n='hidden_size')} * 3) AS INTEGER) + 1] / 1000.0
+    + 0.01 * (fold - 1) AS loss
+FROM (SELECT DISTINCT symbol FROM bars), (SELECT unnest(range(0, 40)) AS trial), (SELECT unnest(range(0, 3)) AS fold)""",
+                                   "bars"), "loss"))
+def q_evaluate_fn(spark, sf):
+    """Any evaluator injected into the search: here the synthetic one of the reference tests
+    (1 + dropout + hidden / 1000, +-0.01 by fold) over every symbol's 40 trials x 3 folds."""
+    trials = SR.sample_trials(spark, 40, SR.REFERENCE_SPACE, seed=42, keys=_symbols(spark, sf), key="symbol")
+    folds = spark.range(3).select(F.col("id").cast("int").alias("fold"))
+
+    def synthetic(pdf):
+        return 1 + pdf["dropout"] + pdf["hidden_size"] / 1000.0 + 0.01 * (pdf["fold"] - 1)
+
+    r = SR.evaluate_with(trials, folds, synthetic)
+    return rounded(r.select("symbol", "trial", "fold", "loss"))
+
+
+def _nested_folds(pre):
+    """Outer and inner walk-forward folds of [0, n) as one wide table with string fold ids."""
+    nest = SP.nested(SP.counts(pre, ["symbol"]), ["symbol"])
+    fid = F.concat(F.col("outer_fold").cast("string"), F.lit("."), F.coalesce(F.col("inner_fold").cast("string"), F.lit("-")))
+    w = nest.withColumn("fold", fid)
+    return (w.groupBy("symbol", "fold", "outer_fold", "inner_fold")
+             .agg(F.max(F.when(F.col("role") == "train", F.col("lo"))).alias("train_lo"),
+                  F.max(F.when(F.col("role") == "train", F.col("hi"))).alias("train_hi"),
+                  F.max(F.when(F.col("role") == "val", F.col("lo"))).alias("val_lo"),
+                  F.max(F.when(F.col("role") == "val", F.col("hi"))).alias("val_hi")))
+
+
+def _pre_test(spark, sf):
+    des = design(spark, sf)
+    geo = test_geometry(des)
+    return des.join(geo.select("symbol", "test_start"), "symbol").filter(F.col("j") < F.col("test_start"))
+
+
+@register("nested_search")
+def q_nested_search(spark, sf):
+    """Per symbol and outer fold: 40 ridge trials on the 3 inner folds, one-SE choice (larger
+    alpha = simpler), chosen trial scored on the outer validation block; all from segment sums."""
+    pre = _pre_test(spark, sf)
+    folds = _nested_folds(pre)
+    sums = MD.segment_sums(pre, folds.drop("outer_fold", "inner_fold"), ["symbol"], XCOLS, YCOLS)
+    trials = SR.sample_trials(spark, 40, SR.RIDGE_SPACE, seed=42).toPandas()   # small trial table
+    losses = SR.ridge_trial_losses(sums, folds.select("symbol", "fold", "train_lo", "train_hi", "val_lo", "val_hi"),
+                                   ["symbol"], trials, len(XCOLS))
+    meta = folds.select("symbol", "fold", "outer_fold", "inner_fold")
+    l = losses.join(meta, ["symbol", "fold"])
+    inner = l.filter(F.col("inner_fold").isNotNull())
+    recs = SR.trial_records(inner, params=["symbol", "outer_fold"])
+    tr = spark.createDataFrame(trials[["trial", "alpha"]])
+    recs = recs.join(F.broadcast(tr), "trial")
+    chosen = SR.select_one_se(recs, [-F.col("alpha")], keys=["symbol", "outer_fold"])
+    outer = l.filter(F.col("inner_fold").isNull()).select("symbol", "outer_fold", "trial", F.col("loss").alias("outer_loss"))
+    res = chosen.join(outer, ["symbol", "outer_fold", "trial"], "inner")
+    return rounded(res.select("symbol", "outer_fold", "trial", "alpha", "mean_loss", "se", "outer_loss"))
+
+
+@register("final_search")
+def q_final_search(spark, sf):
+    """Search on [0, test_start) (3 inner folds), one-SE winner per symbol; all trials and the
+    winners are written as reports, the winners returned."""
+    from ..sources import sinks as SK
+    pre = _pre_test(spark, sf)
+    folds = SP.walk_forward(SP.counts(pre, ["symbol"]), ["symbol"], n_splits=3).withColumn("fold", F.col("fold").cast("int"))
+    sums = MD.segment_sums(pre, folds, ["symbol"], XCOLS, YCOLS)
+    trials = SR.sample_trials(spark, 40, SR.RIDGE_SPACE, seed=42).toPandas()
+    losses = SR.ridge_trial_losses(sums, folds, ["symbol"], trials, len(XCOLS))
+    recs = SR.trial_records(losses, params=["symbol"]).join(F.broadcast(spark.createDataFrame(trials)), "trial")
+    recs = stage(recs, "final-search-trials")
+    win = SR.select_one_se(recs, [-F.col("alpha")], keys=["symbol"])
+    SK.sink_report(recs, scratch_path(spark, "search-trials"))
+    SK.sink_report(win, scratch_path(spark, "search-winners"))
+    return rounded(win.select("symbol", "trial", "alpha", "w_t1", "w_t5", "mean_loss", "se", "k"))
