@@ -201,3 +201,14 @@ def q_compare(spark, sf):
     fu = ST.stylized_facts(u, ["symbol"]).select("symbol", F.col("volatility_clustering").alias("real_vol_clustering"))
     fv = ST.stylized_facts(v, ["symbol"]).select("symbol", F.col("volatility_clustering").alias("other_vol_clustering"))
     return rounded(w.join(fu, "symbol").join(fv, "symbol"))
+
+
+@register("adf_test")
+def q_adf(spark, sf):
+    """ADF (constant, AIC lag) of the returns and of the close per symbol; verdict at 5 %."""
+    from ..operators import adf as ADF
+    r = rets(spark, sf)
+    a = ADF.adf(r, ["symbol"], "r").withColumn("series", F.lit("r"))
+    c = ADF.adf(r, ["symbol"], "close").withColumn("series", F.lit("close"))
+    out = a.unionByName(c).withColumn("stationary", F.col("p_value") < 0.05)
+    return rounded(out)

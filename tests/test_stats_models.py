@@ -75,3 +75,51 @@ def test_ridge_from_sums_equals_direct(spark):
     assert np.allclose(c.b, b, rtol=1e-8) and c.a == pytest.approx(a, rel=1e-8)
     pred = a + X[200:] @ b
     assert c.val_mse == pytest.approx(np.mean((y[200:] - pred) ** 2), rel=1e-8)
+
+
+def _adf_direct(x):
+    """Direct ADF with constant and AIC lag choice (explicit design matrices)."""
+    import math
+    from tessera.operators.adf import default_maxlag, mackinnon_p
+    n = len(x)
+    m = default_maxlag(n)
+    dx = np.diff(x)
+
+    def design(lag, start):
+        rows = range(start, n)        # positions t with y = dx[t-1]
+        Z = np.array([[1.0, x[t - 1]] + [dx[t - 1 - j] for j in range(1, lag + 1)] for t in rows])
+        y = np.array([dx[t - 1] for t in rows])
+        return Z, y
+
+    best = None
+    for lag in range(m + 1):
+        Z, y = design(lag, m + 1)
+        beta, *_ = np.linalg.lstsq(Z, y, rcond=None)
+        ssr = float(np.sum((y - Z @ beta) ** 2))
+        nobs = len(y)
+        aic = -2 * (-nobs / 2 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)) + 2 * (lag + 2)
+        if best is None or (aic, lag) < best:
+            best = (aic, lag)
+    lag = best[1]
+    Z, y = design(lag, lag + 1)
+    beta, *_ = np.linalg.lstsq(Z, y, rcond=None)
+    res = y - Z @ beta
+    s2 = res @ res / (len(y) - Z.shape[1])
+    se = math.sqrt(s2 * np.linalg.inv(Z.T @ Z)[1, 1])
+    stat = beta[1] / se
+    return stat, lag, len(y), mackinnon_p(stat)
+
+
+@pytest.mark.parametrize("kind", ["stationary", "random_walk"])
+def test_adf_matches_direct(spark, kind):
+    from tessera.operators.adf import adf
+    rng = np.random.default_rng(11)
+    e = rng.normal(size=600)
+    x = e if kind == "stationary" else np.cumsum(e) + 50
+    df = spark.createDataFrame(pd.DataFrame({"g": "A", "i": np.arange(600), "x": x}))
+    got = adf(df, ["g"], "x", block=128).collect()[0]
+    stat, lag, nobs, p = _adf_direct(x)
+    assert got.used_lag == lag and got.nobs == nobs
+    assert got.stat == pytest.approx(stat, rel=1e-7)
+    assert got.p_value == pytest.approx(p, rel=1e-6)
+    assert (got.p_value < 0.05) == (kind == "stationary")
