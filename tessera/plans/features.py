@@ -79,10 +79,11 @@ def preds(bars: DataFrame, key: str = "symbol", block: int = S.DEFAULT_BLOCK) ->
     horizons = F.array(
         F.struct(F.lit(1).alias("horizon"), F.col("_y1").alias("y_true")),
         F.struct(F.lit(5).alias("horizon"), F.col("_y5").alias("y_true")))
-    return (d.select(key, "day", F.explode(models).alias("m"), horizons.alias("hs"))
-             .select("m.model", F.explode("hs").alias("h"), key, "day", "m.y_pred")
-             .select("model", "h.horizon", key, "day", "h.y_true", "y_pred")
-             .filter(F.col("y_true").isNotNull()))
+    out = (d.select(key, "day", F.explode(models).alias("m"), horizons.alias("hs"))
+              .select("m.model", F.explode("hs").alias("h"), key, "day", "m.y_pred")
+              .select("model", "h.horizon", key, "day", "h.y_true", "y_pred")
+              .filter(F.col("y_true").isNotNull()))
+    return stage(out, "preds")
 
 
 def samples(bars: DataFrame, vol: DataFrame, lookback: int = 30, key: str = "symbol",
