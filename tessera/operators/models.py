@@ -189,3 +189,105 @@ def direction_classifier(train: DataFrame, xcols: Sequence[str], label: str):
     va = VectorAssembler(inputCols=list(xcols), outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", maxIter=100)
     return va, lr.fit(va.transform(d))
+
+
+# ------------------------------------------------------------------ flattened windows
+
+def window_gram(samples: DataFrame, keys: Sequence[str], seg: str, window: str = "window",
+                ycols: Sequence[str] = ("y_t1", "y_t5")) -> DataFrame:
+    """Gram sums of the flattened windows (p = L x f columns) per (keys, seg).
+
+    Each Arrow batch folds its rows into one partial vector per group
+    (sums of w, y, the upper triangle of w w', w y and y^2); the partials are
+    added element-wise by ``Summarizer.sum`` (a partial aggregate), so no row
+    and no per-row matrix ever leaves its task.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    from pyspark.sql import types as T
+    keys = list(keys)
+    ys = list(ycols)
+    out_fields = [f for f in samples.schema.fields if f.name in keys + [seg]]
+    schema = T.StructType(out_fields + [T.StructField("n", T.LongType()),
+                                        T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            for gk, g in pdf.groupby(keys + [seg], sort=False):
+                W = np.stack([np.concatenate([np.asarray(r, dtype=float) for r in w]) for w in g[window]])
+                Y = g[ys].to_numpy(dtype=float)
+                iu = np.triu_indices(W.shape[1])
+                v = np.concatenate([W.sum(0), Y.sum(0), (W.T @ W)[iu], (W.T @ Y).ravel(), (Y * Y).sum(0)])
+                row = dict(zip(keys + [seg], gk if isinstance(gk, tuple) else (gk,)))
+                row.update(n=len(g), v=v.tolist())
+                yield pd.DataFrame([row])
+
+    part = samples.select(*keys, seg, window, *ys).mapInPandas(run, schema)
+    return (part.groupBy(*keys, seg)
+                .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("v")).alias("_s"))
+                .select(*keys, seg, "n", vector_to_array("_s").alias("v")))
+
+
+def unpack_window_gram(n: float, v: np.ndarray, p: int, q: int):
+    k = 0
+    sx = v[k:k + p]; k += p
+    sy = v[k:k + q]; k += q
+    m = p * (p + 1) // 2
+    S = np.zeros((p, p))
+    S[np.triu_indices(p)] = v[k:k + m]; k += m
+    S = S + S.T - np.diag(np.diag(S))
+    sxy = v[k:k + p * q].reshape(p, q); k += p * q
+    syy = v[k:k + q]
+    return n, sx, sy, S, sxy, syy
+
+
+def window_ridge_from_sums(stats, n_feat: int, alpha: float = 1.0):
+    """Ridge on windows standardised per feature (population moments of the flattened
+    training windows), intercept fitted: y = a + w.b on raw flattened windows.
+
+    The scaler's mean cancels under the intercept's centring, so only the
+    per-feature std enters (through the penalty)."""
+    n, sx, sy, S, sxy, _ = stats
+    p = len(sx)
+    L = p // n_feat
+    f_of = np.arange(p) % n_feat
+    cnt = n * L
+    mu = np.array([sx[f_of == f].sum() / cnt for f in range(n_feat)])
+    ex2 = np.array([np.diag(S)[f_of == f].sum() / cnt for f in range(n_feat)])
+    sd = np.sqrt(np.clip(ex2 - mu * mu, 0.0, None))
+    sd[sd == 0] = 1.0
+    d = sd[f_of]
+    czz = (S - np.outer(sx, sx) / n) / np.outer(d, d)
+    ybar = sy / n
+    czy = (sxy - np.outer(sx, ybar)) / d[:, None]
+    bz = np.linalg.solve(czz + alpha * np.eye(p), czy)
+    b = bz / d[:, None]
+    a = ybar - (sx / n) @ b
+    return a, b
+
+
+def fit_window_ridge(gram: DataFrame, keys: Sequence[str], n_feat: int, p: int, q: int = 2, alpha: float = 1.0,
+                     train_seg: str = "train") -> DataFrame:
+    """Per key: coefficients (a, b array) for each target from the ``train_seg`` Gram row."""
+    key_schema = ", ".join(f"{k} {t}" for k, t in gram.select(*keys).dtypes)
+    schema = key_schema + ", h int, a double, b array<double>"
+    cols = [*keys, "h", "a", "b"]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        v = np.asarray(r["v"], dtype=float)
+        a, b = window_ridge_from_sums(unpack_window_gram(float(r["n"]), v, p, q), n_feat, alpha)
+        return pd.DataFrame([{**{k: r[k] for k in keys}, "h": h, "a": float(a[h]), "b": b[:, h].tolist()}
+                             for h in range(q)], columns=cols)
+
+    return gram.filter(F.col("seg") == train_seg).groupBy(*keys).applyInPandas(fit, schema)
+
+
+def score_windows(rows: DataFrame, coefs: DataFrame, on: Sequence[str], window: str = "window",
+                  out: str = "y_pred") -> DataFrame:
+    """a + flatten(window) . b, JVM-side (zip_with + aggregate)."""
+    j = rows.join(coefs, list(on), "inner")
+    prod = F.zip_with(F.flatten(F.col(window)), F.col("b"), lambda x, y: x * y)
+    return j.withColumn(out, F.col("a") + F.aggregate(prod, F.lit(0.0), lambda acc, x: acc + x))

@@ -131,20 +131,23 @@ def q_fold_ensemble(spark, sf):
 
 @register("ridge_baseline")
 def q_ridge(spark, sf):
-    """Ridge (alpha 1) per horizon fitted on train + val (first 85 %), scaler on the same rows; test predictions."""
-    des = design(spark, sf)
-    geo = test_geometry(des)
-    folds = geo.select("symbol", F.lit(0).alias("fold"), F.lit(0).cast("long").alias("train_lo"),
-                       F.col("test_start").alias("train_hi"), F.col("test_start").alias("val_lo"),
-                       F.col("n").alias("val_hi"))
-    sums = MD.segment_sums(des, folds, ["symbol"], XCOLS, YCOLS)
-    coefs = MD.fit_folds(sums, folds, ["symbol"], len(XCOLS), 2, alpha=1.0)
-    test = des.join(geo, "symbol").filter(F.col("j") >= F.col("test_start"))
+    """Ridge (alpha 1) per horizon on the flattened 30 x 10 windows, standardised with the scaler of the
+    flattened train + val windows (first 85 % of samples); predictions on the test rows."""
+    p = FT.feature_panel(_bars(spark, sf), FX.vol_index(spark, sf)).drop(S.BLK)
+    from ..operators import samples as SMP
+    smp = SMP.sliding_samples(p, LOOKBACK, features=FEATS).withColumn("j", F.col("i") - LOOKBACK)
+    smp = stage(smp, "window-samples")
+    geo = test_geometry(smp)
+    d = smp.join(geo.select("symbol", "test_start"), "symbol").withColumn(
+        "seg", F.when(F.col("j") < F.col("test_start"), F.lit("train")).otherwise(F.lit("test")))
+    gram = MD.window_gram(d.filter(F.col("seg") == "train"), ["symbol"], "seg")
+    coefs = MD.fit_window_ridge(gram, ["symbol"], len(FEATS), LOOKBACK * len(FEATS))
+    test = d.filter(F.col("seg") == "test")
     out = None
     for h, y in enumerate(YCOLS):
         c = coefs.filter(F.col("h") == h).select("symbol", "a", "b")
-        s = MD.score(test, c, ["symbol"], XCOLS).select("symbol", "day", F.lit(1 if h == 0 else 5).alias("horizon"),
-                                                        F.col(y).alias("y_true"), "y_pred")
+        s = MD.score_windows(test, c, ["symbol"]).select("symbol", "day", F.lit(1 if h == 0 else 5).alias("horizon"),
+                                                          F.col(y).alias("y_true"), "y_pred")
         out = s if out is None else out.unionByName(s)
     return rounded(out)
 

@@ -123,3 +123,26 @@ def test_adf_matches_direct(spark, kind):
     assert got.stat == pytest.approx(stat, rel=1e-7)
     assert got.p_value == pytest.approx(p, rel=1e-6)
     assert (got.p_value < 0.05) == (kind == "stationary")
+
+
+def test_window_ridge_equals_direct(spark):
+    """Flattened-window ridge from Summarizer-merged Gram partials equals the explicit fit."""
+    rng = np.random.default_rng(9)
+    n, L, f = 240, 4, 3
+    wins = rng.normal(size=(n, L, f)) * [1.0, 10.0, 0.2] + [0.0, 100.0, 1.0]
+    y1 = wins[:, -1, 0] * 0.7 + rng.normal(size=n)
+    y5 = wins[:, :, 2].sum(1) + rng.normal(size=n)
+    rows = [("A", "train", [[float(v) for v in r] for r in w], float(a), float(b)) for w, a, b in zip(wins, y1, y5)]
+    df = spark.createDataFrame(rows, "symbol string, seg string, window array<array<double>>, y_t1 double, y_t5 double")
+    gram = MD.window_gram(df.repartition(3), ["symbol"], "seg")
+    c = {r.h: r for r in MD.fit_window_ridge(gram, ["symbol"], f, L * f).collect()}
+    X = wins.reshape(n, -1)
+    flat = wins.reshape(-1, f)
+    mu, sd = flat.mean(0), flat.std(0)
+    Z = ((wins - mu) / sd).reshape(n, -1)
+    for h, y in enumerate((y1, y5)):
+        Zc = Z - Z.mean(0)
+        bz = np.linalg.solve(Zc.T @ Zc + np.eye(L * f), Zc.T @ (y - y.mean()))
+        pred = y.mean() + (Z - Z.mean(0)) @ bz
+        got = c[h].a + X @ np.asarray(c[h].b)
+        assert np.allclose(got, pred, atol=1e-8)
