@@ -49,32 +49,55 @@ def sma_expr(key, col: str, n: int):
     return F.when(F.count(col).over(w) == n, F.avg(col).over(w))
 
 
+def _moving(key, cs: str, n: int):
+    """Sum of the last ``n`` rows as a difference of running sums (O(1) per row).
+
+    Spark re-aggregates a sliding frame for every row; a running frame is
+    incremental and ``lag`` is an offset frame, so this stays linear in the
+    window length.  Needs ``n`` halo rows before each block.
+    """
+    w = S.block_window(key)
+    return F.col(cs) - F.coalesce(F.lag(cs, n).over(w), F.lit(0.0))
+
+
 def bounded_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK) -> DataFrame:
     """One halo window stage: lags, SMA 20/50, Bollinger %B, true range, volume change.
 
-    Leaves ``_blk`` in place so the recursive stage reuses the partitioning.
+    Moving sums are differences of running sums of values centred on the
+    block's first close (keeps the cancellation error near 1e-12).  Leaves
+    ``_blk`` in place so the recursive stage reuses the partitioning.
     """
-    d = S.halo(df, before=SMA_LONG - 1, after=0, block=block)
+    d = S.halo(df, before=SMA_LONG, after=0, block=block)
     w = S.block_window(key)
+    run = w.rowsBetween(S.Window.unboundedPreceding, 0)
     prev_close = F.lag("close", 1).over(w)
     diff = F.col("close") - prev_close
-    w20 = _rows(key, -(BB_WINDOW - 1), 0)
-    mean20 = F.avg("close").over(w20)
-    std20 = F.stddev_pop("close").over(w20)
-    full20 = F.count("close").over(w20) == BB_WINDOW
-    lower = mean20 - BB_DEV * std20
-    width = 2 * BB_DEV * std20
-    d = (d.withColumn("_up", F.when(diff > 0, diff).otherwise(F.lit(0.0)))
-          .withColumn("_dn", F.when(diff < 0, -diff).otherwise(F.lit(0.0)))
+    d = d.withColumn("_c0", F.first("close").over(w.rowsBetween(S.Window.unboundedPreceding, S.Window.unboundedFollowing)))
+    d = (d.withColumn("_xc", F.col("close") - F.col("_c0"))
           .withColumn("_tr", F.greatest(F.col("high") - F.col("low"),
                                         F.abs(F.col("high") - prev_close),
                                         F.abs(F.col("low") - prev_close)))
-          .withColumn("sma_20", sma_expr(key, "close", SMA_SHORT))
-          .withColumn("sma_50", sma_expr(key, "close", SMA_LONG))
-          .withColumn("bb_pct", F.when(full20 & (width != 0), F.try_divide(F.col("close") - lower, width)))
-          .withColumn("vol_change", F.lit(100.0) * (F.try_divide(F.col("volume"), F.lag("volume", 1).over(w)) - 1)))
-    d = d.withColumn("_tr_seed", F.avg("_tr").over(_rows(key, -(ATR_WINDOW - 1), 0)))
-    return S.own_rows(d)
+          .withColumn("_up", F.when(diff > 0, diff).otherwise(F.lit(0.0)))
+          .withColumn("_dn", F.when(diff < 0, -diff).otherwise(F.lit(0.0)))
+          .withColumn("vol_change", F.lit(100.0) * (F.try_divide(F.col("volume"), F.lag("volume", 1).over(w)) - 1))
+          .withColumn("_k", F.row_number().over(w)))
+    d = (d.withColumn("_s1", F.sum("_xc").over(run))
+          .withColumn("_s2", F.sum(F.col("_xc") * F.col("_xc")).over(run))
+          .withColumn("_st", F.sum(F.coalesce(F.col("_tr"), F.lit(0.0))).over(run)))
+    s20, s50 = _moving(key, "_s1", BB_WINDOW), _moving(key, "_s1", SMA_LONG)
+    q20 = _moving(key, "_s2", BB_WINDOW)
+    # rows with a full frame: position i >= n - 1 (the halo supplies the rows before)
+    full20, full50 = F.col("i") >= BB_WINDOW - 1, F.col("i") >= SMA_LONG - 1
+    mean20 = s20 / BB_WINDOW
+    var20 = F.greatest(q20 / BB_WINDOW - mean20 * mean20, F.lit(0.0))
+    std20 = F.sqrt(var20)
+    width = 2 * BB_DEV * std20
+    d = (d.withColumn("sma_20", F.when(full20, F.col("_c0") + mean20))
+          .withColumn("sma_50", F.when(full50, F.col("_c0") + s50 / SMA_LONG))
+          .withColumn("bb_pct", F.when(full20 & (width != 0),
+                                       F.try_divide(F.col("_xc") - (mean20 - BB_DEV * std20), width)))
+          .withColumn("_tr_seed", _moving(key, "_st", ATR_WINDOW) / ATR_WINDOW))
+    return S.own_rows(d).drop("_c0", "_xc", "_k", "_s1", "_s2", "_st")
 
 
 def recursive_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK,

@@ -20,7 +20,7 @@ def returns_panel(bars: DataFrame, key: str = "symbol", block: int = S.DEFAULT_B
 
     Positions stay contiguous (1..n-1) because only position 0 is removed.
     """
-    d = S.with_position(bars.dropna("any"), key, "day")
+    d = S.with_position(stage(bars.dropna("any"), "bars"), key, "day")
     return IND.log_return(d, key, block=block).filter(F.col("r").isNotNull())
 
 
@@ -33,7 +33,7 @@ def joined_panel(bars: DataFrame, vol: DataFrame, key: str = "symbol",
     rows without a return or a value are dropped by ``series.renumber``,
     which keeps the positions contiguous without a second numbering pass.
     """
-    d = S.with_position(bars.dropna("any"), key, "day")
+    d = S.with_position(stage(bars.dropna("any"), "bars"), key, "day")
     d = IND.log_return(d, key, block=block)
     d = d.join(vol.dropna("any"), "day", "left")
     d = S.renumber(d, key, F.col("r").isNotNull() & F.col("vix_close").isNotNull(), block=block)
