@@ -17,20 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _dec(c, digits: int):
-    return c.cast("decimal(38,0)") * F.lit(str(10 ** digits)).cast("decimal(38,0)")
-
-
 def bars(spark: SparkSession, sf_dir: str, symbols: str = "flag") -> DataFrame:
     """Daily OHLCV bars ``(symbol, day, open, high, low, close, volume)``.
 
-    open / close are the quotes of the first / last line by the key
-    (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice).  A
-    struct key would force a sort-based aggregate, so the choice is made in
-    two hash aggregates with numeric keys: per (symbol, day, order) by a
-    decimal(38,0) of the remaining components (line < 100, part < 10^12,
-    supplier < 10^10, price in cents < 10^12), then per (symbol, day) by the
-    order key.  Both stages combine partially before their shuffle.
+    One aggregate on (symbol, day); open/close take the quote of the first /
+    last line by (l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    l_extendedprice), so ties are stable.  The struct key makes it a
+    sort-based aggregate, but it still combines partially before its single
+    shuffle (one row per (symbol, day) per map task); splitting the choice
+    into two hash aggregates was measured slower and shuffles ~all rows twice.
     """
     if symbols not in SYMBOL_MODES:
         raise ValueError(f"symbols must be one of {SYMBOL_MODES}")
@@ -39,18 +34,13 @@ def bars(spark: SparkSession, sf_dir: str, symbols: str = "flag") -> DataFrame:
     if symbols == "flag_supp":
         sym = F.concat(sym, (F.col("l_suppkey") % 20).cast("string"))
     quote = F.lit(100.0) + F.col("l_quantity") / 10
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    inner = (_dec(F.col("l_linenumber"), 34) + _dec(F.col("l_partkey"), 22)
-             + _dec(F.col("l_suppkey"), 12) + cents.cast("decimal(38,0)"))
-    per_order = (li.groupBy(sym.alias("symbol"), F.to_date("l_shipdate").alias("day"), "l_orderkey")
-                 .agg(F.min_by(quote, inner).alias("_o"), F.max_by(quote, inner).alias("_c"),
-                      F.max(quote).alias("_h"), F.min(quote).alias("_l"), F.sum("l_quantity").alias("_v")))
-    return (per_order.groupBy("symbol", "day")
-            .agg(F.min_by("_o", F.col("l_orderkey")).alias("open"),
-                 F.max("_h").alias("high"),
-                 F.min("_l").alias("low"),
-                 F.max_by("_c", F.col("l_orderkey")).alias("close"),
-                 F.sum("_v").alias("volume")))
+    tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return (li.groupBy(sym.alias("symbol"), F.to_date("l_shipdate").alias("day"))
+            .agg(F.min_by(quote, tie).alias("open"),
+                 F.max(quote).alias("high"),
+                 F.min(quote).alias("low"),
+                 F.max_by(quote, tie).alias("close"),
+                 F.sum("l_quantity").alias("volume")))
 
 
 def vol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
