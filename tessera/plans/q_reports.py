@@ -86,12 +86,13 @@ def q_fold_regime(spark, sf):
   quantile_cont(r, 0.25) AS q25, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.75) AS q75, max(r) AS max
 FROM rets GROUP BY symbol""", "rets"), "mean", "std", "min", "q25", "q50", "q75", "max"))
 def q_describe(spark, sf):
+    from ..operators.stats import exact_quantiles
     r = FT.returns_panel(_bars(spark, sf))
-    q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     d = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"),
-                                F.min("r").alias("min"), q.alias("_q"), F.max("r").alias("max"))
-    return rounded(d.select("symbol", "n", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                            F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max"))
+                                F.min("r").alias("min"), F.max("r").alias("max"))
+    q = exact_quantiles(r, ["symbol"], "r", [0.25, 0.5, 0.75]).select(
+        "symbol", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    return rounded(d.join(q, "symbol").select("symbol", "n", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
 @register("period_extreme", R(sql("""SELECT symbol, min(r) AS min_return, arg_min(day, r) AS min_day FROM rets

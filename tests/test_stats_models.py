@@ -146,3 +146,13 @@ def test_window_ridge_equals_direct(spark):
         pred = y.mean() + (Z - Z.mean(0)) @ bz
         got = c[h].a + X @ np.asarray(c[h].b)
         assert np.allclose(got, pred, atol=1e-8)
+
+
+def test_exact_quantiles_two_level(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(0, 2, 501), 2)
+    df = spark.createDataFrame([("A", float(v)) for v in x] + [("B", 1.0)], "g string, x double")
+    got = {r.g: r for r in ST.exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.75, 0.9], width=0.05).collect()}
+    for k, p in enumerate([0.25, 0.5, 0.75, 0.9]):
+        assert got["A"][f"q{k}"] == pytest.approx(np.percentile(x, p * 100), abs=1e-12)
+        assert got["B"][f"q{k}"] == 1.0
