@@ -8,6 +8,20 @@ from . import q_embed, q_eval, q_features, q_models, q_news, q_reports, q_splits
 from .registry import ORACLE, QUERIES, rounded
 
 
+def session_defaults(spark: SparkSession) -> None:
+    """Day boundaries are UTC in every operator (dates parsed with offsets, timestamps to days)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def with_session_defaults(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session_defaults(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries():
     return QUERIES
 
