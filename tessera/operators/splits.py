@@ -25,13 +25,17 @@ def counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def walk_forward(n_table: DataFrame, keys: Sequence[str], n_splits: int = 5,
-                 train_min_frac: float = 0.6, n: str = "n", offset: str | None = None) -> DataFrame:
+                 train_min_frac: float = 0.6, n: str = "n", offset: str | None = None,
+                 embargo: int = 0) -> DataFrame:
     """``(keys, fold, train_lo, train_hi, val_lo, val_hi)`` per key.
 
     min_train = floor(n * frac); val = (n - min_train) div (n_splits + 1);
     fold k trains on [0, min_train + k val) and validates the next ``val``
     positions; folds running past ``n`` are dropped.  ``offset`` (a column)
-    shifts all positions (for splits inside a train range).
+    shifts all positions (for splits inside a train range).  ``embargo``
+    removes that many training positions before each validation block (the
+    reference has none, q4: its 5-day targets of the last training rows
+    overlap the validation rows; ``embargo=5`` removes the overlap).
     """
     nn = F.col(n)
     d = (n_table.withColumn("_mt", _floor_frac(nn, train_min_frac))
@@ -41,7 +45,8 @@ def walk_forward(n_table: DataFrame, keys: Sequence[str], n_splits: int = 5,
     d = (d.withColumn("_te", F.col("_mt") + F.col("fold") * F.col("_vs"))
           .withColumn("_ve", F.col("_te") + F.col("_vs"))
           .filter(F.col("_ve") <= nn))
-    return d.select(*keys, "fold", off.cast("long").alias("train_lo"), (off + F.col("_te")).alias("train_hi"),
+    return d.select(*keys, "fold", off.cast("long").alias("train_lo"),
+                    (off + F.greatest(F.col("_te") - F.lit(embargo), F.lit(0))).alias("train_hi"),
                     (off + F.col("_te")).alias("val_lo"), (off + F.col("_ve")).alias("val_hi"))
 
 

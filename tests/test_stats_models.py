@@ -156,3 +156,24 @@ def test_exact_quantiles_two_level(spark):
     for k, p in enumerate([0.25, 0.5, 0.75, 0.9]):
         assert got["A"][f"q{k}"] == pytest.approx(np.percentile(x, p * 100), abs=1e-12)
         assert got["B"][f"q{k}"] == 1.0
+
+
+def test_stylized_facts_paths_cross_and_within(spark):
+    rng = np.random.default_rng(21)
+    P, L = 12, 20
+    paths = np.round(rng.standard_t(5, (P, L)), 2)
+    df = spark.createDataFrame([("A", k, [float(v) for v in paths[k]]) for k in range(P)], "g string, i long, path array<double>")
+    cross = ST.stylized_facts_paths(df, ["g"], cross_paths=True, block=64).collect()[0]
+    flat = paths.ravel()
+    a, b = pd.Series(np.abs(flat[:-1])), pd.Series(np.abs(flat[1:]))
+    assert cross.volatility_clustering == pytest.approx(a.rank().corr(b.rank()), abs=1e-12)
+    within = ST.stylized_facts_paths(df, ["g"], cross_paths=False, block=64).collect()[0]
+    a = pd.Series(np.abs(paths[:, :-1]).ravel()); b = pd.Series(np.abs(paths[:, 1:]).ravel())
+    assert within.volatility_clustering == pytest.approx(a.rank().corr(b.rank()), abs=1e-12)
+
+
+def test_walk_forward_embargo(spark):
+    from tessera.operators import splits as SP
+    d = spark.createDataFrame([("A", 2068)], "symbol string, n long")
+    f = SP.walk_forward(d, ["symbol"], embargo=5).orderBy("fold").collect()
+    assert [r.train_hi for r in f] == [1235, 1373, 1511, 1649, 1787] and f[0].val_lo == 1240
