@@ -124,7 +124,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
          CASE WHEN p_size = 50 THEN NULL ELSE round(p_retailprice / 1000 + p_size / 500.0, 6) END AS loss,
          CAST(64 * pow(2, ((p_partkey - 1) // 3) % 3) AS INTEGER) AS hidden,
          CAST(32 * pow(2, (((p_partkey - 1) // 3) // 3) % 3) AS INTEGER) AS d_model,
-         round(0.1 + (((p_partkey - 1) // 3) % 9) * 0.05, 6) AS dropout,
+         CAST(round(0.1 + (((p_partkey - 1) // 3) % 9) * 0.05, 6) AS DOUBLE) AS dropout,
          round(1e-6 * pow(10.0, ((p_partkey - 1) // 3) % 4), 12) AS weight_decay
   FROM part)"""),
 }

@@ -178,7 +178,7 @@ def q_load_wide(spark, sf):
                             F.col("emb")[0].alias("emb_first")), 4)
 
 
-@register("day_texts", sql("""SELECT day, count(*) AS n_texts, sum(length(headline)) AS n_chars FROM (
+@register("day_texts", sql("""SELECT day, count(*) AS n_texts, CAST(sum(length(headline)) AS BIGINT) AS n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY day ORDER BY md5('42:' || headline), row_no) AS rk FROM dedup)
 WHERE rk <= 3 GROUP BY day""", "dedup"))
 def q_day_texts(spark, sf):

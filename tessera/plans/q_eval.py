@@ -109,7 +109,7 @@ PROBA = "1 / (1 + exp(-y_pred))"
 
 
 @register("signal_from_prediction", sql(f"""SELECT {GS}, day,
-  CASE WHEN y_pred > 0.1 THEN 1.0 WHEN y_pred < -0.1 THEN -1.0 ELSE 0.0 END AS signal FROM preds""", "preds"))
+  CAST(CASE WHEN y_pred > 0.1 THEN 1.0 WHEN y_pred < -0.1 THEN -1.0 ELSE 0.0 END AS DOUBLE) AS signal FROM preds""", "preds"))
 def q_signal_pred(spark, sf):
     return preds(spark, sf).select(*G, "day", M.signal("y_pred", 0.1).alias("signal"))
 

@@ -54,6 +54,27 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+_SPARK_CLASS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "bigint", "float": "float",
+                "double": "double", "string": "str", "date": "date", "boolean": "bool", "timestamp": "ts",
+                "timestamp_ntz": "ts"}
+_DUCK_CLASS = {"TINYINT": "int", "SMALLINT": "int", "INTEGER": "int", "BIGINT": "bigint", "HUGEINT": "hugeint",
+               "FLOAT": "float", "DOUBLE": "double", "VARCHAR": "str", "DATE": "date", "BOOLEAN": "bool",
+               "TIMESTAMP": "ts"}
+
+
+def type_mismatches(sdf, con, sql):
+    """Columns whose Spark and DuckDB types fall in different classes (int vs bigint, float vs double, ...)."""
+    duck_types = {r[0]: str(r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = []
+    for name, t in sdf.dtypes:
+        a = _SPARK_CLASS.get(t, t)
+        d = duck_types.get(name, "?")
+        b = _DUCK_CLASS.get(d, "decimal" if d.startswith("DECIMAL") else d)
+        if a != b:
+            out.append(f"{name}:{t}/{d}")
+    return out
+
+
 def compare(spark, con, key, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -74,7 +95,12 @@ def compare(spark, con, key, fn, sql, sf_dir):
         bad = [(x, y) for x, y in zip(a, b) if x != y]
         if bad:
             status, detail = "VALUES", f"{len(bad)} differ, e.g. {str(bad[0][0])[:300]} vs {str(bad[0][1])[:300]}"
-    return f"{key:32s} {status:6s} rows={len(s_pd)} spark={t1 - t0:.1f}s duck={t2 - t1:.1f}s {detail}"
+    try:
+        tm = type_mismatches(sdf, con, sql)
+    except Exception as e:  # DESCRIBE of a complex statement
+        tm = [f"?{type(e).__name__}"]
+    types = f" TYPES {','.join(tm)}" if tm else ""
+    return f"{key:32s} {status:6s} rows={len(s_pd)} spark={t1 - t0:.1f}s duck={t2 - t1:.1f}s {detail}{types}"
 
 
 def main():
