@@ -3,7 +3,7 @@ variants collect that report (a handful of rows) and raise on failure."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_ALIGNMENT = 0.95          # share of samples that must find their embedding
@@ -45,11 +45,20 @@ def volume(df: DataFrame, warn_rows: int = VOLUME_WARN_ROWS) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("warn", F.col("n_rows") > warn_rows)
 
 
+def row_hash(cols) -> Column:
+    """60-bit row hash: the first 15 hex digits of md5 over the fields joined by 0x1f
+    (md5 is available in every engine, so stored fingerprints stay comparable)."""
+    txt = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(txt), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def fingerprint(df: DataFrame, cols=None) -> DataFrame:
-    """Content fingerprint: row count and the sum of 64-bit row hashes (as decimal)."""
+    """Content fingerprint: row count and the (order-free) sum of 60-bit row hashes.
+
+    Stricter than size + modification time: any changed, added or removed
+    row changes it; computed as one partial aggregate."""
     cols = cols or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("hash_sum"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash(cols)).cast("string").alias("hash_sum"))
 
 
 def enforce(report: DataFrame, what: str, flag: str = "ok") -> None:

@@ -143,9 +143,11 @@ def q_guard_volume(spark, sf):
     return GD.volume(news_dedup(spark, sf))
 
 
-@register("guard_checkpoint_input")
+@register("guard_checkpoint_input", sql("""SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(
+  concat_ws(chr(31), CAST(day AS VARCHAR), headline, body)), 1, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS hash_sum
+FROM dedup""", "dedup"))
 def q_guard_fingerprint(spark, sf):
-    """Content fingerprint of the corpus (row count + sum of xxhash64); rows-only (Spark's hash)."""
+    """Content fingerprint of the corpus (row count + sum of 60-bit md5 row hashes)."""
     return GD.fingerprint(news_dedup(spark, sf), ["day", "headline", "body"])
 
 
