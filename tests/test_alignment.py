@@ -16,7 +16,7 @@ def _days(n=40):
 
 
 def _samples(spark):
-    return spark.createDataFrame([("QQQ", d) for d in _days()], "symbol string, day date")
+    return spark.createDataFrame([("AAA", d) for d in _days()], "symbol string, day date")
 
 
 def _vectors(spark, days):
