@@ -97,9 +97,25 @@ def q_acf(spark, sf):
     return rounded(acf_table(spark, sf))
 
 
-@register("pacf")
+_PACF_SQL = """SELECT symbol, series, CAST(0 AS INTEGER) AS lag, 1.0 AS pacf FROM acfl
+UNION ALL SELECT symbol, series, CAST(k AS INTEGER) AS lag, pk AS pacf FROM dl"""
+
+_PACF_CTES = f"""acfl AS (SELECT symbol, series, list(acf ORDER BY lag) AS r FROM ({_ACF_SQL}) GROUP BY symbol, series),
+dl(symbol, series, k, phi, pk) AS (
+  SELECT symbol, series, 1, [r[2]], r[2] FROM acfl
+  UNION ALL
+  SELECT symbol, series, k + 1,
+         list_append(list_transform(range(1, k + 1), lambda j: phi[j] - alpha * phi[k + 1 - j]), alpha), alpha
+  FROM (SELECT d.symbol, d.series, d.k, d.phi,
+               (a.r[d.k + 2] - list_sum(list_transform(range(1, d.k + 1), lambda j: d.phi[j] * a.r[d.k + 2 - j])))
+               / (1 - list_sum(list_transform(range(1, d.k + 1), lambda j: d.phi[j] * a.r[j + 1]))) AS alpha
+        FROM dl d JOIN acfl a ON a.symbol = d.symbol AND a.series = d.series WHERE d.k < 40))"""
+
+
+@register("pacf", R(sql(_PACF_SQL, "rp", extra=_PACF_CTES), "pacf"))
 def q_pacf(spark, sf):
-    """Durbin-Levinson on the ACF rows (small solve per symbol and series); rows-only + unit test."""
+    """Durbin-Levinson on the ACF rows (small solve per symbol and series); the SQL twin runs the
+    same recursion as a recursive CTE over lists."""
     return rounded(ST.pacf(acf_table(spark, sf), ["symbol", "series"]))
 
 
