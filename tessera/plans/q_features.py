@@ -220,9 +220,14 @@ def q_running_drawdown(spark, sf):
     return rounded(d.select("symbol", "day", (F.col("curve") / F.col("peak") - 1).alias("drawdown")))
 
 
-@register("score_fn")
+@register("score_fn", R(sql("""SELECT symbol, day, y_t1, (w_rsi - 50.0) / 50.0 AS y_pred FROM (
+  SELECT symbol, day, i, avg(rsi_14) OVER wb AS w_rsi, lead(r, 1) OVER w AS y_t1, count(*) OVER wf AS n_after
+  FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY i),
+                   wb AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
+                   wf AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
+WHERE i >= 30 AND n_after = 5""", "feat"), "y_t1", "y_pred"))
 def q_score_fn(spark, sf):
-    """A numpy scorer over stacked 30-day windows, per Arrow batch (rows-only)."""
+    """A numpy scorer over stacked 30-day windows, run per Arrow batch in mapInPandas."""
     from ..functions.udf import score_windows
     s = FT.samples(_bars(spark, sf), FX.vol_index(spark, sf), lookback=30)
 
