@@ -79,4 +79,19 @@ def stage(df, name: str = "stage"):
         return df
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+_STAGED: dict[str, list[str]] = {}
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables this application staged (call when its results are consumed)."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+    return len(paths)
