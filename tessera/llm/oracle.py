@@ -41,12 +41,12 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 k AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
 twice AS (SELECT doc_id, s FROM k GROUP BY doc_id, s HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM k JOIN twice USING (doc_id, s)) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (length(t) - length(regexp_replace(t, '[0-9]', '', 'g')))::BIGINT AS n_digits,
              len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-             coalesce(list_max(list_transform(w, x -> length(x))), 0) AS n_max_word
+             coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS n_max_word
       FROM t JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
                  + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END
