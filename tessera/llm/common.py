@@ -107,20 +107,19 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max
              id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], dict[int, int]]:
     """A bounded sample of labelled rows for fitting, and the number of labelled rows of each class.
 
-    Per class the ``per_class`` rows with the smallest hash of the id among the rows in the learning folds whose
-    text has at most ``max_chars`` characters; so the driver gets 2 * per_class * max_chars characters at most.
+    Per class the ``per_class`` labelled ids of the smallest hash in the learning folds, and of those the texts of at
+    most ``max_chars`` characters; so the driver gets 2 * per_class * max_chars characters at most.
     """
     marked = (labels.select(F.col(id_col), F.col(label).cast("int").alias("y"))
               .filter(F.col(id_col).isNotNull() & F.col("y").isin(0, 1) & ~held_out(id_col))
               .groupBy(id_col).agg(F.max("y").alias("y")))
-    joined = (docs.select(id_col, F.col(text_col).alias("text")).filter(F.length("text") <= max_chars)
-              .join(marked, id_col))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for y in (0, 1):
-        rows += (joined.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col, "text").limit(per_class)
-                 .select("text", "y").collect())
-    return [r["text"] for r in rows], [r["y"] for r in rows], counts
+    # The rows are picked by id alone; a broadcast of the picked ids (2 * per_class at most) then finds their texts.
+    order = (F.xxhash64(id_col), F.col(id_col))
+    picked = marked.filter("y = 0").orderBy(*order).limit(per_class).union(marked.filter("y = 1").orderBy(*order).limit(per_class))
+    found = (docs.select(id_col, F.col(text_col).alias("text")).filter(F.length("text") <= max_chars)
+             .join(F.broadcast(picked), id_col).groupBy(id_col, "y").agg(F.min("text").alias("text")).orderBy("y", *order).collect())
+    return [r["text"] for r in found], [r["y"] for r in found], counts
 
 
 def logistic(x, y, weight, ridge: float = 1e-2, steps: int = 50):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import append_columns, fit_rows, logistic, texts
 
 # Bounds of the fit sample: labelled rows per class and characters per text.
-FIT_ROWS, FIT_CHARS = 3000, 20_000
+FIT_ROWS, FIT_CHARS = 2000, 20_000
 FUZZY_LENGTH = 5
 STEM_LENGTHS = range(4, 9)
 STEM_LIFT = 6
