@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .common import append_columns, drop_staged, staged
+from .common import append_columns, drop_staged, release, staged
 
 MAGIC = b"TOKSHRD1"
 LEVEL = 3
@@ -39,7 +39,7 @@ SHARD_BYTES = 4_000_000
 
 
 # Pieces of text whose ids a worker remembers between batches and tasks, by tokenizer file; bounds its memory.
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 700_000
 BATCH_BYTES = 8_000_000
 _MEMORY: dict[str, PieceIds] = {}
 
@@ -65,32 +65,18 @@ class PieceIds:
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.table = {ord(c): spell(c)[0][0] for c in _LATIN.lower()}
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.first, self.size = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        self.flat, self.used = [np.zeros(0, dtype=np.uint32)], 0
+        self.first, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > MEMORY_PIECES:
-            self.clear()
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
         found: list[list[int]] = []
         rest = []
-        parts, table, tokenize = self.parts, self.table, self.tokenizer.model.tokenize
+        table, tokenize = self.table, self.tokenizer.model.tokenize
         for k, w in enumerate(pieces):
             if _PLAIN.fullmatch(w) and not ("<" in w and any(t in w for t in self.special)):
-                low = w.lower()
-                ids = parts.get(low)
-                if ids is None:
-                    ids = []
-                    for part in _SPLIT.findall(low):
-                        got = parts.get(part)
-                        if got is None:
-                            spelled = part if part.isascii() else part.translate(table)
-                            got = parts[part] = [t.id for t in tokenize(spelled)]
-                        ids += got
+                ids = []
+                for part in _SPLIT.findall(w.lower()):
+                    ids += [t.id for t in tokenize(part if part.isascii() else part.translate(table))]
                 found.append(ids)
             else:
                 found.append([])
@@ -100,13 +86,7 @@ class PieceIds:
             at = rest[k:k + 5000]
             for i, e in zip(at, self.tokenizer.encode_batch_fast([pieces[i] for i in at], add_special_tokens=False)):
                 found[i] = e.ids
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        base = len(self.known)
-        self.known.update((w, base + k) for k, w in enumerate(pieces))
-        self.first.append(self.used + np.cumsum(sizes) - sizes)
-        self.size.append(sizes)
-        self.flat.append(np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(sizes.sum())))
-        self.used += int(sizes.sum())
+        return found
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """One id array per text; a null text has no ids."""
@@ -128,21 +108,31 @@ class PieceIds:
         lists = pc.split_pattern(blank, " ")
         words = lists.flatten().dictionary_encode()
         pieces = words.dictionary.to_pylist()
-        if len(self.known) + len(pieces) > MEMORY_PIECES:
-            self.clear()
-        if new := [w for w in pieces if w not in self.known]:
-            self.learn(new)
-        for part in ("first", "size", "flat"):
-            if len(getattr(self, part)) > 1:
-                setattr(self, part, [np.concatenate(getattr(self, part))])
-        number = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        at = number[words.indices.to_numpy()]
-        n = self.size[0][at]
-        ends = np.cumsum(n)
-        ids = self.flat[0][np.repeat(self.first[0][at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        cuts = np.concatenate([[0], ends])[borders]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        at = list(map(self.known.get, pieces))
+        first, size, flat = self.first, self.size, self.flat
+        if new := [k for k, i in enumerate(at) if i is None]:
+            fresh = [pieces[k] for k in new]
+            found = self.ids_of(fresh)
+            more = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+            first = np.concatenate([first, len(flat) + np.cumsum(more, dtype=np.int64) - more])
+            flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(more.sum()))])
+            size = np.concatenate([size, more])
+            base = len(self.known)
+            for i, k in enumerate(new):
+                at[k] = base + i
+            if base + len(new) <= MEMORY_PIECES:  # frequent pieces come early; beyond that a piece is learned for its batch
+                self.known.update(zip(fresh, range(base, base + len(new))))
+                self.first, self.size, self.flat = first, size, flat
+        # Ids of the batch's distinct pieces as an Arrow list array, which then follows the order of the text.
+        number = np.array(at, dtype=np.int64)
+        n = size[number]
+        ends = np.cumsum(n, dtype=np.int64)
+        flat = flat[np.repeat(first[number] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        ids = pa.ListArray.from_arrays(offsets, pa.array(flat)).take(words.indices)
+        borders = ids.offsets.to_numpy()[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        values = ids.values.to_numpy()
+        return [values[a:b] for a, b in zip(borders[:-1], borders[1:])]
 
 
 def word_encoder(path: str):
@@ -301,12 +291,14 @@ def write_tokens(docs: DataFrame, path: str, encoder, end_id: int, width: int =
     def make():
         return lambda b: [[placed(i, n) for i, n in zip(b.column("image").to_pylist(), b.column("before").to_pylist())]]
 
+    del ordered
+    drop_staged(frames)
+    release(spark)
     out = append_columns(shards.join(starts, ["part", "seq"]), make, [T.StructField("image", T.BinaryType())], drop=("part", "seq"))
     out.select("shard", "before", "n_docs", "n_ids", "image").write.parquet(f"{path}/shards")
     (spark.createDataFrame([(bytearray(dictionary), width, end_id)], "dictionary binary, width int, end_id long")
      .coalesce(1).write.parquet(f"{path}/meta"))
-    for x in (frames, shards):
-        drop_staged(x)
+    drop_staged(shards)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
