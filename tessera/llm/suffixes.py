@@ -34,8 +34,8 @@ LENGTH = 50
 # A perfect difference set: every remainder modulo 21 but 0 is the difference of exactly one ordered pair.
 MODULUS, COVER = 21, (3, 6, 7, 12, 14)
 TUPLE = LENGTH - MODULUS + 1
-BLOCK_BYTES = 8_000_000
-RANGE_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
+RANGE_BYTES = 12_000_000
 # Copies whose ids are broadcast to leave their texts out; more are joined with a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LAST = (1 << 63) - 1  # stands for a null id: greater than every other
@@ -109,7 +109,7 @@ class Block:
         text = np.searchsorted(self.ends, at, side="right")
         np.add.at(steps, np.maximum(at - MODULUS + 1, self.starts[text]), 1)
         np.add.at(steps, at + 1, -1)
-        mask = np.cumsum(steps[:-8 - 1]) > 0 if len(self.data) > 8 else np.zeros(0, dtype=bool)
+        mask = np.cumsum(steps[:-8 - 1], dtype=np.int32) > 0 if len(self.data) > 8 else np.zeros(0, dtype=bool)
         for s, e in zip(self.starts.tolist(), self.ends.tolist()):
             mask[max(s, e - LENGTH + 1):e] = False
         return mask
@@ -147,6 +147,7 @@ def _as_rows(batches, names_):
         columns = [b.column(n) for n in names_]
         for i in range(b.num_rows):
             yield tuple(c[i].as_py() for c in columns)
+        pa.default_memory_pool().release_unused()  # rows are megabytes: freed memory goes back between batches
 
 
 def _pack(batches):
@@ -297,7 +298,7 @@ def _removed(ranges: int):
             steps = np.zeros(int(b.sizes.sum()) + 1, dtype=np.int32)
             steps[at[again]] += 1
             steps[at[again] + LENGTH] -= 1
-            gone = np.cumsum(steps[:-1]) > 0
+            gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
             data = np.frombuffer(b.data, dtype=np.uint8)
             rows = []
             for k, (s, e) in enumerate(zip(b.starts.tolist(), b.ends.tolist())):
@@ -337,7 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // RANGE_BYTES)
     blocks = staged(single.mapInArrow(_pack, _BLOCK), "blocks")
-    with arrow_rows(spark, 8):
+    with arrow_rows(spark, 4):
         tuples = blocks.mapInArrow(_tuple_rows(ranges), "part int, block long, tuples binary")
         flags = staged(tuples.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInArrow(_repeated_tuples, "part int, block long, bits binary"), "tuplebits")
         del tuples
