@@ -21,6 +21,17 @@ FLEX_FORMATS = (
     "yyyy-MM-dd",
     "yyyy/MM/dd",
     "MM/dd/yyyy",
+    "M/d/yyyy",
+    "M/d/yy",
+    "yyyyMMdd",
+    "yyyy-MM-dd HH:mm:ss z",
+    "yyyy-MM-dd HH:mm",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d yyyy",
+    "EEE, d MMM yyyy HH:mm:ss z",
 )
 
 

@@ -92,12 +92,15 @@ def bounded_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK
     var20 = F.greatest(q20 / BB_WINDOW - mean20 * mean20, F.lit(0.0))
     std20 = F.sqrt(var20)
     width = 2 * BB_DEV * std20
+    # Differences of running sums never cancel to zero exactly: a flat frame is one without a change in its last 19 steps.
+    d = d.withColumn("_sc", F.sum((F.coalesce(diff, F.lit(0.0)) != 0).cast("long")).over(run))
+    flat20 = _moving(key, "_sc", BB_WINDOW - 1) == 0
     d = (d.withColumn("sma_20", F.when(full20, F.col("_c0") + mean20))
           .withColumn("sma_50", F.when(full50, F.col("_c0") + s50 / SMA_LONG))
-          .withColumn("bb_pct", F.when(full20 & (width != 0),
+          .withColumn("bb_pct", F.when(full20 & ~flat20 & (width != 0),
                                        F.try_divide(F.col("_xc") - (mean20 - BB_DEV * std20), width)))
           .withColumn("_tr_seed", _moving(key, "_st", ATR_WINDOW) / ATR_WINDOW))
-    return S.own_rows(d).drop("_c0", "_xc", "_k", "_s1", "_s2", "_st")
+    return S.own_rows(d).drop("_c0", "_xc", "_k", "_s1", "_s2", "_st", "_sc")
 
 
 def recursive_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK,

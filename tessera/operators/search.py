@@ -96,29 +96,41 @@ def select_one_se(records: DataFrame, parsimony: Sequence[Column], trial: str =
     return out.drop("_t", *[f"_pk_{k}" for k in keys])
 
 
-def evaluate_with(trials: DataFrame, folds: DataFrame, fn, schema_extra: str = "loss double") -> DataFrame:
-    """Injected evaluator: ``fn(pandas trials x folds batch) -> Series of losses``, run on the
-    (trial x fold) frame in Arrow batches; a batch that raises yields null losses."""
-    frame = trials.crossJoin(F.broadcast(folds)) if folds is not None else trials
+def evaluate_with(trials: DataFrame, folds: DataFrame, fn) -> DataFrame:
+    """Injected evaluator: ``fn(pandas frame of one trial's rows) -> losses``, over the (trial x fold) frame.
+
+    Adds ``loss`` and ``error``.  A batch goes to ``fn`` whole; if it raises, its rows are tried one by one, so only
+    the failing ones get a null loss and the message of their exception.
+    """
+    frame = trials.crossJoin(folds) if folds is not None else trials
     from pyspark.sql import types as T
-    out_schema = T.StructType(frame.schema.fields + [T.StructField("loss", T.DoubleType())])
+    out_schema = T.StructType(frame.schema.fields + [T.StructField("loss", T.DoubleType()), T.StructField("error", T.StringType())])
+
+    def judged(pdf):
+        try:
+            loss = pd.Series(np.asarray(fn(pdf.copy()), dtype=float), index=pdf.index)
+            return pdf.assign(loss=loss.astype(object).where(loss.notna(), None), error=None)
+        except Exception as e:          # a failing evaluation must not abort the search
+            if len(pdf) > 1:
+                return pd.concat([judged(pdf.iloc[[k]]) for k in range(len(pdf))])
+            return pdf.assign(loss=None, error=f"{type(e).__name__}: {e}")
 
     def run(batches):
         for pdf in batches:
-            try:
-                pdf["loss"] = np.asarray(fn(pdf), dtype=float)
-            except Exception:          # a failing evaluation must not abort the search
-                pdf["loss"] = np.nan
-            yield pdf
+            yield judged(pdf) if len(pdf) else pdf.assign(loss=None, error=None)
 
     return frame.mapInPandas(run, out_schema)
 
 
-def enforce_selection(selected: DataFrame) -> dict:
-    rows = selected.limit(2).collect()
-    if not rows:
+def enforce_selection(selected: DataFrame, records: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The selection, if there is one for every key of ``records`` (one at all without keys); else ValueError."""
+    if selected.isEmpty():
         raise ValueError("no valid trial among the results")
-    return rows[0].asDict()
+    if keys and records is not None:
+        missing = records.select(*keys).distinct().join(selected.select(*keys), list(keys), "left_anti")
+        if not missing.isEmpty():
+            raise ValueError(f"no valid trial for {missing.limit(5).collect()}")
+    return selected
 
 
 def ridge_trial_losses(seg_sums: DataFrame, folds: DataFrame, keys: Sequence[str], trials: pd.DataFrame,

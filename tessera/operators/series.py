@@ -162,6 +162,10 @@ def running_product(df: DataFrame, key: str | Sequence[str], factor: str, out: s
     return d.withColumn(out, res).drop("_lg", "_ng", "_zr", "_lg_s", "_ng_s", "_zr_s")
 
 
+# Largest exponent of the in-part scaling: e^300 leaves eight orders of magnitude and more to any double.
+EWM_DECAY = 300.0
+
+
 def ewm_block(alpha: float, block: int = DEFAULT_BLOCK) -> int:
     """Smallest block at which blocks older than the previous one weigh < 1e-18."""
     q = 1.0 - alpha
@@ -181,32 +185,41 @@ def ewm(df: DataFrame, key: str | Sequence[str], specs: Sequence[EwmSpec], i: st
     """Exponential means, adjust=False: y_seed = x_seed, y_t = (1-a) y_{t-1} + a x_t.
 
     Rows before ``seed`` are ignored (null output); output is null while fewer
-    than ``min_periods`` rows since the seed have been seen.  Within block b
-    (position p), y = q^p * sum(coef * x * q^-p') + q^(p+1) * Y(b-1), where
-    Y(b-1) is the in-block value at the end of block b-1; with the block size
-    of ``ewm_block`` older blocks contribute less than 1e-18 relative.  All
-    specs share one in-block window stage and one carry join.  The caller's
-    ``_blk`` column is reused if present (it must use ``block``).
+    than ``min_periods`` rows since the seed have been seen.  Within part b of
+    a block (position p), y = q^p * sum(coef * x * q^-p') + q^(p+1) * Y(b-1),
+    where Y(b-1) is the in-part value at the end of the part before; parts are
+    long enough (``ewm_block``) that older ones contribute less than 1e-18
+    relative, and short enough that q^-p never overflows.  All specs share one
+    in-block window stage and one carry join.  The caller's ``_blk`` column is
+    reused if present (it must use ``block``).
     """
     keys = _keys(key)
     for s in specs:
         if ewm_block(s.alpha, block) != block:
             raise ValueError(f"block {block} too small for alpha {s.alpha}")
+    # q^-p must stay far from overflow: blocks are cut into equal parts of at most EWM_DECAY / -ln q rows.
+    parts = max(math.ceil(block * -math.log(1.0 - s.alpha) / EWM_DECAY) if s.alpha < 1 else 1 for s in specs)
+    rows = -(-block // parts)
+    if any(ewm_block(s.alpha, rows) != rows or block - (parts - 1) * rows < ewm_block(s.alpha, 1) for s in specs):
+        raise ValueError(f"no part of block {block} suits all of {[s.alpha for s in specs]}: use one call per alpha")
     d = df if BLK in df.columns else with_block(df, i, block)
-    w = Window.partitionBy(*keys, BLK).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, BLK, "_ewk").orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_ewp", F.col(i) - F.col(BLK) * F.lit(block))
+    d = d.withColumn("_ewk", F.floor(F.col("_ewp") / rows)).withColumn("_ewp", F.col("_ewp") - F.col("_ewk") * rows)
     for n, s in enumerate(specs):
         q = 1.0 - s.alpha
         coef = (F.when(F.col(i) == s.seed, F.lit(1.0))
                 .when(F.col(i) > s.seed, F.lit(s.alpha)).otherwise(F.lit(0.0)))
         term = F.coalesce(coef * F.col(s.x) * F.pow(F.lit(q), -F.col("_ewp")), F.lit(0.0))
         d = d.withColumn(f"_ews{n}", F.pow(F.lit(q), F.col("_ewp")) * F.sum(term).over(w))
-    last = (d.groupBy(*keys, BLK)
-            .agg(*[F.max_by(f"_ews{n}", F.col(i)).alias(f"_ewc{n}") for n in range(len(specs))])
-            .withColumn(BLK, F.col(BLK) + 1))
-    d = d.join(last, [*keys, BLK], "left")
+    last = (d.groupBy(*keys, BLK, "_ewk")
+            .agg(*[F.max_by(f"_ews{n}", F.col(i)).alias(f"_ewc{n}") for n in range(len(specs))]))
+    ends = F.col("_ewk") == parts - 1
+    last = (last.withColumn(BLK, F.when(ends, F.col(BLK) + 1).otherwise(F.col(BLK)))
+            .withColumn("_ewk", F.when(ends, F.lit(0)).otherwise(F.col("_ewk") + 1).cast("long")))
+    d = d.join(last, [*keys, BLK, "_ewk"], "left")
     for n, s in enumerate(specs):
         q = 1.0 - s.alpha
         y = F.col(f"_ews{n}") + F.pow(F.lit(q), F.col("_ewp") + 1) * F.coalesce(F.col(f"_ewc{n}"), F.lit(0.0))
         d = d.withColumn(s.out, F.when(F.col(i) >= F.lit(s.seed + s.min_periods - 1), y))
-    return d.drop("_ewp", *[f"_ews{n}" for n in range(len(specs))], *[f"_ewc{n}" for n in range(len(specs))])
+    return d.drop("_ewp", "_ewk", *[f"_ews{n}" for n in range(len(specs))], *[f"_ewc{n}" for n in range(len(specs))])

@@ -178,14 +178,13 @@ def q_load_wide(spark, sf):
                             F.col("emb")[0].alias("emb_first")), 4)
 
 
-@register("day_texts", sql("""SELECT day, count(*) AS n_texts, CAST(sum(length(headline)) AS BIGINT) AS n_chars FROM (
-  SELECT *, row_number() OVER (PARTITION BY day ORDER BY md5('42:' || headline), row_no) AS rk FROM dedup)
-WHERE rk <= 3 GROUP BY day""", "dedup"))
+@register("day_texts", sql("""SELECT day, count(*) AS n_texts, CAST(sum(length(headline)) AS BIGINT) AS n_chars,
+  min(md5(headline)) AS first_text FROM dedup GROUP BY day""", "dedup"))
 def q_day_texts(spark, sf):
-    capped = N.cap_rows_per_day(news_dedup(spark, sf), 3, seed=42)
-    g = capped.groupBy("day").agg(F.collect_list("headline").alias("texts"))
-    return g.select("day", F.size("texts").cast("long").alias("n_texts"),
-                    F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+    """All texts of a day (count, characters, a digest), without gathering them."""
+    return news_dedup(spark, sf).groupBy("day").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("headline").cast("long")).alias("n_chars"),
+        F.min(F.md5(F.col("headline").cast("binary"))).alias("first_text"))
 
 
 @register("encode_text")

@@ -126,13 +126,16 @@ def q_all_indicators(spark, sf):
     return rounded(d.select("symbol", "day", "i", *FEAT_COLS))
 
 
-@register("select_features", sql("""SELECT DISTINCT 'vix_close,rsi_14,macd,macd_signal,macd_diff,bb_pct,atr_14,sma_20,sma_50,vol_change'
-  AS features, CAST(10 AS BIGINT) AS n_features FROM feat""", "feat"))
+@register("select_features", sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n_values, count(*) - count({c}) AS n_missing FROM feat" for c in IND.FEATURES), "feat"))
 def q_select_features(spark, sf):
+    """The selected features of the panel with their counts of values, one row per feature."""
     d = FT.feature_panel(_bars(spark, sf), FX.vol_index(spark, sf))
     cols = IND.select_features(d.columns)
-    return (d.limit(1).select(F.lit(",".join(cols)).alias("features"),
-                              F.lit(len(cols)).cast("long").alias("n_features")))
+    one = d.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_values"), (F.col("_n") - F.col(c)).alias("n_missing"))
+                     for c in cols])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 @register("drop_warmup", sql("SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, min(day) AS first_day FROM feat GROUP BY symbol",

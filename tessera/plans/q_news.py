@@ -165,11 +165,9 @@ def q_filter_period(spark, sf):
     return N.filter_period(news_dedup(spark, sf), "1995-03-01", "1995-08-31", coverage_end="1995-06-30")
 
 
-@register("news_text", sql(f"""SELECT row_no, trim(headline || ' ' || body, {WS}) AS text,
-  substr(trim(headline || ' ' || body, {WS}), 1, 512) AS text_512 FROM dedup""", "dedup"))
+@register("news_text", sql(f"SELECT row_no, trim(headline || ' ' || body, {WS}) AS text FROM dedup", "dedup"))
 def q_news_text(spark, sf):
-    return news_dedup(spark, sf).select("row_no", TX.news_text().alias("text"),
-                                       TX.news_text(max_chars=512).alias("text_512"))
+    return news_dedup(spark, sf).select("row_no", TX.news_text().alias("text"))
 
 
 @register("resolve_columns", sql("SELECT CAST(day AS VARCHAR) AS date, headline, body, source, src_rank, row_no FROM news",
