@@ -45,6 +45,7 @@ class Lexicon:
         self.term_end: list[bool] = [False]
         self.stem_end: list[bool] = [False]
         self.fuzzy: list[bool] = [False]  # on the way to a term that may be misspelled
+        self.fuzzy_end: list[bool] = [False]  # the end of one
         for words, ends in ((self.terms, self.term_end), (self.stems, self.stem_end)):
             for w in words:
                 at, path = 0, [0]
@@ -52,12 +53,13 @@ class Lexicon:
                     if c not in self.edges[at]:
                         self.edges[at][c] = len(self.edges)
                         self.edges.append({})
-                        for flags in (self.term_end, self.stem_end, self.fuzzy):
+                        for flags in (self.term_end, self.stem_end, self.fuzzy, self.fuzzy_end):
                             flags.append(False)
                     at = self.edges[at][c]
                     path.append(at)
                 ends[at] = True
                 if ends is self.term_end and len(w) >= FUZZY_LENGTH:
+                    self.fuzzy_end[at] = True
                     for node in path:
                         self.fuzzy[node] = True
         self.alphabet = {c for e in self.edges for c in e}
@@ -75,7 +77,7 @@ class Lexicon:
             self.sets.append(states)
             self.next.append({})
             exact = any(e == 0 and self.term_end[n] for n, e in states)
-            near = any(e == 1 and self.term_end[n] and self.fuzzy[n] for n, e in states)
+            near = any(e == 1 and self.fuzzy_end[n] for n, e in states)
             self.end_kind.append(1 if exact else 3 if near else 0)
             self.stem_kind.append(any(e == 0 and self.stem_end[n] for n, e in states))
         return self.numbers[states]
