@@ -305,8 +305,8 @@ def test_group_tasks_equal_brute_force():
     base = np.sort(rng.integers(0, 1 << 40, 120).astype(np.uint64))
     sets = []
     for k in range(30):
-        keep = rng.random(120) > 0.12
-        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 40, 8).astype(np.uint64)])))
+        keep = rng.random(120) > 0.06
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 40, 3).astype(np.uint64)])))
     found = minhash._block_links(list(range(30)), list(range(30)), sets, 30)
     root = list(range(30))
 
