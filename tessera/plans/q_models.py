@@ -42,7 +42,8 @@ def design(spark, sf):
 
 
 def wf_folds(des):
-    n = SP.counts(des, ["symbol"])
+    """Five walk-forward folds on [0, test_start): no fold reads a test row."""
+    n = test_geometry(des).select("symbol", F.col("test_start").alias("n"))
     return SP.walk_forward(n, ["symbol"]).withColumn("fold", F.col("fold").cast("int"))
 
 
@@ -78,7 +79,7 @@ _GRAM_SQL = f"""SELECT symbol, seg_lo, seg_hi, {', '.join(_SUM_EXPRS)} FROM (
          mt + 5 * vs AS last_hi
   FROM dz d JOIN (SELECT symbol, mt, (n - mt) // 6 AS vs FROM (
       SELECT symbol, n, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS mt FROM (
-        SELECT symbol, count(*) AS n FROM dz GROUP BY symbol))) g USING (symbol))
+        SELECT symbol, CAST(floor(count(*) * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n FROM dz GROUP BY symbol))) g USING (symbol))
 WHERE j < last_hi GROUP BY symbol, seg_lo, seg_hi"""
 
 

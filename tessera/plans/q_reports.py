@@ -29,7 +29,7 @@ CTES.update({
   SELECT symbol, CAST(fold AS INTEGER) AS fold, mt + fold * vs AS val_lo, mt + (fold + 1) * vs AS val_hi
   FROM (SELECT symbol, n, mt, (n - mt) // 6 AS vs FROM (
           SELECT symbol, n, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS mt
-          FROM (SELECT symbol, count(*) AS n FROM mom GROUP BY symbol))) a,
+          FROM (SELECT symbol, CAST(floor(count(*) * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n FROM mom GROUP BY symbol))) a,
        (SELECT unnest(range(0, 5)) AS fold) f
   WHERE mt + (fold + 1) * vs <= n)"""),
     "fm": (("wf",), """fm AS (
@@ -46,10 +46,11 @@ def _bars(spark, sf):
 
 
 def fold_metrics(spark, sf):
-    """Walk-forward validation blocks over the momentum predictions of each symbol."""
+    """Walk-forward validation blocks over the momentum predictions of each symbol, cut on the rows before the test."""
     m = preds(spark, sf).filter((F.col("model") == "momentum") & (F.col("horizon") == 1))
     m = S.with_position(m.select("symbol", "day", "y_true", "y_pred"), "symbol", "day", out="k")
-    folds = SP.walk_forward(SP.counts(m, ["symbol"]), ["symbol"])
+    n = SP.counts(m, ["symbol"]).withColumn("n", SP.final_test_start(F.col("n")))
+    folds = SP.walk_forward(n, ["symbol"])
     val = folds.select("symbol", "fold", F.col("val_lo").alias("lo"), F.col("val_hi").alias("hi"))
     a = SP.assign(m, val, ["symbol"], i="k")
     return a.groupBy("symbol", "fold").agg(

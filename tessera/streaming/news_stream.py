@@ -66,11 +66,7 @@ def daily_vector_sums(vectors: DataFrame, ts: str = "ts", col: str = "emb", wate
               .select(F.to_date(F.col("w.start")).alias("day"), "dim", "s", "n"))
 
 
-def dropped_by_watermark(query) -> int:
-    """Rows dropped as late by stateful operators over the query's recent progress."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            v = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            total += int(v or 0)
-    return total
+def daily_counts(events: DataFrame, ts: str = "ts", watermark: str = "1 day") -> DataFrame:
+    """Rows per 1-day tumbling window; a day is emitted once, when the watermark has passed its end."""
+    w = events.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day").alias("w"))
+    return w.agg(F.count(F.lit(1)).alias("n_events")).select(F.to_date("w.start").alias("day"), "n_events")

@@ -48,3 +48,11 @@ def test_assign_and_static_roles(spark):
     roles = s.withColumn("n", F.lit(100)).select(SP.static_roles(F.col("i"), F.col("n")).alias("role")).groupBy("role").count()
     got = {r.role: r["count"] for r in roles.collect()}
     assert got == {"train": 69, "val": 15, "test": 16}
+
+
+def test_model_folds_end_before_the_test_rows(spark):
+    from tessera.plans import q_models as Q
+    des = spark.sql("SELECT s AS symbol, j FROM (SELECT explode(array('A', 'B')) AS s), (SELECT id AS j FROM range(997))")
+    ends = Q.wf_folds(des).join(Q.test_geometry(des).select("symbol", "test_start"), "symbol")
+    assert ends.count() == 10
+    assert ends.filter("train_hi > test_start or val_hi > test_start").count() == 0

@@ -21,7 +21,7 @@ def test_stream_equals_batch(spark):
 
 @pytest.mark.parametrize("key", ["all_indicators", "long_short_backtest", "dedup_news_global", "forward_fill",
                                  "nested_splits", "fit_scaler_windows", "diebold_mariano", "stylized_facts",
-                                 "select_one_se", "ridge_gram_sums"])
+                                 "select_one_se", "ridge_gram_sums", "stream_late_data", "fold_regime_table"])
 def test_oracle_sample(spark, key):
     line = compare(spark, duck(SF), key, E.queries()[key], E.oracle_sql()[key], SF)
     assert " OK " in line, line
