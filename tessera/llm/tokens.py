@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .common import append_columns, drop_staged, release, staged
+from .common import append_columns, arrow_rows, drop_staged, release, staged
 
 MAGIC = b"TOKSHRD1"
 LEVEL = 3
@@ -36,10 +36,12 @@ DICTIONARY_BYTES = 64 * 1024
 # The dictionary is trained on at most this many documents, of at most so many ids each.
 SAMPLE_DOCS, SAMPLE_IDS = 1000, 20_000
 SHARD_BYTES = 4_000_000
+# Rows of a batch between Spark and Python: of texts, and of shards.
+TEXT_ROWS, SHARD_ROWS = 2000, 2
 
 
 # Pieces of text whose ids a worker remembers between batches and tasks, by tokenizer file; bounds its memory.
-MEMORY_PIECES = 700_000
+MEMORY_PIECES = 400_000
 BATCH_BYTES = 8_000_000
 _MEMORY: dict[str, PieceIds] = {}
 
@@ -181,10 +183,14 @@ def _decompressor(dictionary: bytes):
 
 
 def sample_dictionary(docs: DataFrame, encoder, end_id: int, width: int, id_col: str, text_col: str) -> bytes:
-    """Train on the documents with the smallest hash: a fixed, bounded and repeatable sample."""
-    rows = (docs.select(id_col, text_col).filter(F.length(text_col) > 0)
-            .select(F.substring(text_col, 1, 4 * SAMPLE_IDS).alias("t"), F.xxhash64(id_col, F.length(text_col)).alias("h"))
-            .orderBy("h", "t").limit(SAMPLE_DOCS).collect())
+    """Train on the documents with the smallest hashes of their ids: a fixed, bounded and repeatable sample.
+
+    The hashes are picked by id alone; the texts of the picked ones (one text to a hash) then come to the driver.
+    """
+    hashed = docs.select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, 4 * SAMPLE_IDS).alias("t"))
+    picked = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)
+    rows = (hashed.join(F.broadcast(picked), "h").filter(F.length("t") > 0)
+            .groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect())
     if not rows:
         return b""
     found = encoder()(pa.array([r["t"] for r in rows], pa.string()))
@@ -198,7 +204,9 @@ def encoded(docs: DataFrame, encoder, dictionary: bytes, end_id: int, width: int
 
         def step(batch: pa.RecordBatch):
             arrays = [np.append(x, np.uint32(end_id)) for x in encode(batch.column(text_col))]
-            return [[len(x) for x in arrays], [z.compress(packed(x, width)) for x in arrays]]
+            made = [[len(x) for x in arrays], [z.compress(packed(x, width)) for x in arrays]]
+            pa.default_memory_pool().release_unused()
+            return made
         return step
 
     return append_columns(docs.select(id_col, text_col), make,
@@ -253,7 +261,8 @@ def write_tokens(docs: DataFrame, path: str, encoder, end_id: int, width: int =
     spark = docs.sparkSession
     dictionary = sample_dictionary(docs, encoder, end_id, width, id_col, text_col)
     sha = dictionary_sha(dictionary)
-    frames = staged(encoded(docs, encoder, dictionary, end_id, width, id_col, text_col), "frames")
+    with arrow_rows(spark, TEXT_ROWS):
+        frames = staged(encoded(docs, encoder, dictionary, end_id, width, id_col, text_col), "frames")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (frames.select(F.col(id_col).cast("long").alias("id"), "n_tokens", "frame")
                .repartitionByRange(parts, "id", F.xxhash64("frame")).sortWithinPartitions("id", F.xxhash64("frame"), "frame")
@@ -295,7 +304,8 @@ def write_tokens(docs: DataFrame, path: str, encoder, end_id: int, width: int =
     drop_staged(frames)
     release(spark)
     out = append_columns(shards.join(starts, ["part", "seq"]), make, [T.StructField("image", T.BinaryType())], drop=("part", "seq"))
-    out.select("shard", "before", "n_docs", "n_ids", "image").write.parquet(f"{path}/shards")
+    with arrow_rows(spark, SHARD_ROWS):
+        out.select("shard", "before", "n_docs", "n_ids", "image").write.parquet(f"{path}/shards")
     (spark.createDataFrame([(bytearray(dictionary), width, end_id)], "dictionary binary, width int, end_id long")
      .coalesce(1).write.parquet(f"{path}/meta"))
     drop_staged(shards)
