@@ -38,6 +38,7 @@ SAMPLE_DOCS, SAMPLE_IDS = 1000, 20_000
 SHARD_BYTES = 4_000_000
 # Rows of a batch between Spark and Python: of texts, and of shards.
 TEXT_ROWS, SHARD_ROWS = 2000, 2
+BROADCAST_SHARDS = 500_000
 
 
 # Pieces of text whose ids a worker remembers between batches and tasks, by tokenizer file; bounds its memory.
@@ -303,12 +304,16 @@ def write_tokens(docs: DataFrame, path: str, encoder, end_id: int, width: int =
     del ordered
     drop_staged(frames)
     release(spark)
-    out = append_columns(shards.join(starts, ["part", "seq"]), make, [T.StructField("image", T.BinaryType())], drop=("part", "seq"))
+    # The shards themselves are shuffled for their numbers only if there are too many numbers to broadcast.
+    starts = staged(starts, "starts")
+    few = starts.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+    out = append_columns(shards.join(F.broadcast(starts) if few else starts, ["part", "seq"]), make, [T.StructField("image", T.BinaryType())], drop=("part", "seq"))
     with arrow_rows(spark, SHARD_ROWS):
         out.select("shard", "before", "n_docs", "n_ids", "image").write.parquet(f"{path}/shards")
     (spark.createDataFrame([(bytearray(dictionary), width, end_id)], "dictionary binary, width int, end_id long")
      .coalesce(1).write.parquet(f"{path}/meta"))
     drop_staged(shards)
+    drop_staged(starts)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
