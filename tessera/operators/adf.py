@@ -58,7 +58,7 @@ def adf(panel: DataFrame, keys: Sequence[str], x: str, i: str = "i", block: int
     """ADF statistic, p-value, lag used, nobs and critical values per key (positions ``i`` contiguous)."""
     keys = list(keys)
     n = panel.groupBy(*keys).agg(F.count(x).alias("_n"), F.min(i).alias("_i0"))
-    kmax = max(default_maxlag(int(r["_n"])) for r in n.select("_n").distinct().collect())   # one row per size
+    kmax = default_maxlag(int(n.agg(F.max("_n")).first()[0] or 0))   # never falls with the size
     d = S.halo(panel.select(*keys, i, x), before=kmax + 1, after=0, i=i, block=block)
     w = S.block_window(keys, i)
     d = d.withColumn("_xl", F.lag(x, 1).over(w)).withColumn("_d", F.col(x) - F.col("_xl"))

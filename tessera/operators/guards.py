@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Thresholds that must equal the reference's for the same verdicts.
 MIN_ALIGNMENT = 0.95          # share of samples that must find their embedding
 MAX_MONTHS_WITHOUT_NEWS = 3   # tolerated gap between expected end and last news day
 DAYS_PER_MONTH = 30.44
