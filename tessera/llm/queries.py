@@ -38,7 +38,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return lines.dedup_lines(read(spark, sf_dir, "documents"), by_edits=True)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

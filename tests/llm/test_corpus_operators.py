@@ -221,6 +221,51 @@ def test_lines_equal_brute_force(spark):
     assert dict(map(tuple, kept))[52] == "\n \n..."
 
 
+def test_lines_by_edits_equal_brute_force_on_edit_similarity(spark):
+    """Changed words and typos, one to a fifth of the words: every group that edit similarity alone makes is found."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 11))) for _ in range(3000)]
+
+    def typo(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + rng.choice(letters) + w[i:], w[:i] + rng.choice(letters) + w[i + 1:], w[:i] + w[i + 1:] or "x"])
+
+    texts = []
+    lengths = [1, 2, 3, 5, 10, 20, 40]
+    for n_words in lengths * 10:
+        base = [rng.choice(vocabulary) for _ in range(n_words)]
+        texts.append(" ".join(base))
+        for change in (typo, lambda w: rng.choice(vocabulary)):
+            w = list(base)
+            for k in rng.sample(range(n_words), rng.randrange(1, max(2, n_words // 5 + 1))):
+                w[k] = change(w[k])
+            texts.append(" ".join(w))
+    texts += ["文" * 3 + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))]
+    texts += [texts[-1][:30] + "文" + texts[-1][31:]]
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs, by_edits=True).collect()}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, b in enumerate(texts):
+        for i, a in enumerate(texts[:j]):
+            most = max(len(a), len(b)) * 20 // 100
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {i: int(find(i) != i) for i in range(len(texts))}
+    assert got == want
+    few = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
+    for n_words in (5, 10, 20, 40):  # three bits of the SimHash lose lines of every length
+        mine = [i for i, t in enumerate(texts) if len(t.split()) == n_words]
+        assert sum(few[i] for i in mine) < sum(want[i] for i in mine)
+
+
 def test_every_block_scheme_finds_all_pairs():
     rng = random.Random(1)
     for nodes in (10, 10**7, 10**10, 10**13):
