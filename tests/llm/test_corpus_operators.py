@@ -374,6 +374,24 @@ def test_group_tasks_equal_brute_force():
     assert all((min(i % 5, j % 5), max(i % 5, j % 5)) in named for i, j in true)
 
 
+def test_long_lists_are_dealt_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 16)
+    # One list of 400 members, 30 of them outside the largest component, and a short one.
+    rows = [(1, i, 5, 0 if i >= 30 else i + 1) for i in range(400)] + [(2, i, 5, i % 2) for i in range(5)]
+    lists = spark.createDataFrame(rows, "value long, node long, score long, label long")
+    got = minhash._tiled(lists.join(minhash._mixed(lists), "value")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["value"], r["tile"], r["chunk"]), []).append(r)
+    assert max(map(len, groups.values())) <= 4 * 16 and len(groups) > 25
+    met = {(v, x["node"], y["node"]) for (v, _, _), g in groups.items() for x in g if x["role"] != 1 for y in g if y["role"] != 0}
+    assert met == {(1, i, j) for i in range(30) for j in range(400)} | {(2, i, j) for i in (1, 3) for j in range(5)}
+    # The result does not depend on the parts.
+    made = near_copies(random.Random(5), 3, 30)
+    docs = spark.createDataFrame(made, SCHEMA).repartition(4)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, width=2).collect()), key=str) == brute_components(made, 2)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(20)]
