@@ -31,8 +31,10 @@ FLEX_FORMATS = (
     "d MMM yyyy",
     "d MMMM yyyy",
     "MMM d yyyy",
-    "EEE, d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss z",
 )
+# A weekday in front of a date says nothing new, and Spark's patterns can't parse one.
+_WEEKDAY = r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 
 
 def _missing(s: Column) -> Column:
@@ -40,6 +42,7 @@ def _missing(s: Column) -> Column:
 
 
 def _flexible(s: Column) -> Column:
+    s = F.regexp_replace(s, _WEEKDAY, "")
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in FLEX_FORMATS])
 
 

@@ -55,6 +55,26 @@ def test_date_parsing(spark):
     assert got == [dt.date(2020, 6, 5), dt.date(2020, 6, 4), None, None, None]
 
 
+FORMAT_VALUES = [
+    ("2020-06-05T06:30:54.123456+00:00", 5), ("2020-06-05T06:30:54Z", 5), ("2020-06-05T06:30:54.5", 5),
+    ("2020-06-05 23:30:54.25-05:00", 5), ("2020-06-05T23:30:54-05:00", 6), ("2020-06-05", 5), ("2020/06/05", 5), ("06/05/2020", 5), ("6/5/2020", 5),
+    ("6/5/20", 5), ("20200605", 5), ("2020-06-05 06:30:54 UTC", 5), ("2020-06-05 06:30", 5), ("Jun 5, 2020", 5),
+    ("June 5, 2020", 5), ("5 Jun 2020", 5), ("5 June 2020", 5), ("Jun 5 2020", 5), ("5 Jun 2020 06:30:54 GMT", 5),
+    ("Fri, 5 Jun 2020 06:30:54 GMT", 5), ("Friday, June 5, 2020", 5), ("  2020-06-05  ", 5),
+]
+
+
+@pytest.mark.parametrize("parse", [D.parse_news_date, D.parse_iso_day])
+def test_every_date_format_has_a_value(spark, parse):
+    assert len(FORMAT_VALUES) >= len(D.FLEX_FORMATS)
+    df = spark.createDataFrame(FORMAT_VALUES + [("32 Jun 2020", None), (None, None), ("Fri", None)], "raw string, want int")
+    # The fast paths read the first 19 (news) or ten (ISO days) characters: an offset behind them does not move the day.
+    fast = parse is D.parse_iso_day
+    bad = [(r.raw, r.d) for r in df.select("raw", "want", parse("raw").alias("d")).collect()
+           if r.d != (None if r.want is None else dt.date(2020, 6, 5 if fast and r.raw.startswith("2020-06-05") else r.want))]
+    assert bad == []
+
+
 def test_sorted_guard_two_levels(spark):
     rows = [("a", i, dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(50)] + [("a", 50, dt.date(2020, 1, 3))]
     df = spark.createDataFrame(rows, "source string, row_no long, day date")
