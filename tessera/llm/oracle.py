@@ -82,4 +82,19 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(t.reach) AS component_id, d
 FROM d LEFT JOIN n USING (doc_id) JOIN t USING (doc_id) GROUP BY d.doc_id, n.n
 """
 
-ORACLE = {"op2_suffix_dedup": OP2, "op4_decontaminate": OP4, "op6_quality_rules": OP6, "op7_chat": OP7, "op8_minhash": OP8}
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+             list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLE = {"op2_suffix_dedup": OP2, "op4_decontaminate": OP4, "op6_quality_rules": OP6, "op7_chat": OP7, "op8_minhash": OP8, "op11_negatives": OP11}

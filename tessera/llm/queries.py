@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, compression, decontaminate, lines, minhash, mixing, quality_rules, suffixes, tokens, toxicity
+from . import chat, compression, decontaminate, lines, minhash, mixing, negatives, quality_rules, suffixes, tokens, toxicity
 from .common import held_out, read, scratch_path
 
 END_ID = 2
@@ -84,5 +84,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score(docs, model, drop=("text",)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return (negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+            .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_line_dedup, op4_decontaminate, op5_toxicity,
-                                   op6_quality_rules, op7_chat, op8_minhash, op9_tokens, op10_quality)}
+                                   op6_quality_rules, op7_chat, op8_minhash, op9_tokens, op10_quality, op11_negatives)}
