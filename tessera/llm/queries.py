@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, compression, decontaminate, lines, minhash, mixing, negatives, quality_rules, suffixes, tokens, toxicity
+from . import chat, compression, decontaminate, lines, minhash, mixing, negatives, periods, quality_rules, suffixes, tokens, toxicity
 from .common import held_out, read, scratch_path
 
 END_ID = 2
@@ -91,5 +91,26 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The contract's planted periods: of a tenth of the documents the words from a on repeat with period p.
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    words = (read(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"))
+             .withColumn("words", F.when(F.col("h") % 10 == 0, found)).withColumn("n", F.size("words")))
+    g, n = F.floor(F.col("h") / 10), F.col("n")
+    planted = words.withColumn("a", F.when(n > 0, F.pmod(g, n)).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    text = F.when(n > 0, F.array_join(F.concat(F.slice("words", F.lit(1), a), again), " ")).otherwise(F.col("text"))
+    best = periods.strongest()
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return (periods.periodic_runs(planted.select("doc_id", text.alias("text")), drop=("text",)).withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))).cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_line_dedup, op4_decontaminate, op5_toxicity,
-                                   op6_quality_rules, op7_chat, op8_minhash, op9_tokens, op10_quality, op11_negatives)}
+                                   op6_quality_rules, op7_chat, op8_minhash, op9_tokens, op10_quality, op11_negatives,
+                                   op12_periods)}

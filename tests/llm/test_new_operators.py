@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import negatives
+from tessera.llm import negatives, periods
 
 # ------------------------------------------------------------------------------------------------------- hard negatives
 
@@ -89,3 +89,78 @@ def test_packed_products_are_exact():
     values = [0, 1, -1, 255, 256, -256, 1 << 90, -(1 << 90), 1 << 62]
     assert [negatives.unsortable(negatives.sortable(v)) for v in values] == values
     assert sorted(values, key=negatives.sortable) == sorted(values)
+
+
+# --------------------------------------------------------------------------------------------------------- periodic runs
+
+def plain_runs(w):
+    """Runs by the definition: every period, every maximal stretch, the smallest period of a stretch."""
+    n, found = len(w), {}
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            if w[i] != w[i + p]:
+                i += 1
+                continue
+            j = i
+            while j + p < n and w[j] == w[j + p]:
+                j += 1
+            if j + p - i >= max(6, 4 * p):
+                found.setdefault((i, j + p), p)
+            i = j
+    return sorted((s, e - s, p) for (s, e), p in found.items())
+
+
+def periodic_text(rng):
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        unit = [rng.choice("abcd") for _ in range(rng.randrange(1, 7))]
+        out += (unit * rng.randrange(1, 9))[:rng.randrange(1, 60)]
+        out += [rng.choice("abcdefghij") for _ in range(rng.randrange(0, 6))]
+    return out
+
+
+@pytest.mark.parametrize("grid", [periods.GRID, 7])
+def test_runs_equal_brute_force(monkeypatch, grid):
+    monkeypatch.setattr(periods, "GRID", grid)
+    rng = random.Random(5)
+    texts = [periodic_text(rng) for _ in range(150)] + [[], ["a"], ["a"] * 5, ["a"] * 6, ["a"] * 200, ["a", "b"] * 4, ["a", "b"] * 3, list("ab" * 50 + "c" + "ab" * 50)]
+    a, b = ["a"], ["a", "b"]  # Fibonacci words are full of cubes and have no fourth power
+    for _ in range(11):
+        a, b = b, b + a
+    texts += [b, (["a"] * 4 + ["b"]) * 40, (list("aab") * 4 + ["c"]) * 30]
+    numbers = [np.array([hash(x) % 1000 for x in t], dtype=np.int64) for t in texts]
+    assert periods.find_runs(numbers) == [plain_runs(t.tolist()) for t in numbers]
+    assert sum(map(len, periods.find_runs(numbers))) > 100
+
+
+def test_extensions_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for size, letters in ((2, 2), (3, 1), (40, 1), (60, 2), (300, 3), (500, 1)):
+        words = np.concatenate([[90], rng.integers(0, letters, size), [91]])
+        seq = periods.Sequence(words)
+        a, b = np.triu_indices(len(words), 1)
+        got = seq.right.lengths(a, b)
+        for i, j, n in zip(a.tolist(), b.tolist(), got.tolist()):
+            k = 0
+            while j + k < len(words) and words[i + k] == words[j + k]:
+                k += 1
+            assert k == n
+
+
+def test_periodic_runs_of_rows(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([" ", "\n", " \t"]).join(periodic_text(rng)), i) for i in range(40)]
+    rows += [(40, None, 0), (41, "", 0), (None, " x x  x x x x y", 0), (42, "\u00a0 \u00a0 " * 9, 1), (42, "\u00a0 \u00a0 " * 9, 1), (43, "e\x1c " * 30000, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, runs int").repartition(3)
+    out = periods.periodic_runs(df).withColumn("best", periods.strongest()).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        w = [x for x in (r["text"] or "").replace("\n", " ").replace("\t", " ").split(" ") if x]
+        want = plain_runs(w) if len(w) < 1000 else [(0, len(w), 1)]
+        assert [(x["start"], x["length"], x["period"]) for x in r["runs"]] == want and r["n_words"] == len(w)
+        gone = {i for s, n, p in want for i in range(s + p, s + n)}
+        assert r["collapsed"] == " ".join(x for i, x in enumerate(w) if i not in gone)
+        best = max(want, key=lambda x: (x[1] / x[2], -x[0], -x[2]), default=None)
+        assert (None if r["best"] is None else (r["best"]["start"], r["best"]["length"], r["best"]["period"])) == best
+    assert periods.periodic_runs(df.filter("false")).count() == 0
