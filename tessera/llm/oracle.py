@@ -106,18 +106,17 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\
 g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM d),
 a AS (SELECT doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, g FROM g),
 b AS (SELECT doc_id, w, n, a, 1 + (n - a) // (3 + coalesce(g, 0) % 8) AS p FROM a),
-x AS (SELECT doc_id, i, w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] AS s FROM (SELECT doc_id, w, n, a, p, unnest(range(0, n)) AS i FROM b)),
-grid AS (SELECT doc_id, p, unnest(range(0, (n - 1) // p - 2)) * p AS i FROM (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS p FROM b)),
-cand AS (SELECT DISTINCT grid.doc_id, p FROM grid JOIN x a ON a.doc_id = grid.doc_id AND a.i = grid.i
-         JOIN x b ON b.doc_id = grid.doc_id AND b.i = grid.i + p AND a.s = b.s JOIN x c ON c.doc_id = grid.doc_id AND c.i = grid.i + 2 * p AND a.s = c.s
-         JOIN x d ON d.doc_id = grid.doc_id AND d.i = grid.i + 3 * p AND a.s = d.s),
-eq AS (SELECT cand.doc_id, p, a.i, a.i - row_number() OVER (PARTITION BY cand.doc_id, p ORDER BY a.i) AS run
-       FROM cand JOIN x a ON a.doc_id = cand.doc_id JOIN x b ON b.doc_id = cand.doc_id AND b.i = a.i + p AND a.s = b.s),
+t AS (SELECT doc_id, n, list_transform(range(0, n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) AS w FROM b),
+grid AS (SELECT doc_id, w, p, unnest(range(0, (n - 1) // p - 2)) * p + 1 AS i FROM (SELECT doc_id, n, w, unnest(range(1, n // 4 + 1)) AS p FROM t)),
+cand AS (SELECT DISTINCT doc_id, p FROM grid WHERE w[i] = w[i + p] AND w[i] = w[i + 2 * p] AND w[i] = w[i + 3 * p]),
+eq AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS run
+       FROM (SELECT doc_id, w, p, unnest(range(0, n - p)) AS i FROM cand JOIN t USING (doc_id)) WHERE w[i + 1] = w[i + p + 1]),
 runs AS (SELECT doc_id, start, length, min(p) AS period FROM (
            SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM eq GROUP BY doc_id, p, run) WHERE length >= greatest(6, 4 * p) GROUP BY ALL),
 best AS (SELECT doc_id, count(*) AS n_runs, arg_min(row(start, length, period), row(-length / period, start, period)) AS r,
                 sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+x AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS s FROM t),
 kept AS (SELECT doc_id, sha256(string_agg(s, ' ' ORDER BY i)) AS collapsed_sha256 FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, r[1]::BIGINT AS start, r[2]::BIGINT AS length, r[3]::BIGINT AS period, (1000 * r[2] // r[3])::BIGINT AS exponent_milli,
        coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
