@@ -123,4 +123,15 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, r[1]::BIGINT AS start, r[2
 FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op2_suffix_dedup": OP2, "op4_decontaminate": OP4, "op6_quality_rules": OP6, "op7_chat": OP7, "op8_minhash": OP8, "op11_negatives": OP11, "op12_periods": OP12}
+OP13 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+hit AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM hit),
+x AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS s FROM d),
+kept AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS t, count(*) AS n FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE = {"op2_suffix_dedup": OP2, "op4_decontaminate": OP4, "op6_quality_rules": OP6, "op7_chat": OP7, "op8_minhash": OP8, "op11_negatives": OP11, "op12_periods": OP12,
+          "op13_factors": OP13}

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, compression, decontaminate, lines, minhash, mixing, negatives, periods, quality_rules, suffixes, tokens, toxicity
+from . import chat, compression, decontaminate, factors, lines, minhash, mixing, negatives, periods, quality_rules, suffixes, tokens, toxicity
 from .common import held_out, read, scratch_path
 
 END_ID = 2
@@ -111,6 +111,11 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
 
 
+def op13_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = factors.remove_repeats(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_line_dedup, op4_decontaminate, op5_toxicity,
                                    op6_quality_rules, op7_chat, op8_minhash, op9_tokens, op10_quality, op11_negatives,
-                                   op12_periods)}
+                                   op12_periods, op13_factors)}

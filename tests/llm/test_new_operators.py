@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import negatives, periods
+from tessera.llm import factors, negatives, periods
 
 # ------------------------------------------------------------------------------------------------------- hard negatives
 
@@ -164,3 +164,63 @@ def test_periodic_runs_of_rows(spark):
         best = max(want, key=lambda x: (x[1] / x[2], -x[0], -x[2]), default=None)
         assert (None if r["best"] is None else (r["best"]["start"], r["best"]["length"], r["best"]["period"])) == best
     assert periods.periodic_runs(df.filter("false")).count() == 0
+
+
+# --------------------------------------------------------------------------------------------------------- factor dedup
+
+def plain_spans(rows, length):
+    """Words covered by a window that starts earlier, by the definition; rows of equal ids but other texts don't judge each other."""
+    texts = {(i, t or "") for i, t in rows}
+    windows = {}
+    for i, t in texts:
+        w = t.split()
+        for k in range(len(w) - length + 1):
+            windows.setdefault(tuple(w[k:k + length]), []).append((i is None, i or 0, t, k))
+    gone = {}
+    for places in windows.values():
+        for no_id, i, t, k in places:
+            if any((p[0], p[1]) < (no_id, i) or (p[2] == t and (p[0], p[1]) == (no_id, i) and p[3] < k) for p in places):
+                gone.setdefault((None if no_id else i, t), set()).update(range(k, k + length))
+    return gone
+
+
+def repeating_rows(rng, n, length):
+    passages = [[f"p{rng.randrange(60)}" for _ in range(rng.randrange(length, 4 * length))] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            w += [f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 2 * length))]
+            p = rng.choice(passages)
+            a = rng.randrange(0, len(p) // 2)
+            w += p[a:a + rng.randrange(length // 2, len(p))]
+            if rng.random() < 0.2:
+                w += ["x", "y"] * rng.randrange(length)
+        rows.append((i * 3 % n, rng.choice([" ", "\n", "  "]).join(w)))
+    rows += [(n, None), (n + 1, ""), (n + 2, "short"), (None, rows[3][1]), (None, rows[3][1]), (None, rows[4][1] + " tail"), rows[5], rows[5]]
+    rows += [(n + 3, rows[6][1]), (n + 3, rows[6][1] + " other tail"), (n + 4, " ".join(["z"] * 300)), (-5, " ".join(["z"] * 9 * length))]
+    return rows
+
+
+@pytest.mark.parametrize("hot,part", [(64, 400_000), (1, 400_000), (64, 55)])
+def test_factor_dedup_equals_brute_force(spark, monkeypatch, hot, part):
+    monkeypatch.setattr(factors, "HOT", hot)
+    monkeypatch.setattr(factors, "SAMPLE", 1 if hot == 1 else 64)
+    monkeypatch.setattr(factors, "PART_WORDS", part)
+    rng = random.Random(8)
+    for length in (20, 5):
+        rows = repeating_rows(rng, 60, length)
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("route", F.lit(1)).withColumn("id", F.lit("x")).repartition(3)
+        out = factors.remove_repeats(df, length=length).collect()
+        gone = plain_spans(rows, length)
+        words = lambda t: (t or "").split()
+        want = sorted((str(i), len(words(t)), len(g := gone.get((i, t or ""), ())), " ".join(x for k, x in enumerate(words(t)) if k not in g)) for i, t in rows)
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in out) == want
+        assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in out)
+        assert sum(r["n_removed"] > 0 for r in out) > 20
+
+
+def test_factor_dedup_of_an_empty_table(spark):
+    out = factors.remove_repeats(spark.createDataFrame([], "doc_id long, text string"))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_words", "n_removed", "spans", "kept"]
