@@ -10,12 +10,13 @@ of a smaller id, or earlier in the same one).  To compare only texts that can sh
    greedily against the indexed pieces before it.  A factor begins where a phrase of ``LENGTH`` words stands in the index and
    goes on as long as the words agree with the indexed place; shorter factors can't hold a window and are passed over word by
    word.  Windows across the end of a factor are checked on their own.  Then the piece's new phrases join the index.
-   Phrases are compared as texts: hashes only route, they never decide.
+   Phrases are compared as words, in a code that gives every word its own bytes: hashes only route, they never decide.
 3. Spans.  The factors are windows that start earlier; their words, merged per document, are the spans to remove.
 
-Routes that very many pieces share (a common phrase with ever other words around it) are found on a sample of the documents
-and their windows are routed one by one, by a hash of all their words, so that no route gathers more than equal windows.  The
-sample decides how windows travel, not what is found.
+A sample of the documents, bounded in its results, decides how windows travel, not what is found: its most frequent words get
+codes of two bytes (every other word is written out), and routes that very many pieces share (a common phrase with ever other
+words around it) are known beforehand; their windows are routed one by one, by a hash of all their words, so that no route
+gathers more than equal windows.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ PIECE_WINDOWS = 64
 # Bytes of normalised text that a map step holds in arrays, and words of a part of a very long text.
 BATCH_BYTES = 2_000_000
 PART_WORDS = 400_000
-# Hot routes: one document in SAMPLE is looked at; routes with HOT sampled pieces or more are hot, MOST_HOT of them at most.
+# One document in SAMPLE is looked at.  Routes with HOT sampled pieces or more are hot, MOST_HOT of them at most; CODES words
+# of at most CODED_BYTES bytes get short codes.
 SAMPLE, HOT, MOST_HOT = 64, 64, 200_000
+CODES, CODED_BYTES = 0xFF00, 40
 _NO_ID = (1 << 63) - 1  # a null id stands after every other
 # An odd base of the hashes and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -57,14 +60,39 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, out=out)
 
 
+class Code:
+    """Bytes for words: two for a frequent word, the first below 0xFF; else 0xFF, the length in four bytes, and the word."""
+
+    def __init__(self, frequent: list[bytes]):
+        self.known = {w: k.to_bytes(2, "big") for k, w in enumerate(frequent)}
+
+    def __call__(self, words: list[bytes]) -> pa.Array:
+        known = self.known
+        of = pa.array(words, pa.binary()).dictionary_encode()
+        codes = [known.get(w) or b"\xff" + len(w).to_bytes(4, "big") + w for w in of.dictionary.to_pylist()]
+        return pa.array(codes, pa.large_binary()).take(of.indices)
+
+
+def borders(text: bytes) -> list[int]:
+    """Where the words of a coded text begin, and its end."""
+    if b"\xff" not in text[::2]:  # no word is written out before the first place where one could stand
+        return list(range(0, len(text) + 1, 2))
+    out, at = [0], 0
+    while at < len(text):
+        at += 5 + int.from_bytes(text[at + 1:at + 5], "big") if text[at] == 0xFF else 2
+        out.append(at)
+    return out
+
+
 class Words:
-    """Words of several texts in one buffer, each word followed by one space."""
+    """Coded words of several texts in one buffer."""
 
-    def __init__(self, parts: list[list[bytes]]):
-        self.data = b"".join(b" ".join(p) + b" " for p in parts if p)
+    def __init__(self, parts: list[list[bytes]], code: Code):
+        coded = code([w for p in parts for w in p])
+        at = np.frombuffer(coded.buffers()[1], dtype=np.int64)[:len(coded) + 1] if len(coded) else np.zeros(1, dtype=np.int64)
+        self.data = coded.buffers()[2].to_pybytes()[:int(at[-1])] if len(coded) else b""
+        self.starts, self.ends = at[:-1], at[1:]
         flat = np.frombuffer(self.data, dtype=np.uint8)
-        self.ends = np.flatnonzero(flat == 32)
-        self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
         self.text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         self.first = np.cumsum([0] + [len(p) for p in parts])[:-1]
         # Prefix sums of bytes times powers of an odd base: the hash of any stretch is a difference, shifted back.
@@ -130,21 +158,22 @@ def _parts(batch: pa.RecordBatch, length: int):
         yield rows, parts, firsts
 
 
-_PIECE = T.StructType([T.StructField("route", T.LongType()), T.StructField("id", T.LongType()), T.StructField("k1", T.LongType()),
-                       T.StructField("k2", T.LongType()), T.StructField("start", T.LongType()), T.StructField("windows", T.IntegerType()),
-                       T.StructField("text", T.BinaryType())])
+# ``place`` holds the first word and the number of windows of a piece.
+_PIECE = T.StructType([T.StructField("route", T.LongType()), T.StructField("id", T.LongType()), T.StructField("key", T.LongType()),
+                       T.StructField("place", T.LongType()), T.StructField("text", T.BinaryType())])
+_SHIFT = 2 * PIECE_WINDOWS
 
 
-def _routed(length: int, hot: np.ndarray):
+def _routed(length: int, frequent: list[bytes], hot: np.ndarray):
     """Pieces of a batch; of equal ones all but the first carry no text and a route by document: their windows start earlier."""
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(_PIECE)
+        schema, code = to_arrow_schema(_PIECE), Code(frequent)
         for batch in batches:
-            ids, k1, k2 = (batch.column(c).to_numpy() for c in ("id", "k1", "k2"))
+            ids, keys = (batch.column(c).to_numpy() for c in ("id", "key"))
             for rows, parts, firsts in _parts(batch, length):
-                w = Words(parts)
+                w = Words(parts, code)
                 at, windows, route = pieces(w, length, hot)
                 if not len(at):
                     continue
@@ -153,14 +182,14 @@ def _routed(length: int, hot: np.ndarray):
                 start = at - w.first[part] + np.array(firsts)[part]
                 text = pa.array(w.slices(at, windows + length - 1), pa.binary()).dictionary_encode()
                 number = text.indices.to_numpy()
-                order = np.lexsort((start, k2[row], k1[row], ids[row], number))
+                order = np.lexsort((start, keys[row], ids[row], number))
                 n, r = number[order], row[order]
                 head = np.ones(len(n), dtype=bool)
                 head[1:] = n[1:] != n[:-1]
                 first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
                 # An equal piece of a smaller id or of the same document stands before it; a repeated row is the same piece again.
                 f = row[first]
-                own = (ids[r] == ids[f]) & (k1[r] == k1[f]) & (k2[r] == k2[f])
+                own = (ids[r] == ids[f]) & (keys[r] == keys[f])
                 later = np.zeros(len(at), dtype=bool)
                 later[order] = ~head & ((ids[f] < ids[r]) | (own & (start[order] > start[first])))
                 again = np.zeros(len(at), dtype=bool)
@@ -168,19 +197,20 @@ def _routed(length: int, hot: np.ndarray):
                 keep = np.flatnonzero(~again)
                 gone = later[keep]
                 row, start, windows, route = row[keep], start[keep], windows[keep], route[keep].astype(np.int64)
-                route = np.where(gone, k1[row] ^ start, route)
+                route = np.where(gone, keys[row] ^ start, route)
                 shown = text.dictionary.take(pa.array(np.where(gone, 0, number[keep]), mask=gone))
-                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids[row]), pa.array(k1[row]), pa.array(k2[row]), pa.array(start),
-                                                  pa.array(windows.astype(np.int32)), shown], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids[row]), pa.array(keys[row]),
+                                                  pa.array(start * _SHIFT + windows), shown], schema=schema)
             pa.default_memory_pool().release_unused()
     return run
 
 
-def _sampled_routes(length: int):
+def _sampled_routes(length: int, frequent: list[bytes]):
     def run(batches):
+        code = Code(frequent)
         for batch in batches:
             for _, parts, _ in _parts(batch, length):
-                _, _, route = pieces(Words(parts), length, np.zeros(0, dtype=np.uint64))
+                _, _, route = pieces(Words(parts, code), length, np.zeros(0, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64))], names=["route"])
     return run
 
@@ -195,7 +225,7 @@ class Reference:
         self.now, self.own, self.waiting = None, {}, {}
 
     def turn(self, document: tuple) -> None:
-        """Pieces of ``document`` (id, ...) come next; phrases of smaller ids and of its own count, not those of equal ids."""
+        """Pieces of ``document`` (id, key) come next; phrases of smaller ids and of its own count, not those of equal ids."""
         if document == self.now:
             return
         if self.now is not None:
@@ -207,62 +237,59 @@ class Reference:
                 self.waiting = {}
         self.now, self.own = document, {}
 
-    def find(self, phrase: bytes):
-        return self.index.get(phrase) or self.own.get(phrase)
-
     def parse(self, text: bytes) -> list[tuple[int, int]]:
         """Factors of at least ``length`` words of the piece, as (first word, end), and of the windows across their ends."""
-        words, length = text.split(b" "), self.length
-        out, s, n = [], 0, len(words)
-        phrase = lambda i: b" ".join(words[i:i + length])
+        at, length = borders(text), self.length
+        out, s, n = [], 0, len(at) - 1
         while s + length <= n:
-            p = phrase(s)
-            place = self.find(p)
+            phrase = text[at[s]:at[s + length]]
+            place = self.index.get(phrase) or self.own.get(phrase)
             if place is None:
-                self.own[p] = (words, s)
+                self.own[phrase] = (text, at, s)
                 s += 1
                 continue
-            there, o = place
+            there, its, o = place
             e, o = s + length, o + length
-            while e < n and o < len(there) and there[o] == words[e]:
+            while e < n and o + 1 < len(its) and there[its[o]:its[o + 1]] == text[at[e]:at[e + 1]]:
                 e, o = e + 1, o + 1
             out.append((s, e))
-            # Windows across the end of the factor, one by one: an unknown one is indexed and ends the check.
+            # Windows across the end of the factor, one by one: a known one begins the next factor.
             s = e - length + 1
         return out
 
 
 def _factored(length: int):
     def run(batches):
-        schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
         def rows():
             for batch in batches:
-                route = batch.column("route").to_numpy()
-                yield from zip(route.tolist(), *(batch.column(c).to_pylist() for c in ("id", "k1", "k2", "start", "windows", "text")))
+                yield from zip(*(batch.column(c).to_pylist() for c in ("route", "id", "key", "place", "text")))
 
-        def parsed(block, document, start, text):
-            block.turn(document)
-            return [(*document, start + s, start + e) for s, e in block.parse(text)]
+        def parsed(block, i, key, place, text):
+            block.turn((i, key))
+            start = place // _SHIFT
+            return [(i, key, start + s, start + e) for s, e in block.parse(text)]
 
         out = []
         for _, group in groupby(rows(), key=lambda r: r[0]):
             block, first, last = None, None, None
-            for _, i, a, b, start, windows, text in group:
+            for _, *piece in group:
+                i, key, place, text = piece
                 if text is None:  # an equal piece stands earlier
-                    out.append((i, a, b, start, start + windows + length - 1))
+                    out.append((i, key, place // _SHIFT, place // _SHIFT + place % _SHIFT + length - 1))
                 elif first is None:
-                    first = last = (i, a, b), start, text
-                elif last[:2] != ((i, a, b), start):  # else the same piece of a repeated row
+                    first = last = piece
+                elif last[:3] != piece[:3]:  # else the same piece of a repeated row
                     if block is None:
                         block = Reference(length)
                         out += parsed(block, *first)
-                    last = (i, a, b), start, text
-                    out += parsed(block, *last)
+                    last = piece
+                    out += parsed(block, *piece)
             if first is not None and block is None:
                 # Alone on its route: a phrase that stands in it twice makes ``length`` of its words repetitions.
-                words = first[2].split(b" ")
-                if len(set(words)) <= len(words) - length:
+                text, at = first[3], borders(first[3])
+                if len({text[a:b] for a, b in zip(at, at[1:])}) < len(at) - length:
                     out += parsed(Reference(length), *first)
             if len(out) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
@@ -318,19 +345,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = base.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(13), "text")})
-    sample = keyed.filter(F.pmod(F.xxhash64("id", "k1"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled_routes(length), "route long")
-    common = sample.groupBy("route").count().filter(F.col("count") >= HOT).orderBy(F.col("count").desc(), "route").limit(MOST_HOT)
+    keyed = base.withColumn("key", F.xxhash64("text"))
+    sample = keyed.filter(F.pmod(F.xxhash64("id", "key"), F.lit(SAMPLE)) == 0).select("text")
+    words = sample.select(F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).filter((F.octet_length("word") <= CODED_BYTES) & (F.col("word") != ""))
+    frequent = [r["word"].encode() for r in words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(CODES).collect()]
+    routes = sample.mapInArrow(_sampled_routes(length, frequent), "route long")
+    common = routes.groupBy("route").count().filter(F.col("count") >= HOT).orderBy(F.col("count").desc(), "route").limit(MOST_HOT)
     hot = np.sort(np.array([r["route"] for r in common.collect()], dtype=np.int64).astype(np.uint64))
-    sent = keyed.select("id", "k1", "k2", "text").mapInArrow(_routed(length, hot), _PIECE)
-    ordered = sent.repartition("route").sortWithinPartitions("route", "id", "k1", "k2", "start")
+    sent = keyed.select("id", "key", "text").mapInArrow(_routed(length, frequent, hot), _PIECE)
+    ordered = sent.repartition("route").sortWithinPartitions("route", "id", "key", "place")
     with arrow_rows(spark, 2000):
-        found = staged(ordered.mapInArrow(_factored(length), "id long, k1 long, k2 long, start long, end long"), "factors")
+        found = staged(ordered.mapInArrow(_factored(length), "id long, key long, start long, end long"), "factors")
     del sent, ordered
     release(spark)
-    per_document = (found.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("f"))
-                    .select("id", "k1", "k2", F.col("f.start").alias("_starts"), F.col("f.end").alias("_ends")))
-    whole = keyed.join(per_document, ["id", "k1", "k2"], "left").select(F.col("doc").alias(id_col), "text", "_starts", "_ends")
+    per_document = (found.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("f"))
+                    .select("id", "key", F.col("f.start").alias("_starts"), F.col("f.end").alias("_ends")))
+    whole = keyed.join(per_document, ["id", "key"], "left").select(F.col("doc").alias(id_col), "text", "_starts", "_ends")
     cut = append_columns(whole, _cut, [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPAN), T.StructField("kept", T.StringType())],
                          drop=("text", "_starts", "_ends"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
