@@ -25,6 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import append_columns, arrow_rows, raw_texts, release, staged
@@ -64,13 +65,18 @@ class Code:
     """Bytes for words: two for a frequent word, the first below 0xFF; else 0xFF, the length in four bytes, and the word."""
 
     def __init__(self, frequent: list[bytes]):
-        self.known = {w: k.to_bytes(2, "big") for k, w in enumerate(frequent)}
+        self.frequent = pa.array(frequent, pa.binary())
+        self.short = pa.array([k.to_bytes(2, "big") for k in range(len(frequent))], pa.binary())
 
-    def __call__(self, words: list[bytes]) -> pa.Array:
-        known = self.known
-        of = pa.array(words, pa.binary()).dictionary_encode()
-        codes = [known.get(w) or b"\xff" + len(w).to_bytes(4, "big") + w for w in of.dictionary.to_pylist()]
-        return pa.array(codes, pa.large_binary()).take(of.indices)
+    def __call__(self, words: pa.Array) -> pa.Array:
+        of = words.dictionary_encode()
+        n = len(of.dictionary)
+        head = np.full((n, 5), 0xFF, dtype=np.uint8)
+        head[:, 1:] = pc.binary_length(of.dictionary).to_numpy().astype(">u4").view(np.uint8).reshape(n, 4)
+        heads = pa.Array.from_buffers(pa.binary(5), n, [None, pa.py_buffer(head.tobytes())]).cast(pa.binary())
+        written = pc.binary_join_element_wise(heads, of.dictionary, pa.scalar(b"", pa.binary()))
+        codes = pc.coalesce(self.short.take(pc.index_in(of.dictionary, value_set=self.frequent)), written)
+        return codes.cast(pa.large_binary()).take(of.indices)
 
 
 def borders(text: bytes) -> list[int]:
@@ -85,16 +91,15 @@ def borders(text: bytes) -> list[int]:
 
 
 class Words:
-    """Coded words of several texts in one buffer."""
-
-    def __init__(self, parts: list[list[bytes]], code: Code):
-        coded = code([w for p in parts for w in p])
-        at = np.frombuffer(coded.buffers()[1], dtype=np.int64)[:len(coded) + 1] if len(coded) else np.zeros(1, dtype=np.int64)
-        self.data = coded.buffers()[2].to_pybytes()[:int(at[-1])] if len(coded) else b""
-        self.starts, self.ends = at[:-1], at[1:]
+    """Coded words of several texts in one buffer; ``text`` is the text of each word and ``at`` its number there."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, words: pa.Array, code: Code):
+        self.text, self.at = text, at
+        coded = code(words)
+        cuts = np.frombuffer(coded.buffers()[1], dtype=np.int64)[:len(coded) + 1]
+        self.data = coded.buffers()[2].to_pybytes()[:int(cuts[-1])]
+        self.starts, self.ends = cuts[:-1], cuts[1:]
         flat = np.frombuffer(self.data, dtype=np.uint8)
-        self.text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        self.first = np.cumsum([0] + [len(p) for p in parts])[:-1]
         # Prefix sums of bytes times powers of an odd base: the hash of any stretch is a difference, shifted back.
         self._sums = np.zeros(len(flat) + 1, dtype=np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(flat)), out=self._sums[1:])
@@ -116,10 +121,13 @@ class Words:
 
 
 def pieces(w: Words, length: int, hot: np.ndarray):
-    """(first word, number of windows, route) of the pieces; windows of a hot route are pieces of their own."""
+    """(first word, number of windows, route, whether a window stands in it twice) of the pieces.
+
+    Windows of a hot route are pieces of their own.
+    """
     at = w.windows(length)
     if not len(at):
-        return at, at, at.astype(np.uint64)
+        return at, at, at.astype(np.uint64), at.astype(bool)
     gram = min(GRAM, length)
     grams = w.hashes(np.arange(len(w.text) - gram + 1), gram)
     # Least hash of the grams of each window, by doubling.
@@ -128,40 +136,51 @@ def pieces(w: Words, length: int, hot: np.ndarray):
         least, width = np.minimum(least[:len(least) - width], least[width:]), width * 2
     if width < span:
         least = np.minimum(least[:len(least) - (span - width)], least[span - width:])
-    route = least[at]
+    route, phrase = least[at], w.hashes(at, length)
     head = np.ones(len(at), dtype=bool)
     head[1:] = (at[1:] != at[:-1] + 1) | (route[1:] != route[:-1])
     if len(hot):
         single = hot[np.minimum(np.searchsorted(hot, route), len(hot) - 1)] == route
         head |= single
         head[1:] |= single[:-1]
-        route = np.where(single, w.hashes(at, length), route)
+        route = np.where(single, phrase, route)
     run = np.flatnonzero(head)
     place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-    run = np.flatnonzero(head | (place % PIECE_WINDOWS == 0))
-    return at[run], np.diff(np.append(run, len(at))), route[run]
+    head |= place % PIECE_WINDOWS == 0
+    run = np.flatnonzero(head)
+    # Equal hashes next to each other in order of hash and place: if a piece has two of them, they are neighbours there.
+    order = np.argsort(phrase, kind="stable")
+    piece = (np.cumsum(head) - 1)[order]
+    twice = np.zeros(len(run), dtype=bool)
+    twice[piece[1:][(phrase[order][1:] == phrase[order][:-1]) & (piece[1:] == piece[:-1])]] = True
+    return at[run], np.diff(np.append(run, len(at))), route[run], twice
 
 
 def _parts(batch: pa.RecordBatch, length: int):
-    """Yield (rows, parts, first words): lists of at most about BATCH_BYTES; a very long text comes in overlapping parts."""
-    rows, parts, firsts, size = [], [], [], 0
-    for row, raw in enumerate(raw_texts(batch, "text")):
-        words = raw.split()
-        step = PART_WORDS - length + 1
-        for k in range(0, max(1, len(words) - length + 1), step):
-            rows.append(row), parts.append(words[k:k + PART_WORDS] if len(words) > PART_WORDS else words), firsts.append(k)
-            size += min(len(raw), 16 * PART_WORDS)
-            if size >= BATCH_BYTES:
-                yield rows, parts, firsts
-                rows, parts, firsts, size = [], [], [], 0
-    if rows:
-        yield rows, parts, firsts
-
-
-# ``place`` holds the first word and the number of windows of a piece.
+    """Yield (row of each word, its number in the text, words): as many texts as BATCH_BYTES hold, at most PART_WORDS words.
+
+    Parts of a longer stretch of words overlap by a window less one word, so each window lies in one part.
+    """
+    column = batch.column("text")
+    sizes = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // BATCH_BYTES)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        lists = pc.ascii_split_whitespace(column.slice(a, b - a))
+        words, ends = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        real = pc.binary_length(words).to_numpy() > 0
+        if not real.all():  # blanks at the ends of a text
+            words, ends = words.take(pa.array(np.flatnonzero(real))), np.concatenate([[0], np.cumsum(real)])[ends]
+        counts = np.diff(ends)
+        text = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(text)) - ends[:-1][text]
+        for k in range(0, len(text) - length + 1, PART_WORDS - length + 1):
+            yield a + text[k:k + PART_WORDS], at[k:k + PART_WORDS], words.slice(k, PART_WORDS)
+
+
+# ``place`` holds the first word of a piece, whether a window stands in it twice, and the number of its windows.
 _PIECE = T.StructType([T.StructField("route", T.LongType()), T.StructField("id", T.LongType()), T.StructField("key", T.LongType()),
                        T.StructField("place", T.LongType()), T.StructField("text", T.BinaryType())])
-_SHIFT = 2 * PIECE_WINDOWS
+_TWICE, _SHIFT = 128, 256
 
 
 def _routed(length: int, frequent: list[bytes], hot: np.ndarray):
@@ -172,14 +191,12 @@ def _routed(length: int, frequent: list[bytes], hot: np.ndarray):
         schema, code = to_arrow_schema(_PIECE), Code(frequent)
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy() for c in ("id", "key"))
-            for rows, parts, firsts in _parts(batch, length):
-                w = Words(parts, code)
-                at, windows, route = pieces(w, length, hot)
+            for part in _parts(batch, length):
+                w = Words(*part, code)
+                at, windows, route, twice = pieces(w, length, hot)
                 if not len(at):
                     continue
-                part = w.text[at]
-                row = np.array(rows)[part]
-                start = at - w.first[part] + np.array(firsts)[part]
+                row, start = w.text[at], w.at[at]
                 text = pa.array(w.slices(at, windows + length - 1), pa.binary()).dictionary_encode()
                 number = text.indices.to_numpy()
                 order = np.lexsort((start, keys[row], ids[row], number))
@@ -196,7 +213,7 @@ def _routed(length: int, frequent: list[bytes], hot: np.ndarray):
                 again[order] = ~head & own & (start[order] == start[first])
                 keep = np.flatnonzero(~again)
                 gone = later[keep]
-                row, start, windows, route = row[keep], start[keep], windows[keep], route[keep].astype(np.int64)
+                row, start, windows, route = row[keep], start[keep], windows[keep] + _TWICE * twice[keep], route[keep].astype(np.int64)
                 route = np.where(gone, keys[row] ^ start, route)
                 shown = text.dictionary.take(pa.array(np.where(gone, 0, number[keep]), mask=gone))
                 yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids[row]), pa.array(keys[row]),
@@ -209,8 +226,8 @@ def _sampled_routes(length: int, frequent: list[bytes]):
     def run(batches):
         code = Code(frequent)
         for batch in batches:
-            for _, parts, _ in _parts(batch, length):
-                _, _, route = pieces(Words(parts, code), length, np.zeros(0, dtype=np.uint64))
+            for part in _parts(batch, length):
+                _, _, route, _ = pieces(Words(*part, code), length, np.zeros(0, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64))], names=["route"])
     return run
 
@@ -264,6 +281,12 @@ def _factored(length: int):
 
         def rows():
             for batch in batches:
+                # A piece alone on its route, without a window that stands in it twice, has no factor; the ends of a batch may go on.
+                route, place = batch.column("route").to_numpy(), batch.column("place").to_numpy()
+                near = np.ones(len(route), dtype=bool)
+                near[1:-1] = (route[1:-1] == route[:-2]) | (route[1:-1] == route[2:])
+                near |= (place % _SHIFT >= _TWICE) | batch.column("text").is_null().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(near))
                 yield from zip(*(batch.column(c).to_pylist() for c in ("route", "id", "key", "place", "text")))
 
         def parsed(block, i, key, place, text):
@@ -277,7 +300,7 @@ def _factored(length: int):
             for _, *piece in group:
                 i, key, place, text = piece
                 if text is None:  # an equal piece stands earlier
-                    out.append((i, key, place // _SHIFT, place // _SHIFT + place % _SHIFT + length - 1))
+                    out.append((i, key, place // _SHIFT, place // _SHIFT + place % _TWICE + length - 1))
                 elif first is None:
                     first = last = piece
                 elif last[:3] != piece[:3]:  # else the same piece of a repeated row
@@ -286,11 +309,8 @@ def _factored(length: int):
                         out += parsed(block, *first)
                     last = piece
                     out += parsed(block, *piece)
-            if first is not None and block is None:
-                # Alone on its route: a phrase that stands in it twice makes ``length`` of its words repetitions.
-                text, at = first[3], borders(first[3])
-                if len({text[a:b] for a, b in zip(at, at[1:])}) < len(at) - length:
-                    out += parsed(Reference(length), *first)
+            if first is not None and block is None and first[2] % _SHIFT >= _TWICE:
+                out += parsed(Reference(length), *first)
             if len(out) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
                 out = []
@@ -348,10 +368,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = base.withColumn("key", F.xxhash64("text"))
     sample = keyed.filter(F.pmod(F.xxhash64("id", "key"), F.lit(SAMPLE)) == 0).select("text")
     words = sample.select(F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).filter((F.octet_length("word") <= CODED_BYTES) & (F.col("word") != ""))
-    frequent = [r["word"].encode() for r in words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(CODES).collect()]
+    # The tops are written first: a collected top sends one list per partition to the driver.
+    top = lambda df, n, name: staged(df.groupBy(*df.columns).count().orderBy(F.col("count").desc(), *df.columns).limit(n), name).collect()
+    frequent = [r["word"].encode() for r in top(words, CODES, "codes")]
     routes = sample.mapInArrow(_sampled_routes(length, frequent), "route long")
-    common = routes.groupBy("route").count().filter(F.col("count") >= HOT).orderBy(F.col("count").desc(), "route").limit(MOST_HOT)
-    hot = np.sort(np.array([r["route"] for r in common.collect()], dtype=np.int64).astype(np.uint64))
+    hot = np.sort(np.array([r["route"] for r in top(routes, MOST_HOT, "hot") if r["count"] >= HOT], dtype=np.int64).astype(np.uint64))
     sent = keyed.select("id", "key", "text").mapInArrow(_routed(length, frequent, hot), _PIECE)
     ordered = sent.repartition("route").sortWithinPartitions("route", "id", "key", "place")
     with arrow_rows(spark, 2000):
