@@ -157,17 +157,7 @@ def score(rows: DataFrame, coefs: DataFrame, on: Sequence[str], xcols: Sequence[
     return j.withColumn(out, dot)
 
 
-# ------------------------------------------------------------------ MLlib re-aims
-
-def huber_fit(train: DataFrame, xcols: Sequence[str], y: str, epsilon: float = 1.35):
-    """Distributed Huber regression (MLlib; also fits a scale, unlike the torch loss)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    va = VectorAssembler(inputCols=list(xcols), outputCol="_features")
-    lr = LinearRegression(featuresCol="_features", labelCol=y, loss="huber", epsilon=epsilon, regParam=0.0,
-                          maxIter=100)
-    return va, lr.fit(va.transform(train))
-
+# ------------------------------------------------------------------ losses
 
 def huber_loss(e: Column, delta: float = 1.0) -> Column:
     a = F.abs(e)
@@ -179,18 +169,6 @@ def two_horizon_loss(e1: Column, e5: Column, w1: float = 0.6, w5: float = 0.4, d
     return w1 * huber_loss(e1, delta) + w5 * huber_loss(e5 / F.lit(5 ** 0.5), delta)
 
 
-def direction_classifier(train: DataFrame, xcols: Sequence[str], label: str):
-    """Weighted logistic regression; positives weighted (1 - p) / p as in BCE pos_weight."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    p = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    wpos = (1 - p) / p if p else 1.0
-    d = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(wpos)).otherwise(F.lit(1.0)))
-    va = VectorAssembler(inputCols=list(xcols), outputCol="_features")
-    lr = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_w", maxIter=100)
-    return va, lr.fit(va.transform(d))
-
-
 # ------------------------------------------------------------------ flattened windows
 
 def window_gram(samples: DataFrame, keys: Sequence[str], seg: str, window: str = "window",

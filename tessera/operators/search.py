@@ -10,22 +10,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import models as MD
+# A distribution turns a uniform draw in [0, 1) into a value.
 
-# The reference search space (name -> kind, bounds or choices).
+def log_uniform(lo: float, hi: float):
+    return lambda u: F.exp(F.lit(float(np.log(lo))) + u * F.lit(float(np.log(hi) - np.log(lo))))
+
+
+def uniform(lo: float, hi: float):
+    return lambda u: F.lit(float(lo)) + u * F.lit(float(hi - lo))
+
+
+def choice(*values):
+    return lambda u: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(u * len(values)) + 1).cast("int"))
+
+
+# The reference search space.
 REFERENCE_SPACE = {
-    "lr": ("loguniform", 1e-4, 5e-3),
-    "weight_decay": ("loguniform", 1e-6, 1e-3),
-    "hidden_size": ("categorical", (64, 128, 256)),
-    "d_model": ("categorical", (32, 64, 128)),
-    "dropout": ("uniform", 0.1, 0.5),
-    "w_t1": ("uniform", 0.3, 0.8),
+    "lr": log_uniform(1e-4, 5e-3),
+    "weight_decay": log_uniform(1e-6, 1e-3),
+    "hidden_size": choice(64, 128, 256),
+    "d_model": choice(32, 64, 128),
+    "dropout": uniform(0.1, 0.5),
+    "w_t1": uniform(0.3, 0.8),
 }
 
-# Space of the ridge re-aim: penalty (log-uniform), horizon weight (uniform).
+# Space of the ridge re-aim: penalty, number of the window's latest rows that count, weight of the first horizon.
 RIDGE_SPACE = {
-    "alpha": ("loguniform", 1e-3, 1e3),
-    "w_t1": ("uniform", 0.3, 0.8),
+    "alpha": log_uniform(1e-3, 1e3),
+    "n_lags": choice(1, 5, 10, 20, 30),
+    "w_t1": uniform(0.3, 0.8),
 }
 
 
@@ -46,20 +59,8 @@ def sample_trials(spark: SparkSession, n_trials: int, space: dict = RIDGE_SPACE,
     if keys is not None:
         d = keys.crossJoin(d)
     kc = F.col(key) if key else None
-    for name, spec in space.items():
-        u = unit_uniform(seed, F.col("trial"), name, kc)
-        kind = spec[0]
-        if kind == "loguniform":
-            lo, hi = float(np.log(spec[1])), float(np.log(spec[2]))
-            v = F.exp(F.lit(lo) + u * F.lit(hi - lo))
-        elif kind == "uniform":
-            v = F.lit(float(spec[1])) + u * F.lit(float(spec[2] - spec[1]))
-        elif kind == "categorical":
-            choices = list(spec[1])
-            v = F.element_at(F.array(*[F.lit(c) for c in choices]), (F.floor(u * len(choices)) + 1).cast("int"))
-        else:
-            raise ValueError(f"unknown distribution {kind}")
-        d = d.withColumn(name, v)
+    for name, draw in space.items():
+        d = d.withColumn(name, draw(unit_uniform(seed, F.col("trial"), name, kc)))
     if "w_t1" in space:
         d = d.withColumn("w_t5", F.lit(1.0) - F.col("w_t1"))
     return d
@@ -131,40 +132,3 @@ def enforce_selection(selected: DataFrame, records: DataFrame | None = None, key
         if not missing.isEmpty():
             raise ValueError(f"no valid trial for {missing.limit(5).collect()}")
     return selected
-
-
-def ridge_trial_losses(seg_sums: DataFrame, folds: DataFrame, keys: Sequence[str], trials: pd.DataFrame,
-                       p: int) -> DataFrame:
-    """Loss of every trial on every fold, from segment sums (no pass over the rows).
-
-    ``trials`` is the small trial table (trial, alpha, w_t1, w_t5).  Loss =
-    w1 * MSE(t+1) + w5 * MSE(t+5) / 5 on the fold's validation range; a
-    failing solve gives a null loss instead of aborting the search.
-    """
-    key_schema = ", ".join(f"{k} {t}" for k, t in seg_sums.select(*keys).dtypes)
-    fold_t = dict(folds.dtypes)["fold"]
-    schema = key_schema + f", fold {fold_t}, trial long, loss double"
-    tr = trials[["trial", "alpha", "w_t1", "w_t5"]].to_dict("records")
-    cols = [*keys, "fold", "trial", "loss"]
-
-    def evaluate(sums: pd.DataFrame, fl: pd.DataFrame) -> pd.DataFrame:
-        if sums.empty or fl.empty:
-            return pd.DataFrame([], columns=cols)
-        stats = {(int(r["seg_lo"]), int(r["seg_hi"])): MD._unpack(r, p, 2) for _, r in sums.iterrows()}
-        base = {c: sums[c].iloc[0] for c in keys}
-        rows = []
-        for _, f in fl.iterrows():
-            trn = MD._range(stats, int(f["train_lo"]), int(f["train_hi"]))
-            val = MD._range(stats, int(f["val_lo"]), int(f["val_hi"]))
-            for t in tr:
-                try:
-                    a, b = MD.ridge_from_sums(trn, float(t["alpha"]))
-                    mse = MD.sse_from_sums(val, a, b) / val[0]
-                    loss = float(t["w_t1"] * mse[0] + t["w_t5"] * mse[1] / 5.0)
-                except (np.linalg.LinAlgError, TypeError, ZeroDivisionError):
-                    loss = None
-                rows.append({**base, "fold": f["fold"], "trial": int(t["trial"]), "loss": loss})
-        return pd.DataFrame(rows, columns=cols)
-
-    fl = folds.select(*[F.col(c).alias(c) for c in folds.columns])   # fresh attribute ids for the cogroup
-    return seg_sums.groupBy(*keys).cogroup(fl.groupBy(*keys)).applyInPandas(evaluate, schema)

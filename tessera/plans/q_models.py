@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import convex as CV
 from ..operators import indicators as IND
+from ..operators import lagged as LG
 from ..operators import models as MD
 from ..operators import search as SR
 from ..operators import series as S
@@ -52,11 +54,46 @@ def test_geometry(des):
     return n.withColumn("test_start", SP.final_test_start(F.col("n")))
 
 
-def fold_coefs(spark, sf, des=None):
-    des = des if des is not None else design(spark, sf)
-    folds = wf_folds(des)
-    sums = MD.segment_sums(des, folds, ["symbol"], XCOLS, YCOLS)
-    return des, MD.fit_folds(sums, folds, ["symbol"], len(XCOLS), 2, alpha=1.0)
+SHAPE = LG.Shape(tuple(FEATS), LOOKBACK, 5)
+
+
+def panel(spark, sf):
+    """The feature panel: the flattened windows of its rows are the models' inputs."""
+    return FT.feature_panel(_bars(spark, sf), FX.vol_index(spark, sf)).drop(S.BLK)
+
+
+def geometry(p):
+    """(symbol, n, test_start): samples of a symbol and the first one of its final test rows."""
+    return stage(LG.sample_counts(p, ["symbol"], SHAPE).withColumn("test_start", SP.final_test_start(F.col("n"))), "geometry")
+
+
+def pre_test_folds(geo, n_splits=5):
+    """Walk-forward folds on [0, test_start): no fold reads a test row."""
+    n = geo.select("symbol", F.col("test_start").alias("n"))
+    return SP.walk_forward(n, ["symbol"], n_splits=n_splits).withColumn("fold", F.col("fold").cast("int"))
+
+
+def final_fit(geo):
+    """One fold per symbol: fitted on [0, test_start), scored on the test rows."""
+    return geo.select("symbol", F.lit(0).alias("fold"), F.lit(0).cast("long").alias("train_lo"), F.col("test_start").alias("train_hi"),
+                      F.col("test_start").alias("val_lo"), F.col("n").alias("val_hi"))
+
+
+def fold_coefs(spark, sf):
+    """(panel, geometry, coefficients): ridge of every walk-forward fold on all inputs of the window."""
+    p = panel(spark, sf)
+    geo = geometry(p)
+    folds = pre_test_folds(geo)
+    return p, geo, stage(LG.fit_folds(LG.lag_sums(p, folds, ["symbol"], SHAPE), folds, ["symbol"], SHAPE), "fold-coefs")
+
+
+def on_test(coefs, geo):
+    """The same coefficients for the test rows."""
+    return coefs.drop("lo", "hi").join(geo.select("symbol", F.col("test_start").alias("lo"), F.col("n").alias("hi")), "symbol")
+
+
+def horizon():
+    return F.when(F.col("h") == 0, 1).otherwise(5).alias("horizon")
 
 
 _SUM_EXPRS = (["count(*) AS n"] + [f"sum({c}) AS sx_{j}" for j, c in enumerate(XCOLS)]
@@ -91,77 +128,82 @@ def q_gram(spark, sf):
     return rounded_sig(sums, _SUM_COLS, 8)
 
 
+_LAG_SQL = f"""SELECT symbol, seg AS bound, lag, f, g, sum(v) / max(m) AS mean FROM (
+  SELECT a.symbol, s.seg, s.m, CAST(b.i - a.i AS INTEGER) AS lag, fl.f, gl.g, list_extract(b.x, fl.k) * list_extract(a.x, gl.k) AS v
+  FROM cx a JOIN cx b ON b.symbol = a.symbol AND b.i BETWEEN a.i AND a.i + {LOOKBACK - 1}
+  JOIN sg s ON s.symbol = a.symbol AND a.i >= s.seg AND a.i < s.seg_hi
+  CROSS JOIN fn fl CROSS JOIN (SELECT f AS g, k FROM fn) gl)
+GROUP BY symbol, seg, lag, f, g"""
+_LAG_CTES = f"""cx AS (SELECT symbol, i, [{', '.join(f'{f} - avg({f}) OVER (PARTITION BY symbol)' for f in FEATS)}] AS x FROM feat),
+fn AS (SELECT unnest([{', '.join(f"'{f}'" for f in FEATS)}]) AS f, unnest(range(1, {len(FEATS) + 1})) AS k),
+sg AS (SELECT symbol, CASE k WHEN 0 THEN 0 ELSE mt + (k - 1) * vs END AS seg, mt + k * vs AS seg_hi, CASE k WHEN 0 THEN mt ELSE vs END AS m
+       FROM (SELECT symbol, mt, (n - mt) // 6 AS vs, unnest(range(0, 6)) AS k FROM (
+         SELECT symbol, n, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS mt FROM (
+           SELECT symbol, CAST(floor((count(*) - {LOOKBACK + 5}) * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n FROM feat GROUP BY symbol HAVING count(*) > {LOOKBACK + 5}))))"""
+
+
+@register("lagged_gram_sums", R(sql(_LAG_SQL, "feat", extra=_LAG_CTES), "mean", digits=4))
+def q_lag_sums(spark, sf):
+    """Mean lag products of the centred inputs per fold segment: all that the Gram matrices of the windows are made of."""
+    p = panel(spark, sf)
+    sums = LG.lag_sums(p, pre_test_folds(geometry(p)), ["symbol"], SHAPE)
+    return rounded(LG.edge_free_sums(sums, ["symbol"], SHAPE), 4)
+
+
 @register("fold_predictions")
 def q_fold_predictions(spark, sf):
-    """Every walk-forward fold: own scaler and ridge fit on its training range, scored on its validation rows."""
-    des, coefs = fold_coefs(spark, sf)
-    folds = wf_folds(des)
-    val = SP.assign(des, folds.select("symbol", "fold", F.col("val_lo").alias("lo"), F.col("val_hi").alias("hi")),
-                    ["symbol"], i="j")
-    out = None
-    for h, y in enumerate(YCOLS):
-        c = coefs.filter(F.col("h") == h).drop("h")
-        s = MD.score(val, c, ["symbol", "fold"], XCOLS).select("symbol", "fold", "day", F.lit(h + 1 if h == 0 else 5)
-                                                               .alias("horizon"), F.col(y).alias("y_true"), "y_pred")
-        out = s if out is None else out.unionByName(s)
-    return rounded(out)
+    """Every walk-forward fold: own scaler and ridge on its flattened training windows, scored on its validation rows."""
+    p, _, coefs = fold_coefs(spark, sf)
+    s = LG.score(p, coefs, ["symbol"], SHAPE)
+    return rounded(s.select("symbol", "fold", "day", horizon(), "y_true", "y_pred"))
 
 
 @register("best_fold")
 def q_best_fold(spark, sf):
     """Fold with the lowest validation loss per symbol and horizon (min_by; ties to the lower fold)."""
-    _, coefs = fold_coefs(spark, sf)
+    _, _, coefs = fold_coefs(spark, sf)
     return rounded(coefs.groupBy("symbol", "h").agg(
         F.min_by("fold", F.struct("val_mse", "fold")).alias("best_fold"), F.min("val_mse").alias("val_mse")))
 
 
+def ensemble(p, geo, coefs):
+    """Mean prediction of all folds on the test rows."""
+    s = LG.score(p, on_test(coefs, geo), ["symbol"], SHAPE)
+    return s.groupBy("symbol", "h", "j", "day").agg(F.avg("y_pred").alias("y_pred"), F.first("y_true").alias("y_true"), F.count(F.lit(1)).alias("n_folds"))
+
+
 @register("fold_ensemble")
 def q_fold_ensemble(spark, sf):
     """Average of all fold models on the final test rows, each fold with its own scaler."""
-    des, coefs = fold_coefs(spark, sf)
-    test = des.join(test_geometry(des), "symbol").filter(F.col("j") >= F.col("test_start"))
-    out = None
-    for h, y in enumerate(YCOLS):
-        c = coefs.filter(F.col("h") == h).drop("h")
-        s = MD.score(test, c, ["symbol"], XCOLS)
-        s = s.groupBy("symbol", "day").agg(F.avg("y_pred").alias("y_pred"), F.first(y).alias("y_true"),
-                                           F.count(F.lit(1)).alias("n_folds")).withColumn("horizon", F.lit(1 if h == 0 else 5))
-        out = s if out is None else out.unionByName(s)
-    return rounded(out)
+    s = ensemble(*fold_coefs(spark, sf))
+    return rounded(s.select("symbol", "day", "y_pred", "y_true", "n_folds", horizon()))
+
+
+def ridge_predictions(p, geo):
+    """(symbol, h, j, day, y_true, y_pred) of the ridge fitted on all rows before the test rows."""
+    folds = final_fit(geo)
+    coefs = LG.fit_folds(LG.lag_sums(p, folds, ["symbol"], SHAPE), folds, ["symbol"], SHAPE)
+    return LG.score(p, coefs, ["symbol"], SHAPE).drop("fold")
 
 
 @register("ridge_baseline")
 def q_ridge(spark, sf):
     """Ridge (alpha 1) per horizon on the flattened 30 x 10 windows, standardised with the scaler of the
     flattened train + val windows (first 85 % of samples); predictions on the test rows."""
-    p = FT.feature_panel(_bars(spark, sf), FX.vol_index(spark, sf)).drop(S.BLK)
-    from ..operators import samples as SMP
-    smp = SMP.sliding_samples(p, LOOKBACK, features=FEATS).withColumn("j", F.col("i") - LOOKBACK)
-    smp = stage(smp, "window-samples")
-    geo = test_geometry(smp)
-    d = smp.join(geo.select("symbol", "test_start"), "symbol").withColumn(
-        "seg", F.when(F.col("j") < F.col("test_start"), F.lit("train")).otherwise(F.lit("test")))
-    gram = MD.window_gram(d.filter(F.col("seg") == "train"), ["symbol"], "seg")
-    coefs = MD.fit_window_ridge(gram, ["symbol"], len(FEATS), LOOKBACK * len(FEATS))
-    test = d.filter(F.col("seg") == "test")
-    out = None
-    for h, y in enumerate(YCOLS):
-        c = coefs.filter(F.col("h") == h).select("symbol", "a", "b")
-        s = MD.score_windows(test, c, ["symbol"]).select("symbol", "day", F.lit(1 if h == 0 else 5).alias("horizon"),
-                                                          F.col(y).alias("y_true"), "y_pred")
-        out = s if out is None else out.unionByName(s)
-    return rounded(out)
+    p = panel(spark, sf)
+    return rounded(ridge_predictions(p, geometry(p)).select("symbol", "day", horizon(), "y_true", "y_pred"))
 
 
 @register("batch_score")
 def q_batch_score(spark, sf):
-    """Score rows with a stored coefficient table (written, read back, broadcast-sized join + dot product)."""
-    des, coefs = fold_coefs(spark, sf)
+    """Test rows scored with a stored coefficient table, both horizons: that of each symbol's best fold."""
+    p, geo, coefs = fold_coefs(spark, sf)
     path = scratch_path(spark, "coefs")
-    coefs.filter(F.col("h") == 0).write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path).groupBy("symbol").agg(F.max_by(F.struct("a", "b"), "fold").alias("_c")).select(
-        "symbol", "_c.a", "_c.b")
-    return rounded(MD.score(des, stored, ["symbol"], XCOLS).select("symbol", "day", "y_t1", "y_pred"))
+    coefs.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    best = stored.groupBy("symbol", "h").agg(F.min_by(F.struct("fold", "a", "b"), F.struct("val_mse", "fold")).alias("_c")).select("symbol", "h", "_c.*")
+    s = LG.score(p, best.join(geo.select("symbol", F.col("test_start").alias("lo"), F.col("n").alias("hi")), "symbol"), ["symbol"], SHAPE)
+    return rounded(s.select("symbol", "day", horizon(), "fold", "y_true", "y_pred"))
 
 
 # ------------------------------------------------------------------ search
@@ -188,16 +230,29 @@ def q_sample_trials(spark, sf):
     return rounded(t, 9)
 
 
+def ridge_trials(spark, n=40):
+    """The trial table of the ridge space: a few rows, the same for every symbol."""
+    return SR.sample_trials(spark, n, SR.RIDGE_SPACE, seed=42)
+
+
+@register("sample_ridge_trials", R(sql(f"""SELECT symbol, trial, exp(ln(1e-3) + {_U.format(n='alpha')} * (ln(1e3) - ln(1e-3))) AS alpha,
+  [1, 5, 10, 20, 30][CAST(floor({_U.format(n='n_lags')} * 5) AS INTEGER) + 1] AS n_lags,
+  0.3 + {_U.format(n='w_t1')} * 0.5 AS w_t1, 1 - (0.3 + {_U.format(n='w_t1')} * 0.5) AS w_t5
+FROM (SELECT DISTINCT symbol FROM bars), (SELECT unnest(range(0, 40)) AS trial)""", "bars"), "alpha", "w_t1", "w_t5", digits=9))
+def q_sample_ridge_trials(spark, sf):
+    """The re-aimed space (penalty, lags, horizon weight), 40 trials per symbol."""
+    return rounded(SR.sample_trials(spark, 40, SR.RIDGE_SPACE, seed=42, keys=_symbols(spark, sf), key="symbol"), 9)
+
+
+def trial_losses(p, folds, trials):
+    return LG.trial_losses(LG.lag_sums(p, folds, ["symbol"], SHAPE), folds, ["symbol"], trials.toPandas(), SHAPE)
+
+
 @register("evaluate_trials")
 def q_evaluate_trials(spark, sf):
-    """40 ridge trials x 3 inner folds on [0, test_start) per symbol, all losses from segment sums."""
-    des = design(spark, sf)
-    geo = test_geometry(des)
-    pre = des.join(geo.select("symbol", "test_start"), "symbol").filter(F.col("j") < F.col("test_start"))
-    folds = SP.walk_forward(SP.counts(pre, ["symbol"]), ["symbol"], n_splits=3).withColumn("fold", F.col("fold").cast("int"))
-    sums = MD.segment_sums(pre, folds, ["symbol"], XCOLS, YCOLS)
-    trials = SR.sample_trials(spark, 40, SR.RIDGE_SPACE, seed=42).toPandas()   # small trial table
-    return rounded(SR.ridge_trial_losses(sums, folds, ["symbol"], trials, len(XCOLS)))
+    """40 ridge trials x 3 inner folds on [0, test_start) per symbol, all losses from lag sums."""
+    p = panel(spark, sf)
+    return rounded(trial_losses(p, pre_test_folds(geometry(p), 3), ridge_trials(spark)))
 
 
 _REC_SQL = """SELECT trial, hidden, d_model, dropout, weight_decay,
@@ -251,30 +306,31 @@ def q_resume(spark, sf):
 
 @register("huber_two_horizon")
 def q_huber(spark, sf):
-    """Two MLlib Huber fits (t+1, t+5) on the first 85 %; two-horizon loss of the test rows per symbol."""
-    des = design(spark, sf)
-    geo = test_geometry(des)
-    d = des.join(geo, "symbol")
-    train, test = d.filter(F.col("j") < F.col("test_start")), d.filter(F.col("j") >= F.col("test_start"))
-    va1, m1 = MD.huber_fit(train, XCOLS, "y_t1")
-    va5, m5 = MD.huber_fit(train, XCOLS, "y_t5")
-    p1 = m1.transform(va1.transform(test)).withColumnRenamed("prediction", "p1").drop("_features")
-    p = m5.transform(va5.transform(p1)).withColumnRenamed("prediction", "p5")
-    loss = MD.two_horizon_loss(F.col("y_t1") - F.col("p1"), F.col("y_t5") - F.col("p5"))
-    return rounded(p.groupBy("symbol").agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("n")))
+    """Per symbol, Huber fits (delta 1) of both horizons on the flattened windows of the first 85 %; two-horizon loss
+    (.6 and .4, t+5 over sqrt 5) of the test rows."""
+    p = panel(spark, sf)
+    geo = geometry(p)
+    fit = CV.fit(p, geo.select("symbol", F.lit(0).cast("long").alias("lo"), F.col("test_start").alias("hi")), ["symbol"], SHAPE, "huber")
+    s = LG.score(p, on_test(fit.select("symbol", "h", "a", "b", F.lit(0).alias("lo"), F.lit(0).alias("hi")), geo), ["symbol"], SHAPE, ids=())
+    error = F.col("y_true") - F.col("y_pred")
+    both = s.groupBy("symbol", "j").agg(*[F.max(F.when(F.col("h") == h, error)).alias(f"e{h}") for h in range(2)])
+    return rounded(both.groupBy("symbol").agg(F.avg(MD.two_horizon_loss(F.col("e0"), F.col("e1"))).alias("loss"), F.count(F.lit(1)).alias("n")))
+
+
+def classifier_scores(p, geo):
+    """(symbol, day, y_true, score): log-odds of a rising next day on the test rows."""
+    fit = CV.fit(p, geo.select("symbol", F.lit(0).cast("long").alias("lo"), F.col("test_start").alias("hi")), ["symbol"], SHAPE, "logistic")
+    coefs = on_test(fit.select("symbol", "h", "a", "b", F.lit(0).alias("lo"), F.lit(0).alias("hi")), geo)
+    return LG.score(p, coefs, ["symbol"], SHAPE, ids=()).withColumnRenamed("y_pred", "score")
 
 
 @register("direction_classifier")
 def q_classifier(spark, sf):
-    """Weighted logistic regression of the next-day direction; accuracy on the test rows per symbol."""
-    des = design(spark, sf).withColumn("label", (F.col("y_t1") > 0).cast("int"))
-    geo = test_geometry(des)
-    d = des.join(geo, "symbol")
-    train, test = d.filter(F.col("j") < F.col("test_start")), d.filter(F.col("j") >= F.col("test_start"))
-    va, m = MD.direction_classifier(train, XCOLS, "label")
-    p = m.transform(va.transform(test))
-    return rounded(p.groupBy("symbol").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                                           F.count(F.lit(1)).alias("n")))
+    """Per symbol, weighted logistic regression of the next-day direction on the flattened windows; accuracy on the test rows."""
+    p = panel(spark, sf)
+    s = classifier_scores(p, geometry(p))
+    hit = (F.col("score") > 0) == (F.col("y_true") > 0)
+    return rounded(s.groupBy("symbol").agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
 
 @register("evaluate_fn", R(sql(f"""SELECT symbol, trial, CAST(fold AS INTEGER) AS fold,
@@ -295,9 +351,9 @@ def q_evaluate_fn(spark, sf):
     return rounded(r.select("symbol", "trial", "fold", "loss"))
 
 
-def _nested_folds(pre):
-    """Outer and inner walk-forward folds of [0, n) as one wide table with string fold ids."""
-    nest = SP.nested(SP.counts(pre, ["symbol"]), ["symbol"])
+def _nested_folds(geo):
+    """Outer and inner walk-forward folds of [0, test_start) as one wide table with string fold ids."""
+    nest = SP.nested(geo.select("symbol", F.col("test_start").alias("n")), ["symbol"])
     fid = F.concat(F.col("outer_fold").cast("string"), F.lit("."), F.coalesce(F.col("inner_fold").cast("string"), F.lit("-")))
     w = nest.withColumn("fold", fid)
     return (w.groupBy("symbol", "fold", "outer_fold", "inner_fold")
@@ -307,32 +363,25 @@ def _nested_folds(pre):
                   F.max(F.when(F.col("role") == "val", F.col("hi"))).alias("val_hi")))
 
 
-def _pre_test(spark, sf):
-    des = design(spark, sf)
-    geo = test_geometry(des)
-    return des.join(geo.select("symbol", "test_start"), "symbol").filter(F.col("j") < F.col("test_start"))
+def simpler():
+    """Fewer lags first, then a larger penalty."""
+    return [F.col("n_lags"), -F.col("alpha")]
 
 
 @register("nested_search")
 def q_nested_search(spark, sf):
-    """Per symbol and outer fold: 40 ridge trials on the 3 inner folds, one-SE choice (larger
-    alpha = simpler), chosen trial scored on the outer validation block; all from segment sums."""
-    pre = _pre_test(spark, sf)
-    folds = _nested_folds(pre)
-    sums = MD.segment_sums(pre, folds.drop("outer_fold", "inner_fold"), ["symbol"], XCOLS, YCOLS)
-    trials = SR.sample_trials(spark, 40, SR.RIDGE_SPACE, seed=42).toPandas()   # small trial table
-    losses = SR.ridge_trial_losses(sums, folds.select("symbol", "fold", "train_lo", "train_hi", "val_lo", "val_hi"),
-                                   ["symbol"], trials, len(XCOLS))
-    meta = folds.select("symbol", "fold", "outer_fold", "inner_fold")
-    l = losses.join(meta, ["symbol", "fold"])
-    inner = l.filter(F.col("inner_fold").isNotNull())
-    recs = SR.trial_records(inner, params=["symbol", "outer_fold"])
-    tr = spark.createDataFrame(trials[["trial", "alpha"]])
-    recs = recs.join(F.broadcast(tr), "trial")
-    chosen = SR.select_one_se(recs, [-F.col("alpha")], keys=["symbol", "outer_fold"])
+    """Per symbol and outer fold: 40 ridge trials on the 3 inner folds, one-SE choice (fewer lags, then larger
+    alpha = simpler), chosen trial scored on the outer validation block; all from lag sums."""
+    p = panel(spark, sf)
+    folds = stage(_nested_folds(geometry(p)), "nested-folds")
+    trials = ridge_trials(spark)
+    ranges = folds.select("symbol", "fold", "train_lo", "train_hi", "val_lo", "val_hi")
+    l = stage(trial_losses(p, ranges, trials), "nested-losses").join(folds.select("symbol", "fold", "outer_fold", "inner_fold"), ["symbol", "fold"])
+    recs = SR.trial_records(l.filter(F.col("inner_fold").isNotNull()), params=["symbol", "outer_fold"]).join(trials, "trial")
+    chosen = SR.select_one_se(recs, simpler(), keys=["symbol", "outer_fold"])
     outer = l.filter(F.col("inner_fold").isNull()).select("symbol", "outer_fold", "trial", F.col("loss").alias("outer_loss"))
     res = chosen.join(outer, ["symbol", "outer_fold", "trial"], "inner")
-    return rounded(res.select("symbol", "outer_fold", "trial", "alpha", "mean_loss", "se", "outer_loss"))
+    return rounded(res.select("symbol", "outer_fold", "trial", "alpha", "n_lags", "mean_loss", "se", "outer_loss"))
 
 
 @register("final_search")
@@ -340,14 +389,11 @@ def q_final_search(spark, sf):
     """Search on [0, test_start) (3 inner folds), one-SE winner per symbol; all trials and the
     winners are written as reports, the winners returned."""
     from ..sources import sinks as SK
-    pre = _pre_test(spark, sf)
-    folds = SP.walk_forward(SP.counts(pre, ["symbol"]), ["symbol"], n_splits=3).withColumn("fold", F.col("fold").cast("int"))
-    sums = MD.segment_sums(pre, folds, ["symbol"], XCOLS, YCOLS)
-    trials = SR.sample_trials(spark, 40, SR.RIDGE_SPACE, seed=42).toPandas()
-    losses = SR.ridge_trial_losses(sums, folds, ["symbol"], trials, len(XCOLS))
-    recs = SR.trial_records(losses, params=["symbol"]).join(F.broadcast(spark.createDataFrame(trials)), "trial")
-    recs = stage(recs, "final-search-trials")
-    win = SR.select_one_se(recs, [-F.col("alpha")], keys=["symbol"])
+    p = panel(spark, sf)
+    trials = ridge_trials(spark)
+    losses = trial_losses(p, pre_test_folds(geometry(p), 3), trials)
+    recs = stage(SR.trial_records(losses, params=["symbol"]).join(trials, "trial"), "final-search-trials")
+    win = SR.select_one_se(recs, simpler(), keys=["symbol"])
     SK.sink_report(recs, scratch_path(spark, "search-trials"))
     SK.sink_report(win, scratch_path(spark, "search-winners"))
-    return rounded(win.select("symbol", "trial", "alpha", "w_t1", "w_t5", "mean_loss", "se", "k"))
+    return rounded(win.select("symbol", "trial", "alpha", "n_lags", "w_t1", "w_t5", "mean_loss", "se", "k"))
