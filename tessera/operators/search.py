@@ -123,6 +123,35 @@ def evaluate_with(trials: DataFrame, folds: DataFrame, fn) -> DataFrame:
     return frame.mapInPandas(run, out_schema)
 
 
+def resume_study(spark: SparkSession, path: str, trials: DataFrame, folds: DataFrame, fn, trial: str = "trial") -> DataFrame:
+    """The study at ``path`` with all of ``trials`` evaluated: only trials that it lacks run, and join the same table.
+
+    A run's records are written aside and become part of the study by one rename, under a name that follows from the trials
+    in it; so a run that dies leaves the study as it was, and a repeated run adds nothing.  Failing evaluations are records
+    too (null loss, the message in ``error``).  Returns all records of the study.
+    """
+    from ..session import stage
+    from ..sources.sinks import _exists, _rename
+
+    log = f"{path.rstrip('/')}/records"
+    have = spark.read.parquet(log).drop("batch") if _exists(spark, log) else None
+    missing = trials if have is None else trials.join(have.select(trial).distinct(), trial, "left_anti")
+    new = stage(evaluate_with(missing, folds, fn), "study-run")
+    mark = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(trial).cast("decimal(38,0)")).alias("h")).first()
+    if mark["n"]:
+        name = f"batch={mark['n']}-{abs(int(mark['h'])):x}"
+        aside = f"{path.rstrip('/')}/staging/{name}"
+        new.write.mode("overwrite").parquet(aside)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(log)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+        if not _exists(spark, f"{log}/{name}") and not _rename(spark, aside, f"{log}/{name}"):
+            raise RuntimeError(f"could not commit {aside}")
+    elif have is None:
+        return new
+    return spark.read.parquet(log).drop("batch")
+
+
 def enforce_selection(selected: DataFrame, records: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """The selection, if there is one for every key of ``records`` (one at all without keys); else ValueError."""
     if selected.isEmpty():

@@ -283,25 +283,30 @@ def q_select_one_se(spark, sf):
     return rounded(SR.select_one_se(records(spark, sf), par))
 
 
-@register("resume_trials", sql("""SELECT (SELECT count(DISTINCT trial) FROM trials) AS n_stored,
-  CAST(ceil((SELECT count(DISTINCT trial) FROM trials) * 0.1) AS BIGINT) AS n_new,
-  (SELECT count(DISTINCT trial) FROM trials) + CAST(ceil((SELECT count(DISTINCT trial) FROM trials) * 0.1) AS BIGINT) AS n_total""",
-                               "trials"))
+_SU = "CAST('0x' || substr(md5('42:' || trial || ':{n}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@register("resume_trials", R(sql(f"""SELECT trial, CASE WHEN trial < n THEN 1 ELSE 2 END AS run, count(*) AS k, avg(loss) AS mean_loss FROM (
+  SELECT trial, n, 1 + (0.1 + {_SU.format(n='dropout')} * 0.4) + [64, 128, 256][CAST(floor({_SU.format(n='hidden_size')} * 3) AS INTEGER) + 1] / 1000.0
+    + 0.01 * (fold - 1) AS loss
+  FROM (SELECT n, unnest(range(0, CAST(n + ceil(n * 0.1) AS BIGINT))) AS trial FROM (SELECT count(DISTINCT trial) AS n FROM trials)),
+       (SELECT unnest(range(0, 3)) AS fold))
+GROUP BY trial, n""", "trials"), "mean_loss"))
 def q_resume(spark, sf):
-    """A stored study (parquet) is extended to 110 % of its size: only the missing trial ids run."""
+    """A study of as many trials as the table holds, then asked for a tenth more, then asked for the same again: the second
+    run evaluates the missing trials into the same table, the third adds nothing."""
     path = scratch_path(spark, "study")
-    stored = records(spark, sf)
-    stored.write.mode("overwrite").parquet(path)
-    have = spark.read.parquet(path)
-    n = have.count()                       # study size (one row per trial): a scalar
-    want = int(n + -(-n // 10))
-    requested = SR.sample_trials(spark, want, SR.REFERENCE_SPACE, seed=42).select("trial")
-    missing = requested.join(have.select("trial"), "trial", "left_anti")
-    missing.write.mode("append").parquet(path + "-new")
-    new = spark.read.parquet(path + "-new")
-    total = have.select("trial").unionByName(new.select("trial"))
-    return total.agg(F.lit(n).cast("long").alias("n_stored"),
-                     (F.count(F.lit(1)) - F.lit(n)).alias("n_new"), F.count(F.lit(1)).alias("n_total"))
+    n = FX.trials(spark, sf).select("trial").distinct().count()   # a scalar
+    folds = spark.range(3).select(F.col("id").cast("int").alias("fold"))
+    asked = [SR.sample_trials(spark, k, SR.REFERENCE_SPACE, seed=42) for k in (n, n - (-n // 10))]
+    runs, known = [], None
+    for trials in (asked[0], asked[1], asked[1]):
+        records = SR.resume_study(spark, path, trials, folds, synthetic_loss)
+        new = records if known is None else records.join(known, "trial", "left_anti")
+        runs.append(stage(new.select("trial", "fold", "loss", F.lit(len(runs) + 1).alias("run")), "study-new"))
+        known = records.select("trial").distinct()
+    return rounded(runs[0].unionByName(runs[1]).unionByName(runs[2]).groupBy("trial", "run").agg(
+        F.count(F.lit(1)).alias("k"), F.avg("loss").alias("mean_loss")))
 
 
 @register("huber_two_horizon")
@@ -333,6 +338,10 @@ def q_classifier(spark, sf):
     return rounded(s.groupBy("symbol").agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
 
+def synthetic_loss(pdf):
+    return 1 + pdf["dropout"] + pdf["hidden_size"] / 1000.0 + 0.01 * (pdf["fold"] - 1)
+
+
 @register("evaluate_fn", R(sql(f"""SELECT symbol, trial, CAST(fold AS INTEGER) AS fold,
   1 + (0.1 + {_U.format(n='dropout')} * 0.4) + [64, 128, 256][CAST(floor({_U.format(n='hidden_size')} * 3) AS INTEGER) + 1] / 1000.0
     + 0.01 * (fold - 1) AS loss
@@ -344,10 +353,7 @@ def q_evaluate_fn(spark, sf):
     trials = SR.sample_trials(spark, 40, SR.REFERENCE_SPACE, seed=42, keys=_symbols(spark, sf), key="symbol")
     folds = spark.range(3).select(F.col("id").cast("int").alias("fold"))
 
-    def synthetic(pdf):
-        return 1 + pdf["dropout"] + pdf["hidden_size"] / 1000.0 + 0.01 * (pdf["fold"] - 1)
-
-    r = SR.evaluate_with(trials, folds, synthetic)
+    r = SR.evaluate_with(trials, folds, synthetic_loss)
     return rounded(r.select("symbol", "trial", "fold", "loss"))
 
 

@@ -12,8 +12,9 @@ from ..operators import samples as SMP
 from ..operators import series as S
 from ..operators import splits as SP
 from ..oracle.views import CTES, sql
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import fixtures as FX
+from ..sources import manifest as MF
 from ..sources import sinks as SK
 from . import features as FT
 from .q_eval import preds
@@ -23,21 +24,22 @@ from .registry import R, register, rounded
 
 CTES.update({
     "mom": (("preds",), """mom AS (
-  SELECT symbol, day, y_true, y_pred, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS k
-  FROM preds WHERE model = 'momentum' AND horizon = 1)"""),
+  SELECT model, horizon, symbol, day, y_true, y_pred, row_number() OVER (PARTITION BY model, horizon, symbol ORDER BY day) - 1 AS k
+  FROM preds)"""),
     "wf": (("mom",), """wf AS (
-  SELECT symbol, CAST(fold AS INTEGER) AS fold, mt + fold * vs AS val_lo, mt + (fold + 1) * vs AS val_hi
-  FROM (SELECT symbol, n, mt, (n - mt) // 6 AS vs FROM (
-          SELECT symbol, n, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS mt
-          FROM (SELECT symbol, CAST(floor(count(*) * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n FROM mom GROUP BY symbol))) a,
+  SELECT model, horizon, symbol, CAST(fold AS INTEGER) AS fold, mt + fold * vs AS val_lo, mt + (fold + 1) * vs AS val_hi
+  FROM (SELECT model, horizon, symbol, n, mt, (n - mt) // 6 AS vs FROM (
+          SELECT model, horizon, symbol, n, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS mt
+          FROM (SELECT model, horizon, symbol, CAST(floor(count(*) * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n FROM mom
+                GROUP BY model, horizon, symbol))) a,
        (SELECT unnest(range(0, 5)) AS fold) f
   WHERE mt + (fold + 1) * vs <= n)"""),
     "fm": (("wf",), """fm AS (
-  SELECT w.symbol, w.fold, min(m.day) AS val_first, max(m.day) AS val_last, stddev_pop(m.y_true) AS sigma,
+  SELECT w.model, w.horizon, w.symbol, w.fold, min(m.day) AS val_first, max(m.day) AS val_last, stddev_pop(m.y_true) AS sigma,
          sum(m.y_true) AS ret_sum, sqrt(avg(pow(m.y_true - m.y_pred, 2))) AS rmse,
          avg(CASE WHEN sign(m.y_true) = sign(m.y_pred) THEN 1.0 ELSE 0.0 END) AS da
-  FROM wf w JOIN mom m ON m.symbol = w.symbol AND m.k >= w.val_lo AND m.k < w.val_hi
-  GROUP BY w.symbol, w.fold)"""),
+  FROM wf w JOIN mom m ON m.model = w.model AND m.horizon = w.horizon AND m.symbol = w.symbol AND m.k >= w.val_lo AND m.k < w.val_hi
+  GROUP BY w.model, w.horizon, w.symbol, w.fold)"""),
 })
 
 
@@ -45,38 +47,40 @@ def _bars(spark, sf):
     return FX.bars(spark, sf, symbols=FX_SYMBOLS[0])
 
 
+SERIES = ["model", "horizon", "symbol"]
+
+
 def fold_metrics(spark, sf):
-    """Walk-forward validation blocks over the momentum predictions of each symbol, cut on the rows before the test."""
-    m = preds(spark, sf).filter((F.col("model") == "momentum") & (F.col("horizon") == 1))
-    m = S.with_position(m.select("symbol", "day", "y_true", "y_pred"), "symbol", "day", out="k")
-    n = SP.counts(m, ["symbol"]).withColumn("n", SP.final_test_start(F.col("n")))
-    folds = SP.walk_forward(n, ["symbol"])
-    val = folds.select("symbol", "fold", F.col("val_lo").alias("lo"), F.col("val_hi").alias("hi"))
-    a = SP.assign(m, val, ["symbol"], i="k")
-    return a.groupBy("symbol", "fold").agg(
+    """Walk-forward validation blocks over every model's predictions of each horizon and symbol, cut on the rows before the test."""
+    m = S.with_position(preds(spark, sf).select(*SERIES, "day", "y_true", "y_pred"), SERIES, "day", out="k")
+    n = SP.counts(m, SERIES).withColumn("n", SP.final_test_start(F.col("n")))
+    folds = SP.walk_forward(n, SERIES)
+    val = folds.select(*SERIES, "fold", F.col("val_lo").alias("lo"), F.col("val_hi").alias("hi"))
+    a = SP.assign(m, val, SERIES, i="k")
+    return a.groupBy(*SERIES, "fold").agg(
         F.min("day").alias("val_first"), F.max("day").alias("val_last"), F.stddev_pop("y_true").alias("sigma"),
         F.sum("y_true").alias("ret_sum"), M.rmse().alias("rmse"), M.directional_accuracy().alias("da"))
 
 
-@register("fold_summary", R(sql("""SELECT symbol, avg(rmse) AS rmse_mean, stddev_samp(rmse) AS rmse_std,
-  avg(da) AS da_mean, stddev_samp(da) AS da_std, count(*) AS n_folds FROM fm GROUP BY symbol""", "fm"),
+@register("fold_summary", R(sql("""SELECT model, horizon, symbol, avg(rmse) AS rmse_mean, stddev_samp(rmse) AS rmse_std,
+  avg(da) AS da_mean, stddev_samp(da) AS da_std, count(*) AS n_folds FROM fm GROUP BY model, horizon, symbol""", "fm"),
                             "rmse_mean", "rmse_std", "da_mean", "da_std"))
 def q_fold_summary(spark, sf):
     f = fold_metrics(spark, sf)
-    return rounded(f.groupBy("symbol").agg(F.avg("rmse").alias("rmse_mean"), F.stddev_samp("rmse").alias("rmse_std"),
-                                           F.avg("da").alias("da_mean"), F.stddev_samp("da").alias("da_std"),
-                                           F.count(F.lit(1)).alias("n_folds")))
+    return rounded(f.groupBy(*SERIES).agg(F.avg("rmse").alias("rmse_mean"), F.stddev_samp("rmse").alias("rmse_std"),
+                                          F.avg("da").alias("da_mean"), F.stddev_samp("da").alias("da_std"),
+                                          F.count(F.lit(1)).alias("n_folds")))
 
 
-@register("regime_label", sql(f"""SELECT symbol, fold, val_first, val_last, {CAL.REGIME_SQL.format(d0='val_first', d1='val_last')}
+@register("regime_label", sql(f"""SELECT model, horizon, symbol, fold, val_first, val_last, {CAL.REGIME_SQL.format(d0='val_first', d1='val_last')}
   AS regime FROM fm""", "fm"))
 def q_regime_label(spark, sf):
     f = fold_metrics(spark, sf)
-    return f.select("symbol", "fold", "val_first", "val_last",
+    return f.select(*SERIES, "fold", "val_first", "val_last",
                     CAL.regime_label(F.col("val_first"), F.col("val_last")).alias("regime"))
 
 
-@register("fold_regime_table", R(sql(f"""SELECT symbol, fold, val_first, val_last, sigma, ret_sum, rmse, da,
+@register("fold_regime_table", R(sql(f"""SELECT model, horizon, symbol, fold, val_first, val_last, sigma, ret_sum, rmse, da,
   {CAL.REGIME_SQL.format(d0='val_first', d1='val_last')} AS regime FROM fm""", "fm"), "sigma", "ret_sum", "rmse", "da"))
 def q_fold_regime(spark, sf):
     f = fold_metrics(spark, sf)
@@ -144,14 +148,43 @@ def q_guard_volume(spark, sf):
     return GD.volume(news_dedup(spark, sf))
 
 
-@register("guard_checkpoint_input", sql("""SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(
-  concat_ws(chr(31), CAST(day AS VARCHAR), headline, body)), 1, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS hash_sum
-FROM dedup""", "dedup"))
-def q_guard_fingerprint(spark, sf):
+_HASH_SQL = """count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(
+  concat_ws(chr(31), CAST(day AS VARCHAR), {headline}, body)), 1, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS hash_sum"""
+CHANGED_MONTH, REMOVED_MONTH = "1995-03", "1995-05"
+
+
+@register("corpus_fingerprint", sql(f"SELECT {_HASH_SQL.format(headline='headline')} FROM dedup", "dedup"))
+def q_corpus_fingerprint(spark, sf):
     """Content fingerprint of the corpus (row count + sum of 60-bit md5 row hashes)."""
     return GD.fingerprint(news_dedup(spark, sf), ["day", "headline", "body"])
 
 
+@register("guard_checkpoint_input", sql(f"""SELECT m.*, o.n_days, o.n_chars FROM (
+  SELECT strftime(day, '%Y-%m') AS ym, {_HASH_SQL.format(headline=f"headline || CASE WHEN strftime(day, '%Y-%m') = '{CHANGED_MONTH}' THEN '!' ELSE '' END")},
+         CASE WHEN strftime(day, '%Y-%m') = '{CHANGED_MONTH}' THEN 'recomputed' ELSE 'kept' END AS status
+  FROM dedup WHERE strftime(day, '%Y-%m') <> '{REMOVED_MONTH}' GROUP BY 1, 4
+  UNION ALL SELECT DISTINCT '{REMOVED_MONTH}', NULL, NULL, 'removed' FROM dedup WHERE strftime(day, '%Y-%m') = '{REMOVED_MONTH}') m
+LEFT JOIN (SELECT strftime(day, '%Y-%m') AS ym, count(DISTINCT day) AS n_days,
+                  CAST(sum(length(headline) + CASE WHEN strftime(day, '%Y-%m') = '{CHANGED_MONTH}' THEN 1 ELSE 0 END) AS BIGINT) AS n_chars
+           FROM dedup WHERE strftime(day, '%Y-%m') <> '{REMOVED_MONTH}' GROUP BY 1) o USING (ym)""", "dedup"))
+def q_guard_checkpoint(spark, sf):
+    """A per-day output computed once, then refreshed after one month of the corpus changed and one vanished: only the
+    changed month is computed again; per month the stored fingerprint, what happened to it and its output."""
+    path = scratch_path(spark, "checkpointed")
+    corpus = stage(news_dedup(spark, sf).withColumn("ym", F.date_format("day", "yyyy-MM")), "corpus")
+    changed = corpus.filter(F.col("ym") != REMOVED_MONTH).withColumn(
+        "headline", F.when(F.col("ym") == CHANGED_MONTH, F.concat("headline", F.lit("!"))).otherwise(F.col("headline")))
+
+    def per_day(rows):
+        return rows.groupBy("ym", "day").agg(F.sum(F.length("headline")).alias("n_chars"))
+
+    MF.refresh(spark, corpus, path, "ym", per_day, ["day", "headline", "body"])
+    report = MF.refresh(spark, changed, path, "ym", per_day, ["day", "headline", "body"])
+    out = (MF.output(spark, path).groupBy(F.col("ym").cast("string").alias("ym"))
+           .agg(F.count(F.lit(1)).alias("n_days"), F.sum("n_chars").cast("long").alias("n_chars")))
+    return report.join(out, "ym", "left")
+
+
 # ------------------------------------------------------------------ sinks (2.1)
 
 @register("sink_news_by_month", sql("""SELECT strftime(day, '%Y-%m') AS ym, count(*) AS n_rows, min(day) AS first_day,
