@@ -1,9 +1,10 @@
 """Distribution and time-series statistics per group.
 
 Moments and correlations are plain aggregates.  Ranks (Spearman), CDF
-differences (1-D Wasserstein) and autocovariances never sort a whole group
-in one task: values are grouped first, then scanned in value buckets with a
-carry (``series.running``); lags run on (key, block) halo windows.
+differences (1-D Wasserstein) and quantiles never sort a whole group in one
+task: values are counted first, dealt by ranges whose borders come from the
+data (``value_scan``) and scanned with a carry; autocovariances are lag sums
+of (key, block) halo windows, all lags of all series from one pass.
 """
 
 from __future__ import annotations
@@ -14,14 +15,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import stage
 from . import series as S
 
-VALUE_BUCKET = 1.0 / 64   # width of the value blocks used by rank / CDF scans
+PART = "_part"
 
 
-def _vbucket(col: str, width: float = VALUE_BUCKET) -> Column:
-    return F.floor(F.col(col) / F.lit(width))
+def ranged(by_val: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """Rows dealt into ranges of (keys, x) of like size, whatever the values are; ``_part`` numbers the ranges upwards.
+
+    The borders are sampled from the data, so the dealt rows are staged: both levels of a scan must see the same ranges.
+    """
+    return stage(by_val.repartitionByRange(*keys, x).withColumn(PART, F.spark_partition_id()), "ranged")
+
+
+def value_scan(by_val: DataFrame, keys: Sequence[str], x: str, specs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Running aggregates ``(value, op, out)`` over the distinct values ``x`` of each group, in ascending order."""
+    return S.running_many(ranged(by_val, keys, x), list(keys), list(specs), i=x, bucket=F.col(PART))
 
 
 # ------------------------------------------------------------------ moments
@@ -68,32 +80,65 @@ def redundant_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 # ------------------------------------------------------------------ autocorrelation
 
-def acf(panel: DataFrame, keys: Sequence[str], x: str, nlags: int = 40, i: str = "i",
-        block: int = S.DEFAULT_BLOCK) -> DataFrame:
-    """Biased autocorrelation r_k = sum_{t>=k}(x_t - m)(x_{t-k} - m) / sum (x_t - m)^2, k = 0..nlags.
+def lag_products(panel: DataFrame, keys: Sequence[str], cols: Sequence[str], nlags: int, i: str = "i",
+                 block: int = S.DEFAULT_BLOCK) -> DataFrame:
+    """(keys, series, v): per column the sums n, x, x x and for k = 1..nlags those of x_t x_{t-k}, x_t, x_{t-k}.
 
-    Lagged products come from a halo window; the centring is applied to the
-    raw sums afterwards, so one pass suffices.  Output (keys, lag, acf).
+    One pass: each block adds up all lags of all columns, the blocks' arrays are added by a partial aggregate.
     """
-    d = S.halo(panel, before=nlags, after=0, i=i, block=block)
-    w = S.block_window(list(keys), i)
-    for k in range(1, nlags + 1):
-        d = d.withColumn(f"_l{k}", F.lag(x, k).over(w))
-    d = S.own_rows(d).drop(S.BLK)
-    aggs = [F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(F.col(x) * F.col(x)).alias("_ss")]
-    for k in range(1, nlags + 1):
-        lk = F.col(f"_l{k}")
-        aggs += [F.sum(F.col(x) * lk).alias(f"_p{k}"), F.sum(F.when(lk.isNotNull(), F.col(x))).alias(f"_a{k}"),
-                 F.sum(lk).alias(f"_b{k}")]
-    g = d.groupBy(*keys).agg(*aggs)
-    n = F.col("_n").cast("double")
-    m = F.col("_s") / n
-    c0 = F.col("_ss") - n * m * m
-    rows = [F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf"))]
-    for k in range(1, nlags + 1):
-        ck = F.col(f"_p{k}") - m * (F.col(f"_a{k}") + F.col(f"_b{k}")) + (n - k) * m * m
-        rows.append(F.struct(F.lit(k).alias("lag"), F.try_divide(ck, c0).alias("acf")))
-    return g.select(*keys, F.explode(F.array(*rows)).alias("_r")).select(*keys, "_r.lag", "_r.acf")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    keys, cols = list(keys), list(cols)
+    d = S.halo(panel.select(*keys, i, *[F.col(c).cast("double").alias(c) for c in cols]), before=nlags, after=0, i=i, block=block)
+    schema = T.StructType([f for f in d.schema.fields if f.name in keys]
+                          + [T.StructField("series", T.StringType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(i)
+        own = int((pdf[S.BLK] != pdf[S.OWN_BLK]).sum())       # the copied rows come first
+        rows = []
+        for c in cols:
+            x = pdf[c].to_numpy(dtype=float)
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            v = [float(known[own:].sum()), x[own:].sum(), x[own:] @ x[own:]]
+            parts = []
+            for k in range(1, nlags + 1):
+                lo = max(own, k)
+                late, early = x[lo:], x[lo - k:len(x) - k]
+                parts.append((late @ early, late[known[lo - k:len(x) - k]].sum(), early.sum()))
+            rows.append({**{k: pdf[k].iloc[0] for k in keys}, "series": c, "v": v + [float(p[n]) for n in range(3) for p in parts]})
+        return pd.DataFrame(rows, columns=schema.names)
+
+    parts = d.groupBy(*keys, S.BLK).applyInPandas(sums, schema)
+    return (parts.groupBy(*keys, "series").agg(Summarizer.sum(array_to_vector("v")).alias("_s"))
+            .select(*keys, "series", vector_to_array("_s").alias("v")))
+
+
+def acf_many(panel: DataFrame, keys: Sequence[str], cols: Sequence[str], nlags: int = 40, i: str = "i",
+             block: int = S.DEFAULT_BLOCK) -> DataFrame:
+    """Biased autocorrelation r_k = sum_{t>=k}(x_t - m)(x_{t-k} - m) / sum (x_t - m)^2, k = 0..nlags, of several columns.
+
+    The centring is applied to the raw sums afterwards.  Output (keys, series, lag, acf); null for a constant series.
+    """
+    at = lambda k: F.element_at("v", k.cast("int"))
+    n, m = F.col("_n"), F.col("_m")
+    c0 = at(F.lit(3)) - n * m * m
+
+    def r(k):
+        ck = at(k + 3) - m * (at(k + 3 + nlags) + at(k + 3 + 2 * nlags)) + (n - k) * m * m
+        return F.struct(k.cast("int").alias("lag"), F.when(k == 0, F.lit(1.0)).otherwise(F.try_divide(ck, c0)).alias("acf"))
+
+    g = lag_products(panel, keys, cols, nlags, i, block).withColumn("_n", at(F.lit(1))).withColumn("_m", F.try_divide(at(F.lit(2)), F.col("_n")))
+    lags = F.transform(F.sequence(F.lit(0), F.lit(nlags)), lambda k: F.when(k == 0, r(F.lit(0))).otherwise(r(F.greatest(k, F.lit(1)))))
+    return g.select(*keys, "series", F.explode(lags).alias("_r")).select(*keys, "series", "_r.lag", "_r.acf")
+
+
+def acf(panel: DataFrame, keys: Sequence[str], x: str, nlags: int = 40, i: str = "i",
+        block: int = S.DEFAULT_BLOCK) -> DataFrame:
+    """``acf_many`` of one column, without its name."""
+    return acf_many(panel, keys, [x], nlags, i, block).drop("series")
 
 
 def _durbin_levinson(r: np.ndarray) -> np.ndarray:
@@ -159,26 +204,32 @@ def normality(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 # ------------------------------------------------------------------ ranks
 
-def average_rank(df: DataFrame, keys: Sequence[str], x: str, out: str, width: float = VALUE_BUCKET) -> DataFrame:
-    """Average rank (1-based, ties share the mean rank) of ``x`` within each group.
+def average_rank(by_val: DataFrame, keys: Sequence[str], x: str, n: str, out: str) -> DataFrame:
+    """(keys, x, out): average rank (1-based, ties share the mean rank) of each distinct value that occurs ``n`` times.
 
-    rank = (#values below) + (ties + 1) / 2; the count below is a running sum
-    over distinct values, scanned in value buckets with a carry.
+    rank = (#values below) + (ties + 1) / 2; the count below is a running sum over the distinct values.
     """
-    by_val = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_cnt"))
-    r = S.running(by_val, list(keys), "_cnt", "sum", "_le", i=x, bucket=_vbucket(x, width))
-    r = r.select(*keys, x, (F.col("_le") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(r, [*keys, x], "inner")
+    r = value_scan(by_val, keys, x, [(n, "sum", "_le")])
+    return r.select(*keys, x, (F.col("_le") - F.col(n) + (F.col(n) + 1) / 2.0).alias(out))
 
 
-def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str, pid: str = "i",
-             width: float = VALUE_BUCKET) -> DataFrame:
-    """Spearman correlation of paired columns (Pearson of average ranks); ``pid``
-    identifies a pair within its group (a deterministic key, e.g. the position)."""
-    ra = average_rank(pairs.select(*keys, pid, a), keys, a, "_ra", width).select(*keys, pid, "_ra")
-    rb = average_rank(pairs.select(*keys, pid, b), keys, b, "_rb", width).select(*keys, pid, "_rb")
-    j = ra.join(rb, [*keys, pid], "inner")
-    return j.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+def spearman(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """Spearman correlation of paired columns (Pearson of average ranks) and the number of pairs.
+
+    Pairs are counted per distinct (a, b) before the ranks join them, so a value that a large share of the rows holds
+    meets its rank once per distinct partner.
+    """
+    keys = list(keys)
+    counted = stage(pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w")), "pairs")
+    ranks = [average_rank(counted.groupBy(*keys, c).agg(F.sum("_w").alias("_n")), keys, c, "_n", out) for c, out in ((a, "_ra"), (b, "_rb"))]
+    j = counted.join(ranks[0], [*keys, a]).join(ranks[1], [*keys, b])
+    w, ra, rb = F.col("_w"), F.col("_ra"), F.col("_rb")
+    g = j.groupBy(*keys).agg(F.sum("_w").alias("n"), *[F.sum(w * e).alias(c) for c, e in (
+        ("_sa", ra), ("_sb", rb), ("_saa", ra * ra), ("_sbb", rb * rb), ("_sab", ra * rb))])
+    n = F.col("n").cast("double")
+    cov = lambda xy, x, y: F.col(xy) / n - F.col(x) / n * F.col(y) / n
+    r = F.try_divide(cov("_sab", "_sa", "_sb"), F.sqrt(cov("_saa", "_sa", "_sa")) * F.sqrt(cov("_sbb", "_sb", "_sb")))
+    return g.select(*keys, r.alias("spearman"), "n")
 
 
 def lag_pairs(panel: DataFrame, keys: Sequence[str], x: Column, y: Column, k: int, i: str = "i",
@@ -195,8 +246,8 @@ def stylized_facts(panel: DataFrame, keys: Sequence[str], r: str = "r", i: str =
                    block: int = S.DEFAULT_BLOCK) -> DataFrame:
     """Volatility clustering (Spearman |r| lag 1), leverage (Spearman r_t vs |r_{t+5}|),
     population excess kurtosis and skewness; 0 for the Spearman facts on too short series."""
-    vc = spearman(lag_pairs(panel, keys, F.abs(F.col(r)), F.abs(F.col(r)), 1, i, block), keys, "a", "b", i)
-    lev = spearman(lag_pairs(panel, keys, F.col(r), F.abs(F.col(r)), 5, i, block), keys, "a", "b", i)
+    vc = spearman(lag_pairs(panel, keys, F.abs(F.col(r)), F.abs(F.col(r)), 1, i, block), keys, "a", "b")
+    lev = spearman(lag_pairs(panel, keys, F.col(r), F.abs(F.col(r)), 5, i, block), keys, "a", "b")
     mom = panel.groupBy(*keys).agg(F.count(r).alias("n"), F.kurtosis(r).alias("excess_kurtosis"),
                                    F.skewness(r).alias("skewness"))
     out = (mom.join(vc.select(*keys, F.col("spearman").alias("_vc")), list(keys), "left")
@@ -209,44 +260,42 @@ def stylized_facts(panel: DataFrame, keys: Sequence[str], r: str = "r", i: str =
 
 # ------------------------------------------------------------------ distances
 
-def wasserstein_1d(u: DataFrame, v: DataFrame, keys: Sequence[str], x: str,
-                   width: float = VALUE_BUCKET) -> DataFrame:
+def wasserstein_1d(u: DataFrame, v: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """1-D Wasserstein distance per group: sum over distinct values of |F_u - F_v| * gap to the next value.
 
-    Signed weights (1/n_u, -1/n_v) are grouped by value; their running sum is
-    F_u - F_v.  The gap to the next distinct value uses ``lead`` inside a
-    value bucket and, at bucket ends, the first value of the next non-empty
-    bucket from a small per-bucket table.
+    Occurrences in both sets are counted per value; their running counts give both CDFs.  The gap to the next distinct
+    value uses ``lead`` inside a range and, at its end, the first value of the next range.  Groups that lack one of the
+    sets are left out.
     """
-    nu = u.groupBy(*keys).agg(F.count(x).alias("_nu"))
-    nv = v.groupBy(*keys).agg(F.count(x).alias("_nv"))
-    a = u.join(nu, list(keys)).select(*keys, x, (F.lit(1.0) / F.col("_nu")).alias("_w"))
-    b = v.join(nv, list(keys)).select(*keys, x, (F.lit(-1.0) / F.col("_nv")).alias("_w"))
-    by_val = a.unionByName(b).groupBy(*keys, x).agg(F.sum("_w").alias("_w"))
-    d = by_val.withColumn("_vb", _vbucket(x, width))
-    d = S.running(d, list(keys), "_w", "sum", "_cdf", i=x, bucket=F.col("_vb"))
-    w = Window.partitionBy(*keys, "_vb").orderBy(x)
-    d = d.withColumn("_next", F.lead(x, 1).over(w))
-    firsts = d.groupBy(*keys, "_vb").agg(F.min(x).alias("_first"))
-    wb = (Window.partitionBy(*keys) if keys else Window).orderBy("_vb")
-    nxt = firsts.select(*keys, "_vb", F.lead("_first", 1).over(wb).alias("_next_blk"))
-    d = d.join(nxt, [*keys, "_vb"], "left").withColumn("_next", F.coalesce("_next", "_next_blk"))
-    return d.groupBy(*keys).agg(F.sum(F.abs(F.col("_cdf")) * (F.col("_next") - F.col(x))).alias("wasserstein"))
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
-                    width: float = VALUE_BUCKET) -> DataFrame:
+    keys = list(keys)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    both = u.select(*keys, x, one.alias("_u"), zero.alias("_v")).unionByName(v.select(*keys, x, zero.alias("_u"), one.alias("_v")))
+    by_val = both.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum("_u").alias("_u"), F.sum("_v").alias("_v"))
+    d = ranged(by_val, keys, x)
+    size = d.groupBy(*keys).agg(F.sum("_u").alias("_nu"), F.sum("_v").alias("_nv")).filter("_nu > 0 and _nv > 0")
+    w = Window.partitionBy(*keys, PART).orderBy(x)
+    firsts = d.groupBy(*keys, PART).agg(F.min(x).alias("_first"))
+    wb = (Window.partitionBy(*keys) if keys else Window).orderBy(PART)
+    nxt = firsts.select(*keys, PART, F.lead("_first", 1).over(wb).alias("_next_part"))
+    d = S.running_many(d.withColumn("_next", F.lead(x, 1).over(w)), keys, [("_u", "sum", "_cu"), ("_v", "sum", "_cv")], i=x, bucket=F.col(PART))
+    d = d.join(nxt, [*keys, PART], "left")
+    d = d.join(size, keys) if keys else d.crossJoin(size)
+    gap = F.coalesce("_next", "_next_part") - F.col(x)
+    return d.groupBy(*keys).agg(F.sum(F.abs(F.col("_cu") / F.col("_nu") - F.col("_cv") / F.col("_nv")) * gap).alias("wasserstein"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy / pandas default) per group.
 
     No group is ever held in one buffer: values are counted per distinct
-    value, the running count is a two-level scan over value buckets, and the
+    value, the running count is a two-level scan over ranges of them, and the
     order statistics at floor(h) and floor(h)+1 (h = (n-1) p) are picked by
     a conditional ``min``.  Output (keys, q0, q1, ...) in the order of ``probs``.
     """
     keys = list(keys)
     by_val = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
-    cum = S.running(by_val, keys, "_c", "sum", "_le", i=x, bucket=_vbucket(x, width))
-    n = by_val.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    cum = stage(value_scan(by_val, keys, x, [("_c", "sum", "_le")]), "counts")
+    n = cum.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     d = cum.join(n, keys, "inner") if keys else cum.crossJoin(n)
     aggs = []
     for k, p in enumerate(probs):
@@ -281,9 +330,7 @@ def stylized_facts_paths(paths: DataFrame, keys: Sequence[str], path_id: str = "
     inner = ex.select(*keys, "_path", F.col("_pos").alias("i"), "r")
     vc = lag_pairs(inner, [*keys, "_path"], F.abs(F.col("r")), F.abs(F.col("r")), 1, block=block)
     lev = lag_pairs(inner, [*keys, "_path"], F.col("r"), F.abs(F.col("r")), 5, block=block)
-    pid = F.col("_path") * F.lit(1 << 20) + F.col("i")
-    vc = spearman(vc.withColumn("_pid", pid), keys, "a", "b", pid="_pid")
-    lev = spearman(lev.withColumn("_pid", pid), keys, "a", "b", pid="_pid")
+    vc, lev = spearman(vc, keys, "a", "b"), spearman(lev, keys, "a", "b")
     mom = ex.groupBy(*keys).agg(F.count("r").alias("n"), F.kurtosis("r").alias("excess_kurtosis"),
                                 F.skewness("r").alias("skewness"))
     out = (mom.join(vc.select(*keys, F.col("spearman").alias("volatility_clustering")), keys, "left")

@@ -31,7 +31,7 @@ def test_acf_pacf(spark):
 def test_spearman_average_ranks(spark):
     df, r = _series(spark)
     pairs = ST.lag_pairs(df, ["g"], F.abs(F.col("r")), F.abs(F.col("r")), 1, block=32)
-    got = ST.spearman(pairs, ["g"], "a", "b", width=0.25).collect()[0].spearman
+    got = ST.spearman(pairs, ["g"], "a", "b").collect()[0].spearman
     a, b = pd.Series(np.abs(r[:-1])), pd.Series(np.abs(r[1:]))
     assert got == pytest.approx(a.rank().corr(b.rank()), abs=1e-12)
 
@@ -41,7 +41,7 @@ def test_wasserstein(spark):
     u, v = np.round(rng.normal(0, 1, 300), 2), np.round(rng.normal(0.3, 1.5, 200), 2)
     du = spark.createDataFrame([("A", float(x)) for x in u], "g string, x double")
     dv = spark.createDataFrame([("A", float(x)) for x in v], "g string, x double")
-    got = ST.wasserstein_1d(du, dv, ["g"], "x", width=0.1).collect()[0].wasserstein
+    got = ST.wasserstein_1d(du, dv, ["g"], "x").collect()[0].wasserstein
     allv = np.sort(np.concatenate([u, v]))
     deltas = np.diff(allv)
     cu = np.searchsorted(np.sort(u), allv[:-1], side="right") / len(u)
@@ -152,7 +152,7 @@ def test_exact_quantiles_two_level(spark):
     rng = np.random.default_rng(8)
     x = np.round(rng.normal(0, 2, 501), 2)
     df = spark.createDataFrame([("A", float(v)) for v in x] + [("B", 1.0)], "g string, x double")
-    got = {r.g: r for r in ST.exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.75, 0.9], width=0.05).collect()}
+    got = {r.g: r for r in ST.exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.75, 0.9]).collect()}
     for k, p in enumerate([0.25, 0.5, 0.75, 0.9]):
         assert got["A"][f"q{k}"] == pytest.approx(np.percentile(x, p * 100), abs=1e-12)
         assert got["B"][f"q{k}"] == 1.0
