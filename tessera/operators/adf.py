@@ -1,10 +1,10 @@
 """Augmented Dickey-Fuller test (constant, AIC lag choice) from Gram sums.
 
 Per key the regressions y = dx_t on [1, x_{t-1}, dx_{t-1..t-p}] share one
-sample (t > maxlag) for the lag search, so a single aggregation of all cross
-products gives every candidate fit; the final regression with the chosen
-lag adds the few early rows, which are kept as raw rows (at most ``maxlag``
-per key).  Only these sums reach pandas.  p-values use MacKinnon's (1994)
+sample (t > maxlag) for the lag search, so one sum of all cross products,
+added up block by block, gives every candidate fit; the final regression with
+the chosen lag adds the few early rows, from the first values of a key (at
+most ``maxlag`` + 1).  p-values use MacKinnon's (1994)
 response surface, critical values MacKinnon (2010).
 """
 
@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import series as S
 
@@ -56,75 +57,68 @@ def _ols(xtx, xty, yty, nobs):
 
 def adf(panel: DataFrame, keys: Sequence[str], x: str, i: str = "i", block: int = S.DEFAULT_BLOCK) -> DataFrame:
     """ADF statistic, p-value, lag used, nobs and critical values per key (positions ``i`` contiguous)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     keys = list(keys)
-    n = panel.groupBy(*keys).agg(F.count(x).alias("_n"), F.min(i).alias("_i0"))
+    n = panel.groupBy(*keys).agg(F.count(x).alias("_n"), F.min(i).alias("_i0"), F.avg(x).alias("_mean"))
     kmax = default_maxlag(int(n.agg(F.max("_n")).first()[0] or 0))   # never falls with the size
-    d = S.halo(panel.select(*keys, i, x), before=kmax + 1, after=0, i=i, block=block)
-    w = S.block_window(keys, i)
-    d = d.withColumn("_xl", F.lag(x, 1).over(w)).withColumn("_d", F.col(x) - F.col("_xl"))
-    lags = [f"_d{k}" for k in range(1, kmax + 1)]
-    for k, c in enumerate(lags, start=1):
-        d = d.withColumn(c, F.lag("_d", k).over(w))
-    d = S.own_rows(d).drop(S.BLK).join(n, keys, "inner")
-    d = (d.withColumn("_t", F.col(i) - F.col("_i0"))
-          .withColumn("_m", F.least(F.ceil(12.0 * F.pow(F.col("_n") / 100.0, 0.25)), F.floor(F.col("_n") / 2) - 2)))
-    cols = ["_xl", *lags]
-    main = d.filter(F.col("_t") >= F.col("_m") + 1)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("_d").alias("sy"), F.sum(F.col("_d") * F.col("_d")).alias("syy")]
-    aggs += [F.sum(c).alias(f"sx_{a}") for a, c in enumerate(cols)]
-    aggs += [F.sum(F.col(c) * F.col("_d")).alias(f"sxy_{a}") for a, c in enumerate(cols)]
-    aggs += [F.sum(F.coalesce(F.col(cols[a]), F.lit(0.0)) * F.coalesce(F.col(cols[b]), F.lit(0.0))).alias(f"sxx_{a}_{b}")
-             for a in range(len(cols)) for b in range(a, len(cols))]
-    sums = main.groupBy(*keys, "_n", "_m").agg(*aggs)
-    early = d.filter((F.col("_t") >= 1) & (F.col("_t") <= F.col("_m"))).select(
-        *[F.col(c).alias(c) for c in [*keys, "_t", "_d", *cols]])       # fresh ids for the cogroup
-
-    p = len(cols)
-    key_schema = ", ".join(f"{k} {t}" for k, t in panel.select(*keys).dtypes)
-    schema = (key_schema + ", stat double, p_value double, used_lag int, nobs long, "
-              "crit_1 double, crit_5 double, crit_10 double")
-    out_cols = [*keys, "stat", "p_value", "used_lag", "nobs", "crit_1", "crit_5", "crit_10"]
-
-    def solve(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if s.empty:
-            return pd.DataFrame([], columns=out_cols)
-        r = s.iloc[0]
-        m = int(r["_m"])
-        nobs0 = float(r["n"])
-        # full Gram of z = [1, x_{t-1}, dx lags] and y over the common sample
-        G = np.zeros((p + 1, p + 1))
-        G[0, 0] = nobs0
-        for a in range(p):
-            G[0, a + 1] = G[a + 1, 0] = r[f"sx_{a}"]
-            for b in range(a, p):
-                G[a + 1, b + 1] = G[b + 1, a + 1] = r[f"sxx_{a}_{b}"]
-        zy = np.array([r["sy"]] + [r[f"sxy_{a}"] for a in range(p)], dtype=float)
-        yy = float(r["syy"])
-        best = None
-        for lag in range(0, m + 1):
+    # The level is centred: with a constant in the regression its statistic does not change, and products stay small.
+    d = panel.select(*keys, i, x).join(n, keys).select(*keys, (F.col(i) - F.col("_i0")).alias("_t"), (F.col(x) - F.col("_mean")).alias("_x"), "_n")
+    z = kmax + 3                                                       # 1, x_{t-1}, kmax lagged differences, the difference
+    upper = np.triu_indices(z)
+    part = T.StructType([f for f in d.schema.fields if f.name in keys]
+                        + [T.StructField("n_all", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Products of one block over the rows that every candidate lag can use."""
+        pdf = pdf.sort_values("_t")
+        t, level, total = pdf["_t"].to_numpy(), pdf["_x"].to_numpy(dtype=float), int(pdf["_n"].iloc[0])
+        use = np.flatnonzero((pdf[S.BLK] == pdf[S.OWN_BLK]).to_numpy() & (t >= default_maxlag(total) + 1))
+        if not len(use):
+            return pd.DataFrame([], columns=part.names)
+        dx = np.concatenate([[0.0], np.diff(level)])
+        # A lag beyond the key's own maximum may reach before its first row; those columns are never fitted.
+        lagged = [np.where(use >= k, dx[np.maximum(use - k, 0)], 0.0) for k in range(1, kmax + 1)]
+        rows = np.column_stack([np.ones(len(use)), level[use - 1], *lagged, dx[use]])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n_all": total, "v": (rows.T @ rows)[upper].tolist()}], columns=part.names)
+
+    halo = S.halo(d, before=kmax + 1, after=0, i="_t", block=block)
+    parts = halo.groupBy(*keys, S.BLK).applyInPandas(sums, part)
+    total = (parts.groupBy(*keys).agg(F.first("n_all").alias("n_all"), Summarizer.sum(array_to_vector("v")).alias("_s"))
+             .select(*keys, "n_all", vector_to_array("_s").alias("v")))
+    # The first rows, which shorter lags use as well: at most kmax + 1 values a key.
+    first = d.filter(F.col("_t") <= kmax).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_t", "_x"))), lambda r: r["_x"]).alias("head"))
+    schema = part.fields[:-2] + [T.StructField(c, T.LongType() if c == "nobs" else T.IntegerType() if c == "used_lag" else T.DoubleType())
+                                 for c in ("stat", "p_value", "used_lag", "nobs", "crit_1", "crit_5", "crit_10")]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        m = default_maxlag(int(r["n_all"]))
+        gram = np.zeros((z, z))
+        gram[upper] = np.asarray(r["v"], dtype=float)
+        gram = gram + np.triu(gram, 1).T
+        nobs = gram[0, 0]
+
+        def information(lag: int) -> float:
             k = lag + 2
-            beta, ssr = _ols(G[:k, :k], zy[:k], yy, nobs0)
-            llf = -nobs0 / 2 * (math.log(2 * math.pi) + math.log(ssr / nobs0) + 1)
-            aic = -2 * llf + 2 * k
-            if best is None or (aic, lag) < best:
-                best = (aic, lag)
-        lag = best[1]
+            _, ssr = _ols(gram[:k, :k], gram[:k, -1], gram[-1, -1], nobs)
+            return nobs * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1) + 2 * k
+
+        lag = min(range(m + 1), key=lambda k: (information(k), k))
         k = lag + 2
-        Gk, zyk, yyk, nk = G[:k, :k].copy(), zy[:k].copy(), yy, nobs0
-        ex = e[(e["_t"] >= lag + 1)]
-        for _, row in ex.iterrows():
-            z = np.array([1.0, row["_xl"]] + [row[f"_d{j}"] for j in range(1, lag + 1)], dtype=float)
-            Gk += np.outer(z, z)
-            zyk += z * row["_d"]
-            yyk += row["_d"] ** 2
-            nk += 1
-        beta, ssr = _ols(Gk, zyk, yyk, nk)
-        sigma2 = ssr / (nk - k)
-        cov = sigma2 * np.linalg.inv(Gk)
-        stat = float(beta[1] / math.sqrt(cov[1, 1]))
-        crit = mackinnon_crit(int(nk))
-        return pd.DataFrame([{**{c: r[c] for c in keys}, "stat": stat, "p_value": mackinnon_p(stat),
-                              "used_lag": lag, "nobs": int(nk), "crit_1": crit["1%"], "crit_5": crit["5%"],
-                              "crit_10": crit["10%"]}], columns=out_cols)
-
-    return sums.groupBy(*keys).cogroup(early.groupBy(*keys)).applyInPandas(solve, schema)
+        level = np.asarray(r["head"], dtype=float)[:m + 1]
+        dx = np.diff(level)
+        early = [(np.array([1.0, level[t - 1], *dx[t - 2 - np.arange(lag)]]), dx[t - 1]) for t in range(lag + 1, len(level))]
+        g, cross, square = gram[:k, :k].copy(), gram[:k, -1].copy(), gram[-1, -1]
+        for row, y in early:
+            g, cross, square = g + np.outer(row, row), cross + row * y, square + y * y
+        n_used = int(nobs) + len(early)
+        beta, ssr = _ols(g, cross, square, n_used)
+        stat = float(beta[1] / math.sqrt(ssr / (n_used - k) * np.linalg.inv(g)[1, 1]))
+        crit = mackinnon_crit(n_used)
+        return pd.DataFrame([{**{c: r[c] for c in keys}, "stat": stat, "p_value": mackinnon_p(stat), "used_lag": lag, "nobs": n_used,
+                              "crit_1": crit["1%"], "crit_5": crit["5%"], "crit_10": crit["10%"]}])
+
+    return total.join(first, keys).groupBy(*keys).applyInPandas(solve, T.StructType(schema))

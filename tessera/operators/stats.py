@@ -336,3 +336,20 @@ def stylized_facts_paths(paths: DataFrame, keys: Sequence[str], path_id: str = "
     out = (mom.join(vc.select(*keys, F.col("spearman").alias("volatility_clustering")), keys, "left")
               .join(lev.select(*keys, F.col("spearman").alias("leverage_effect")), keys, "left"))
     return out.select(*keys, "n", "volatility_clustering", "leverage_effect", "excess_kurtosis", "skewness")
+
+
+def compare_paths(real: DataFrame, other: DataFrame, keys: Sequence[str], path_id: str = "i", path: str = "path",
+                  cross_paths: bool = True, block: int = S.DEFAULT_BLOCK) -> DataFrame:
+    """(keys, wasserstein, real_ and other_ volatility clustering, leverage, excess kurtosis, skewness) of two path sets.
+
+    The distance is that of all returns of the sets; the facts are those of ``stylized_facts_paths``.
+    """
+    keys = list(keys)
+    sets = {"real": stage(real.select(*keys, path_id, path), "paths"), "other": stage(other.select(*keys, path_id, path), "paths")}
+    flat = [d.select(*keys, F.explode(path).alias("r")) for d in sets.values()]
+    out = wasserstein_1d(*flat, keys, "r")
+    short = {"volatility_clustering": "vol_clustering", "leverage_effect": "leverage", "excess_kurtosis": "excess_kurtosis", "skewness": "skewness"}
+    for name, d in sets.items():
+        facts = stylized_facts_paths(d, keys, path_id, path, cross_paths, block)
+        out = out.join(facts.select(*keys, *[F.col(c).alias(f"{name}_{to}") for c, to in short.items()]), keys)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as IND
 from ..operators import stats as ST
 from ..oracle.views import CTES, sql
+from ..session import stage
 from ..sources import fixtures as FX
 from . import features as FT
 from .q_features import FX_SYMBOLS
@@ -53,6 +54,21 @@ def q_histogram(spark, sf):
     return rounded(ST.histogram(rets(spark, sf), ["symbol"], "r", 80))
 
 
+@register("histogram_errors", R(sql("""SELECT g.model, g.horizon, g.symbol, CAST(g.bin AS INTEGER) AS bin, g.lo + g.bin * (g.hi - g.lo) / 40 AS bin_lo,
+  g.lo + (g.bin + 1) * (g.hi - g.lo) / 40 AS bin_hi, coalesce(c.n, 0) AS count
+FROM (SELECT model, horizon, symbol, lo, hi, unnest(range(0, 40)) AS bin FROM er) g
+LEFT JOIN (SELECT model, horizon, symbol, CAST(least(floor((y_true - y_pred - lo) / (hi - lo) * 40), 39) AS INTEGER) AS bin, count(*) AS n
+           FROM preds JOIN er USING (model, horizon, symbol) GROUP BY ALL) c
+  ON c.model = g.model AND c.horizon = g.horizon AND c.symbol = g.symbol AND c.bin = g.bin""", "preds",
+                                    extra="""er AS (SELECT model, horizon, symbol, min(y_true - y_pred) AS lo, max(y_true - y_pred) AS hi
+FROM preds GROUP BY model, horizon, symbol)"""), "bin_lo", "bin_hi"))
+def q_histogram_errors(spark, sf):
+    """40 bins of the prediction errors (real minus predicted) of every model, horizon and symbol."""
+    from .q_eval import preds
+    e = preds(spark, sf).withColumn("error", F.col("y_true") - F.col("y_pred"))
+    return rounded(ST.histogram(e, ["model", "horizon", "symbol"], "error", 40))
+
+
 _PAIRS = [(a, b) for k, a in enumerate(FEATS) for b in FEATS[k + 1:]]
 _CORR_SQL = ("SELECT symbol, unnest(l, recursive := true) FROM (SELECT symbol, [" + ", ".join(
     f"{{'f1': '{a}', 'f2': '{b}', 'corr': corr({a}, {b})}}" for a, b in _PAIRS) + "] AS l FROM feat GROUP BY symbol)")
@@ -86,10 +102,7 @@ GROUP BY a.symbol, s.series, k.lag"""
 
 
 def acf_table(spark, sf):
-    p = rets(spark, sf).withColumn("abs_r", F.abs("r"))
-    a = ST.acf(p, ["symbol"], "r").withColumn("series", F.lit("r"))
-    b = ST.acf(p, ["symbol"], "abs_r").withColumn("series", F.lit("abs_r"))
-    return a.unionByName(b).select("symbol", "series", F.col("lag").cast("int").alias("lag"), "acf")
+    return ST.acf_many(rets(spark, sf).withColumn("abs_r", F.abs("r")), ["symbol"], ["r", "abs_r"])
 
 
 @register("acf", R(sql(_ACF_SQL, "rp"), "acf"))
@@ -193,7 +206,7 @@ GROUP BY symbol"""
 
 
 def halves(spark, sf):
-    r = rets(spark, sf)
+    r = stage(rets(spark, sf), "returns")
     cut = F.lit(SPLIT_DAY).cast("date")
     return r.filter(F.col("day") <= cut), r.filter(F.col("day") > cut)
 
@@ -204,26 +217,61 @@ def q_wasserstein(spark, sf):
     return rounded(ST.wasserstein_1d(u, v, ["symbol"], "r"))
 
 
+# Paths of 20 returns of a series, flattened path after path.
+_PATHS = """{name} AS (SELECT symbol, half, p * 20 + pos AS i, r, abs(r) AS ar FROM (
+  SELECT symbol, half, p, unnest(path) AS r, unnest(range(0, 20)) AS pos FROM (
+    SELECT symbol, half, row_number() OVER (PARTITION BY symbol, half ORDER BY day) - 1 AS p,
+           list(r) OVER (PARTITION BY symbol, half ORDER BY day ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS path,
+           count(*) OVER (PARTITION BY symbol, half ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS na
+    FROM (SELECT symbol, day, r, {half} AS half FROM rets)) WHERE na = 20))"""
+_HALF = f"CASE WHEN day <= DATE '{SPLIT_DAY}' THEN 0 ELSE 1 END"
+_MOMENTS = """SELECT symbol, half, count(*) AS n, avg(pow(r - mu, 3)) / pow(avg(pow(r - mu, 2)), 1.5) AS skew,
+  avg(pow(r - mu, 4)) / pow(avg(pow(r - mu, 2)), 2) - 3 AS kurt
+FROM (SELECT symbol, half, r, avg(r) OVER (PARTITION BY symbol, half) AS mu FROM fl) GROUP BY symbol, half"""
+_FACTS = f"""facts AS (SELECT m.symbol, m.half, m.n, a.spearman AS vc, l.spearman AS lev, m.kurt, m.skew FROM ({_MOMENTS}) m
+JOIN ({_spearman_sql("ar", "ar", 1, "fl", "symbol, half")}) a USING (symbol, half)
+JOIN ({_spearman_sql("r", "ar", 5, "fl", "symbol, half")}) l USING (symbol, half))"""
+_FLAT_W = _W_SQL.replace(f"FROM rets WHERE day <= DATE '{SPLIT_DAY}'", "FROM fl WHERE half = 0").replace(
+    f"FROM rets WHERE day > DATE '{SPLIT_DAY}'", "FROM fl WHERE half = 1")
+_SETS = ["vol_clustering", "leverage", "excess_kurtosis", "skewness"]
+
+
 @register("compare_distributions", R(sql(f"""SELECT w.symbol, w.wasserstein,
-  a.spearman AS real_vol_clustering, b.spearman AS other_vol_clustering
-FROM ({_W_SQL}) w
-JOIN ({_spearman_sql("ar", "ar", 1, "hp", "symbol, half")}) a ON a.symbol = w.symbol AND a.half = 0
-JOIN ({_spearman_sql("ar", "ar", 1, "hp", "symbol, half")}) b ON b.symbol = w.symbol AND b.half = 1""", "rp",
-                                         extra=f"hp AS (SELECT *, CASE WHEN day <= DATE '{SPLIT_DAY}' THEN 0 ELSE 1 END AS half FROM rp)"),
-                                     "wasserstein", "real_vol_clustering", "other_vol_clustering"))
+  {', '.join(f'{t}.{c} AS {name}_{to}' for t, name in (('a', 'real'), ('b', 'other')) for c, to in zip(('vc', 'lev', 'kurt', 'skew'), _SETS))}
+FROM ({_FLAT_W}) w JOIN facts a ON a.symbol = w.symbol AND a.half = 0 JOIN facts b ON b.symbol = w.symbol AND b.half = 1""", "rets",
+                                         extra=_PATHS.format(name="fl", half=_HALF) + ",\n" + _FACTS),
+                                     "wasserstein", *[f"{n}_{c}" for n in ("real", "other") for c in _SETS]))
 def q_compare(spark, sf):
-    u, v = halves(spark, sf)
-    w = ST.wasserstein_1d(u, v, ["symbol"], "r")
-    fu = ST.stylized_facts(u, ["symbol"]).select("symbol", F.col("volatility_clustering").alias("real_vol_clustering"))
-    fv = ST.stylized_facts(v, ["symbol"]).select("symbol", F.col("volatility_clustering").alias("other_vol_clustering"))
-    return rounded(w.join(fu, "symbol").join(fv, "symbol"))
+    """Return paths of 20 days of the two periods as two path sets: distance and all facts of both."""
+    from ..operators import samples as SMP
+    real, other = (SMP.return_paths(d, 20) for d in halves(spark, sf))
+    return rounded(ST.compare_paths(real, other, ["symbol"]))
+
+
+def _inside(xa: str, xb: str, k: int) -> str:
+    """Spearman of lag pairs that stay inside a path."""
+    return _spearman_sql(xa, xb, k, "fl", "symbol, half").replace("AND y.half = x.half", "AND y.half = x.half AND y.i // 20 = x.i // 20")
+
+
+@register("stylized_facts_paths", R(sql(f"""SELECT symbol, true AS cross_paths, n, vc AS volatility_clustering, lev AS leverage_effect,
+  kurt AS excess_kurtosis, skew AS skewness FROM facts
+UNION ALL SELECT m.symbol, false, m.n, a.spearman, l.spearman, m.kurt, m.skew FROM ({_MOMENTS}) m
+JOIN ({_inside("ar", "ar", 1)}) a USING (symbol, half) JOIN ({_inside("r", "ar", 5)}) l USING (symbol, half)""", "rets",
+                                        extra=_PATHS.format(name="fl", half="0") + ",\n" + _FACTS),
+                                    "volatility_clustering", "leverage_effect", "excess_kurtosis", "skewness"))
+def q_stylized_paths(spark, sf):
+    """Facts of the set of all 20-day paths, with lag pairs across path borders (as the reference) and without."""
+    from ..operators import samples as SMP
+    paths = stage(SMP.return_paths(rets(spark, sf), 20).select("symbol", "i", "path"), "paths")
+    both = [ST.stylized_facts_paths(paths, ["symbol"], cross_paths=c).withColumn("cross_paths", F.lit(c)) for c in (True, False)]
+    return rounded(both[0].unionByName(both[1]))
 
 
 @register("adf_test")
 def q_adf(spark, sf):
     """ADF (constant, AIC lag) of the returns and of the close per symbol; verdict at 5 %."""
     from ..operators import adf as ADF
-    r = rets(spark, sf)
+    r = stage(rets(spark, sf), "returns")
     a = ADF.adf(r, ["symbol"], "r").withColumn("series", F.lit("r"))
     c = ADF.adf(r, ["symbol"], "close").withColumn("series", F.lit("close"))
     out = a.unionByName(c).withColumn("stationary", F.col("p_value") < 0.05)

@@ -177,3 +177,83 @@ def test_walk_forward_embargo(spark):
     d = spark.createDataFrame([("A", 2068)], "symbol string, n long")
     f = SP.walk_forward(d, ["symbol"], embargo=5).orderBy("fold").collect()
     assert [r.train_hi for r in f] == [1235, 1373, 1511, 1649, 1787] and f[0].val_lo == 1240
+
+
+def test_ranks_of_values_in_one_bucket_and_of_huge_values(spark):
+    """Ranges follow the data: values closer than any fixed bucket width, and values over a million, are dealt alike."""
+    rng = np.random.default_rng(12)
+    for scale, shift in ((1e-9, 0.5), (1e9, -3e6)):
+        a = np.round(rng.normal(size=3000), 2) * scale + shift
+        b = a + rng.normal(size=3000) * scale
+        df = spark.createDataFrame(pd.DataFrame({"g": "A", "a": a, "b": b}))
+        got = ST.spearman(df, ["g"], "a", "b").collect()[0]
+        assert got.n == 3000 and got.spearman == pytest.approx(pd.Series(a).rank().corr(pd.Series(b).rank()), abs=1e-12)
+        parts = ST.ranged(df.repartition(4).groupBy("g", "a").count().repartition(7, "a"), ["g"], "a")
+        sizes = [r["count"] for r in parts.groupBy(ST.PART).count().collect()]
+        assert max(sizes) <= 0.6 * sum(sizes) or len(sizes) == 1
+        q = ST.exact_quantiles(df, ["g"], "b", [0.1, 0.5]).collect()[0]
+        assert (q.q0, q.q1) == tuple(pytest.approx(np.quantile(b, p), rel=1e-12) for p in (0.1, 0.5))
+        w = ST.wasserstein_1d(df.select("g", F.col("a").alias("x")), df.select("g", F.col("b").alias("x")), ["g"], "x").collect()[0].wasserstein
+        assert w == pytest.approx(np.abs(np.sort(a) - np.sort(b)).mean(), rel=1e-9)
+
+
+def test_auc_of_scores_outside_the_unit_interval(spark):
+    from tessera.operators import metrics as M
+    rng = np.random.default_rng(13)
+    y = rng.integers(0, 2, 500)
+    s = np.round(y + rng.normal(size=500), 1) * 1e5 - 3e6
+    got = M.auc_roc(spark.createDataFrame(pd.DataFrame({"g": "A", "y": y, "s": s})), ["g"], "y", "s").collect()[0]
+    pos, neg = s[y == 1], s[y == 0]
+    want = np.mean([(p > neg).mean() + 0.5 * (p == neg).mean() for p in pos])
+    assert got.auc == pytest.approx(want, abs=1e-12) and (got.n_pos, got.n_neg) == (len(pos), len(neg))
+
+
+def test_drawdowns_from_block_summaries(spark):
+    """Months of returns, several columns at once; a curve that is wiped out takes the row-wise scan."""
+    from tessera.operators import metrics as M
+    rng = np.random.default_rng(14)
+    r = rng.normal(0, 3, (400, 3))
+    r[200, 2] = -130.0
+    days = pd.date_range("2020-01-01", periods=400)
+    df = spark.createDataFrame(pd.DataFrame({"g": "A", "day": days, "a": r[:, 0], "b": r[:, 1], "c": r[:, 2]})).withColumn("day", F.to_date("day"))
+    for cols in ("ab", "abc"):
+        got = M.drawdowns(df, ["g"], {c: F.col(c) for c in cols}).collect()[0]
+        for k, c in enumerate(cols):
+            curve = np.cumprod(1 + r[:, k] / 100)
+            assert got[c] == pytest.approx(((curve / np.maximum.accumulate(curve)) - 1).min() * 100, rel=1e-9)
+
+
+def test_threshold_sweep_has_no_join_with_the_grid(spark):
+    from tessera.operators import metrics as M
+    df = spark.createDataFrame([("A", "2020-01-01", 1.0, 0.2)], "g string, day string, y_true double, y_pred double").withColumn("day", F.to_date("day"))
+    plan = M.threshold_sweep(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_acf_of_several_series_from_one_pass(spark):
+    df, r = _series(spark)
+    both = ST.acf_many(df.withColumn("z", F.abs("r") + 90), ["g"], ["r", "z"], nlags=7, block=50).toPandas()
+    for c, x in (("r", r), ("z", np.abs(r) + 90)):
+        got = both[both.series == c].sort_values("lag")["acf"].to_numpy()
+        x = x - x.mean()
+        assert np.allclose(got, [np.sum(x[k:] * x[:len(x) - k]) / np.sum(x * x) for k in range(8)], atol=1e-10)
+    plan = [len(ST.acf_many(df, ["g"], ["r"], nlags=n)._jdf.queryExecution().analyzed().toString()) for n in (5, 40)]
+    assert plan[1] < 1.1 * plan[0]
+
+
+def test_compare_paths(spark):
+    rng = np.random.default_rng(15)
+    sets = [np.round(rng.standard_t(5, (9, 20)), 2), np.round(rng.normal(size=(11, 20)), 2)]
+    dfs = [spark.createDataFrame([("A", k, [float(v) for v in p]) for k, p in enumerate(s)], "g string, i long, path array<double>") for s in sets]
+    got = ST.compare_paths(*dfs, ["g"]).collect()[0]
+    flat = [s.ravel() for s in sets]
+    x = np.sort(np.concatenate(flat))
+    cdf = [np.searchsorted(np.sort(f), x[:-1], side="right") / len(f) for f in flat]
+    assert got.wasserstein == pytest.approx(np.sum(np.abs(cdf[0] - cdf[1]) * np.diff(x)), rel=1e-9)
+    for name, f in zip(("real", "other"), flat):
+        rank = lambda a, b: pd.Series(a).rank().corr(pd.Series(b).rank())
+        assert got[f"{name}_vol_clustering"] == pytest.approx(rank(np.abs(f[:-1]), np.abs(f[1:])), abs=1e-10)
+        assert got[f"{name}_leverage"] == pytest.approx(rank(f[:-5], np.abs(f[5:])), abs=1e-10)
+        c = f - f.mean()
+        assert got[f"{name}_excess_kurtosis"] == pytest.approx((c ** 4).mean() / (c ** 2).mean() ** 2 - 3, rel=1e-9)
+        assert got[f"{name}_skewness"] == pytest.approx((c ** 3).mean() / (c ** 2).mean() ** 1.5, rel=1e-9)
