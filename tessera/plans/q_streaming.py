@@ -37,7 +37,7 @@ def q_stream_ingest(spark, sf):
 def q_stream_dedup(spark, sf):
     folder = _land_news(spark, sf, news_clean(spark, sf).select(*NEWS_OUT), "landing-clean")
     out, ck = scratch_path(spark, "stream-dedup"), scratch_path(spark, "ck-dedup")
-    ST.run_available(ST.dedup_news(ST.read_news_stream(spark, folder, max_files=1)), out, ck)
+    ST.run_dedup(ST.read_news_stream(spark, folder, max_files=1), out, ck)
     return spark.read.parquet(out).select("day", "headline")
 
 
@@ -48,7 +48,7 @@ def q_stream_dedup_wm(spark, sf):
     ST.land(ev, folder, "1")
     out, ck = scratch_path(spark, "stream-ev"), scratch_path(spark, "ck-ev")
     s = spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true").parquet(folder)
-    ST.run_available(ST.dedup_news(s, keys=("event_id",), watermark="1 day", ts="ts"), out, ck)
+    ST.run_available(ST.dedup_within(s, ["event_id"], "ts", "1 day"), out, ck)
     return spark.read.parquet(out).select("event_id")
 
 
@@ -62,7 +62,8 @@ def q_stream_daily(spark, sf):
         "maxFilesPerTrigger", 1).parquet(folder)
     ST.run_available(ST.daily_vector_sums(s), out, ck)
     back = spark.read.parquet(out)
-    return rounded(back.groupBy("day").agg(F.max("n").alias("n_news"), F.sum(F.col("s") / F.col("n")).alias("emb_sum")))
+    total = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x)
+    return rounded(back.select("day", F.col("n").alias("n_news"), (total / F.col("n")).alias("emb_sum")))
 
 
 @register("stream_resume", sql(f"""SELECT CASE WHEN day < DATE '{SPLIT}' THEN 1 ELSE 2 END AS run, count(*) AS n_rows

@@ -4,8 +4,9 @@ Files landing in a folder are read with ``readStream`` (explicit schema), run
 through the same column logic as the batch plans and written with
 ``writeStream`` to parquet with a checkpoint, so a restarted query continues
 where it stopped (``trigger(availableNow=True)`` processes what is there and
-stops).  Dedup state is the set of keys seen (``dropDuplicates``) or, with a
-watermark, only keys inside it (``dropDuplicatesWithinWatermark``).
+stops).  Exact dedup keeps no keys in the state store: a batch's first rows are
+compared with what its months already hold (``run_dedup``); inside a watermark
+``dropDuplicatesWithinWatermark`` does.  Daily vector sums keep one vector a day.
 """
 
 from __future__ import annotations
@@ -47,23 +48,83 @@ def ingest_news(stream: DataFrame) -> DataFrame:
     return N.clean_news(stream)
 
 
-def dedup_news(stream: DataFrame, keys=("day", "headline"), watermark: str | None = None,
-               ts: str | None = None) -> DataFrame:
-    """Unbounded ``dropDuplicates`` on the keys, or bounded with a watermark on ``ts``
-    (late repeats older than the watermark may then pass)."""
-    if watermark:
-        return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
-    return stream.dropDuplicates(list(keys))
+def dedup_within(stream: DataFrame, keys, ts: str, watermark: str) -> DataFrame:
+    """First row seen of each key inside the watermark (repeats later than it may pass)."""
+    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
+
+
+def run_dedup(stream: DataFrame, out: str, checkpoint: str, keys=("day", "headline"), month_of: str = "day"):
+    """Exact dedup of all available rows, month by month, without keys in the state store; returns the finished query.
+
+    A batch keeps its first rows per key (by source rank and row number), leaves out those whose key an earlier batch has
+    published, and writes the rest under its own number: ``out/batch=N/ym=YYYY-MM``.  Only the months of the batch are read
+    back.  A batch that runs again after a failure replaces its own output, so rows are published once.
+    """
+    keys = list(keys)
+
+    def publish(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = N.dedup_news(batch, keys).withColumn("ym", F.date_format(month_of, "yyyy-MM")).persist()
+        try:
+            if number and not first.isEmpty():
+                published = spark.read.schema(first.schema.add("batch", "long")).parquet(out).filter(F.col("batch") < number)
+                theirs = published.join(first.select("ym").distinct(), "ym", "left_semi").select(*keys)
+                first.join(theirs, keys, "left_anti").write.mode("overwrite").partitionBy("ym").parquet(f"{out}/batch={number}")
+            else:
+                first.write.mode("overwrite").partitionBy("ym").parquet(f"{out}/batch={number}")
+        finally:
+            first.unpersist()
+
+    q = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def _day_end_ms(day) -> int:
+    import calendar
+
+    return (calendar.timegm(day.timetuple()) + 86_400) * 1000
 
 
 def daily_vector_sums(vectors: DataFrame, ts: str = "ts", col: str = "emb", watermark: str = "1 day") -> DataFrame:
-    """Per 1-day tumbling window: row count and per-dimension sums (append mode emits
-    a day once the watermark has passed its end).  Dimensions are exploded so the
-    state is plain sums; the mean is sum / count after the stream."""
-    ex = vectors.withWatermark(ts, watermark).select(ts, F.posexplode(col).alias("dim", "v"))
-    return (ex.groupBy(F.window(ts, "1 day").alias("w"), "dim")
-              .agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-              .select(F.to_date(F.col("w.start")).alias("day"), "dim", "s", "n"))
+    """(day, n, s): row count and vector sum of each day, emitted once the watermark has passed the day's end.
+
+    Rows are added up per day inside each Arrow batch first; the state of a day is its count and one vector and is purged
+    when the day is emitted.  Rows of a day that the watermark has passed are dropped.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def partial(batches):
+        for pdf in batches:
+            pdf = pdf[pdf[ts].notna() & pdf[col].notna()]
+            for day, g in pdf.groupby(pdf[ts].dt.date):
+                total = np.sum(np.stack([np.asarray(v, dtype=float) for v in g[col]]), axis=0)
+                yield pd.DataFrame([{"ts": g[ts].max(), "day": day, "n": len(g), "s": total.tolist()}])
+
+    def accumulate(key, frames, state):
+        (day,) = key
+        if state.hasTimedOut:
+            n, s = state.get
+            state.remove()
+            yield pd.DataFrame([{"day": day, "n": n, "s": list(s)}])
+            return
+        passed, end = state.getCurrentWatermarkMs(), _day_end_ms(day)
+        n, s = state.get if state.exists else (0, None)
+        for pdf in frames:
+            if passed >= end:
+                continue
+            n += int(pdf["n"].sum())
+            add = np.sum(np.stack([np.asarray(v, dtype=float) for v in pdf["s"]]), axis=0)
+            s = add if s is None else np.asarray(s) + add
+        if s is not None and passed < end:
+            state.update((n, [float(x) for x in s]))
+            state.setTimeoutTimestamp(max(end - 1, passed + 1))
+        yield from ()
+
+    parts = vectors.select(F.col(ts), F.col(col)).mapInPandas(partial, "ts timestamp, day date, n long, s array<double>")
+    return parts.withWatermark("ts", watermark).groupBy("day").applyInPandasWithState(
+        accumulate, "day date, n long, s array<double>", "n long, s array<double>", "append", "EventTimeTimeout")
 
 
 def daily_counts(events: DataFrame, ts: str = "ts", watermark: str = "1 day") -> DataFrame:
