@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_embed, q_eval, q_features, q_models, q_news, q_reports, q_splits, q_stats, q_streaming  # noqa: F401  (registration side effects)
+from . import q_embed, q_eval, q_features, q_fitted, q_models, q_news, q_reports, q_splits, q_stats, q_streaming  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES, rounded
 
 

@@ -326,7 +326,18 @@ def q_pt(spark, sf):
     return rounded(M.pesaran_timmermann(preds(spark, sf).filter(F.col("model") != "zero"), G))
 
 
-@register("pesaran_timmermann_pvalue")
+def simpson(f: str, end: str, steps: int = 1000) -> str:
+    """DuckDB: integral of ``f`` (an expression in {x}) from 0 to ``end`` by Simpson's rule."""
+    x = f"(k * {end} / {steps}.0)"
+    weight = f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {f.format(x=x)})) * {end} / {3 * steps}.0)"
+
+
+NORM_SF_SQL = "0.5 - " + simpson("exp(-pow({x}, 2) / 2)", "stat") + " / sqrt(2 * pi())"
+
+
+@register("pesaran_timmermann_pvalue", R(f"SELECT *, CASE WHEN stat IS NOT NULL THEN {NORM_SF_SQL} END AS p_value FROM ({sql(_PT_SQL, 'preds')})",
+                                         "da", "da_indep", "stat", "p_value"))
 def q_pt_p(spark, sf):
     from ..functions.probability import norm_sf
     pt = M.pesaran_timmermann(preds(spark, sf).filter(F.col("model") != "zero"), G)
@@ -374,7 +385,12 @@ def q_dm(spark, sf):
     return rounded(dm_table(spark, sf))
 
 
-@register("diebold_mariano_pvalue")
+_T_ANGLE = "atan(stat / sqrt(n - 1))"
+T_CDF_SQL = "0.5 + " + simpson("pow(cos({x}), n - 2)", _T_ANGLE) + " * exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt(pi())"
+
+
+@register("diebold_mariano_pvalue", R(f"SELECT *, CASE WHEN stat IS NOT NULL THEN {T_CDF_SQL} END AS p_value FROM ({sql(_DM_SQL, 'preds')})",
+                                      "stat", "mean_d", "p_value"))
 def q_dm_p(spark, sf):
     from ..functions.probability import t_cdf
     d = dm_table(spark, sf)

@@ -115,3 +115,10 @@ def test_auc_with_ties(spark):
     pos = [s for l, s in zip(lab, sc) if l == 1]; neg = [s for l, s in zip(lab, sc) if l == 0]
     ref = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert got == pytest.approx(ref)
+
+
+def test_t_cdf_known_values():
+    for t, df, want in ((1.0, 1, 0.75), (-1.0, 1, 0.25), (1.0, 2, 0.5 + 1 / (2 * 3 ** 0.5)), (0.0, 7, 0.5), (2.2281388519649385, 10, 0.975),
+                        (-2.2281388519649385, 10, 0.025), (1.959963984540054, 1e7, 0.975), (300.0, 1, 1 - math.atan(1 / 300.0) / math.pi)):
+        assert P.t_cdf_scalar(t, df) == pytest.approx(want, abs=2e-8 if df > 1e6 else 1e-12)
+    assert P.t_cdf_scalar(-40.0, 2) == pytest.approx(0.5 * (1 - 40 / math.sqrt(1602)), rel=1e-9)
