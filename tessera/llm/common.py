@@ -63,11 +63,12 @@ def arrow_rows(spark: SparkSession, rows: int):
 
 
 def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField],
-                   drop: tuple[str, ...] = ()) -> DataFrame:
+                   drop: tuple[str, ...] = (), step_bytes: int | None = None) -> DataFrame:
     """Map Arrow batches row by row: ``make()`` runs once per task, its result once per batch.
 
     The result gives one Python list or Arrow array per new field.  Input columns pass through, except those
-    named in ``drop`` and those that a new field replaces.
+    named in ``drop`` and those that a new field replaces.  With ``step_bytes`` a batch is handed on in parts of about
+    that size and freed memory goes back to the system after each batch.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
@@ -76,14 +77,18 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     def run(batches):
         arrow = to_arrow_schema(schema)
         step = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = step(batch)
-            columns = [batch.column(f.name) for f in kept]
-            columns += [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(f.name).type)
-                        for f, x in zip(fields, made)]
-            yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+        for whole in batches:
+            rows = whole.num_rows
+            at_once = max(1, rows * step_bytes // max(1, whole.nbytes)) if step_bytes else max(1, rows)
+            for lo in range(0, rows, at_once):
+                batch = whole.slice(lo, at_once)
+                made = step(batch)
+                columns = [batch.column(f.name) for f in kept]
+                columns += [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(f.name).type)
+                            for f, x in zip(fields, made)]
+                yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+            if step_bytes:
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -41,7 +41,11 @@ def source_targets(sized: DataFrame, source_col: str = "source", weights: tuple[
     order of cap over weight those that stop are a prefix, so one pass of running sums finds them.  The windows run over
     one row per source.
     """
-    per = _keyed(sized, source_col).groupBy(*_KEY).agg(F.sum("size").alias("source_size"))
+    return _targets(_keyed(sized, source_col), weights, cap)
+
+
+def _targets(keyed: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    per = keyed.groupBy(*_KEY).agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(W.orderBy("_none", "_src")) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     per = per.withColumn("w", weight).withColumn("most", F.col("source_size") * float(cap))
@@ -65,13 +69,13 @@ def _rate(cap: float) -> Column:
             .otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), F.col("lam") * F.col("size") / F.col("scale"))))))
 
 
-def multipliers(sized: DataFrame, targets: DataFrame, source_col: str = "source", cap: float = CAP) -> DataFrame:
+def multipliers(keyed: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
     """(_none, _src, source_size, target, full, scale, lam): the dual solution, one row per source.
 
     Newton steps start at rate 1 and stay inside a bracket that every step narrows; a step outside of it is replaced by
     bisection (or doubling while the bracket is open).
     """
-    counts = staged(_keyed(sized, source_col).filter(F.col("size") > 0).groupBy(*_KEY, "size").agg(F.count("*").alias("n")), "sizes")
+    counts = staged(keyed.filter(F.col("size") > 0).groupBy(*_KEY, "size").agg(F.count("*").alias("n")), "sizes")
     # The scale makes the first Newton step target / size - 1.
     scale = counts.groupBy(*_KEY).agg((F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
     state = (targets.join(scale, _KEY, "left")
@@ -113,13 +117,18 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", we
     """
     made = ["source_size", "target", "rate", "copies", "taken"]
     kept = [c for c in sized.columns if c not in made]
-    rows = staged(_keyed(sized.select(*kept), source_col).withColumn("_row", F.monotonically_increasing_id()), "mix")
-    targets = staged(source_targets(rows, source_col, weights, cap), "targets")
-    dual = multipliers(rows, targets, source_col, cap)
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col(id_col), "size", "_none", "_src"), F.lit(1 << 52)) / float(1 << 52)
-    rated = rows.join(dual, _KEY).withColumn("rate", _rate(cap))
+    # The caller's columns travel as one, so that none of them can meet a working column's name.
+    whole = F.struct(*[F.col(c) for c in kept]).alias("_whole")
+    keyed = sized.select(whole, F.col(source_col).alias("_of"), F.col(id_col).alias("_id"), "size")
+    rows = staged(_keyed(keyed, "_of").select(*_KEY, "size", F.xxhash64(F.lit(29), "_id").alias("_tie"),
+                                              F.xxhash64(F.lit(17), "_id", "size", *_KEY).alias("_draw"), "_whole")
+                  .withColumn("_row", F.monotonically_increasing_id()), "mix")
+    targets = staged(_targets(rows, weights, cap), "targets")
+    dual = _per_source(multipliers(rows, targets, cap))
+    draw = F.pmod("_draw", F.lit(1 << 52)) / float(1 << 52)
+    rated = rows.select("_row", *_KEY, "size", "_tie", "_draw").join(dual, _KEY).withColumn("rate", _rate(cap))
     rated = rated.withColumn("copies", F.least(F.lit(cap), F.floor(F.col("rate") + draw)).cast("int"))
-    copies = staged(rated.select("_row", *_KEY, "size", "copies", F.xxhash64(F.lit(29), F.col(id_col)).alias("_tie")), "copies")
+    copies = staged(rated.select("_row", *_KEY, "size", "copies", "_tie"), "copies")
     for _ in range(REPAIR_PASSES):
         change = staged(_repairs(copies, targets, cap), "repair")
         if change.isEmpty():
@@ -131,7 +140,16 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", we
         copies = fixed
     return (rows.join(copies.select("_row", "copies"), "_row").join(dual, _KEY)
             .withColumns({"rate": _rate(cap), "taken": F.col("copies") * F.col("size")})
-            .select(*kept, *made))
+            .select("_whole.*", *made))
+
+
+# Sources whose rows are broadcast to the documents; more of them are joined with a shuffle.
+BROADCAST_SOURCES = 100_000
+
+
+def _per_source(table: DataFrame) -> DataFrame:
+    """A staged table of one row per source, broadcast if it is small: documents of a hot source then stay where they are."""
+    return F.broadcast(table) if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else table
 
 
 def _repairs(copies: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
@@ -143,6 +161,7 @@ def _repairs(copies: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
     taken = copies.groupBy(*_KEY).agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
     error = (targets.join(taken, _KEY).withColumn("error", F.col("target") - F.col("taken"))
              .filter(F.abs("error") > REPAIR_TOLERANCE * F.col("target")).select(*_KEY, "error"))
+    error = _per_source(staged(error, "error"))
     open_rows = (copies.filter(F.col("size") > 0).join(error, _KEY)
                  .filter((F.col("size") <= F.abs("error")) & F.when(F.col("error") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)))
     row = F.struct("size", "_tie", "_row")

@@ -24,6 +24,8 @@ STEM_LENGTHS = range(4, 9)
 STEM_LIFT = 6
 MAX_TERMS = 500
 CONTEXT = 5
+# Bounds of a task's memory: words whose match is remembered, bytes of texts at once.
+KNOWN_WORDS, STEP_BYTES = 100_000, 4_000_000
 THRESHOLD = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -254,10 +256,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     def make():
         lexicon = Lexicon(model.terms, model.stems)
+        known: dict[str, int] = {}
 
         def step(batch: pa.RecordBatch):
             x, all_hits = [], []
-            known: dict[str, int] = {}
             for t in texts(batch, text_col):
                 words = words_of(t)
                 distinct = set(words)
@@ -267,11 +269,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 h = hits(t, found) if found else []
                 x.append(features(h, len(words)))
                 all_hits.append(h)
-                if len(known) > 300_000:  # bounds the memory of a long batch
-                    known = {}
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
             out = [pa.array(model.scores(np.array(x).reshape(-1, len(FEATURES))))]
             return [*out, all_hits] if spans else out
         return step
 
-    scored = append_columns(docs, make, fields, drop=drop)
+    scored = append_columns(docs, make, fields, drop=drop, step_bytes=STEP_BYTES)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -39,6 +39,18 @@ def filled(sizes, cap=3):
         stopped.update({s: cap * sizes[s] for s in over})
 
 
+def test_mix_keeps_columns_with_any_name(spark):
+    rows = [doc(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(60)]
+    names = ["scale", "lam", "full", "_row", "_src", "_none", "_tie", "_draw", "_whole", "error", "lo", "hi", "target"]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{k}-"), F.col("doc_id")))
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(mixing.with_sizes(spark.createDataFrame(rows, SCHEMA))).collect()}
+    out = mixing.mix(mixing.with_sizes(docs)).collect()
+    assert {r["doc_id"]: r["taken"] for r in out} == plain
+    assert all(r[c] == f"{k}-{r['doc_id']}" for r in out for k, c in enumerate(names) if c != "target")
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_mix_meets_the_targets(spark, seed):
     rng = random.Random(seed)
@@ -344,6 +356,27 @@ def test_near_duplicates_with_null_and_repeated_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    base = [f"x{i}" for i in range(60)]
+    rows = [doc(None, " ".join(base)), doc(None, " ".join(base + ["y"])), doc(5, " ".join(base + ["z"])), doc(None, "quite alone")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["n_shingles"] > 50 and r["doc_id"]) == [(5, 5, True)]
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None and r["n_shingles"] > 50] == [(5, False)] * 2
+
+
+def test_first_rows_judge_texts_not_ids(spark):
+    base = [f"x{i}" for i in range(60)]
+    copy, other = " ".join(base + ["y"]), " ".join(f"q{i}" for i in range(40))
+    rows = [doc(1, " ".join(base)), doc(7, copy), doc(7, other), doc(None, " ".join(base)), doc(None, copy), doc(9, other + " end", "t"),
+            doc(3, "twice " * 30), doc(3, "twice " * 30), doc(4, None), doc(4, ""), doc(None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit("k")).withColumn("component", F.lit("c"))
+    got = minhash.first_rows(docs.repartition(3), width=5)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] and r["text"]) == [(1, " ".join(base)), (3, "twice " * 30), (7, other)]
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect() if not r["text"]) == sorted(["(4, None)", "(4, '')", "(None, None)"])
+    assert minhash.first_rows(docs.filter("false")).count() == 0
+
+
 def test_group_tasks_equal_brute_force():
     """The in-list comparison names every block pair with a possible link, the block check every link that matters."""
     rng = np.random.default_rng(2)
