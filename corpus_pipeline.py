@@ -23,10 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of the smallest id (five-word shingles, similarity 0.8)."""
-    verdicts = minhash.near_duplicates(docs, width=5)
-    gone = staged(verdicts.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    few = gone.limit(minhash.BROADCAST_NODES + 1).count() <= minhash.BROADCAST_NODES
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return minhash.first_rows(docs.select(*COLUMNS), width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
