@@ -32,9 +32,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: a cut in the lineage that outlives executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def clear_before(docs: DataFrame) -> None:
+    """Delete all tables staged so far that ``docs`` does not read: for stages whose predecessors' results are written."""
+    spark = docs.sparkSession
+    read_now = "\n".join(docs.inputFiles())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kept = []
+    for p in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        if p.rsplit("/", 1)[1] in read_now:
+            kept.append(p)
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    _WRITTEN[spark.sparkContext.applicationId] = kept
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

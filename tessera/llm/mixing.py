@@ -126,21 +126,31 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", we
     targets = staged(_targets(rows, weights, cap), "targets")
     dual = _per_source(multipliers(rows, targets, cap))
     draw = F.pmod("_draw", F.lit(1 << 52)) / float(1 << 52)
-    rated = rows.select("_row", *_KEY, "size", "_tie", "_draw").join(dual, _KEY).withColumn("rate", _rate(cap))
-    rated = rated.withColumn("copies", F.least(F.lit(cap), F.floor(F.col("rate") + draw)).cast("int"))
-    copies = staged(rated.select("_row", *_KEY, "size", "copies", "_tie"), "copies")
+
+    def drawn(df: DataFrame) -> DataFrame:
+        rated = df.join(dual, _KEY).withColumn("rate", _rate(cap))
+        return rated.withColumn("copies", F.least(F.lit(cap), F.floor(F.col("rate") + draw)).cast("int"))
+
+    copies = staged(drawn(rows.select("_row", *_KEY, "size", "_tie", "_draw")).select("_row", *_KEY, "size", "copies", "_tie"), "copies")
+    changes = None  # some dozens of documents per source and pass
     for _ in range(REPAIR_PASSES):
-        change = staged(_repairs(copies, targets, cap), "repair")
+        change = _per_source(staged(_repairs(copies, targets, cap), "repair"))
         if change.isEmpty():
             break
-        fixed = (copies.join(change, "_row", "left")
-                 .withColumn("copies", (F.col("copies") + F.coalesce("_by", F.lit(0))).cast("int")).drop("_by"))
-        fixed = staged(fixed, "copies")
+        changes = change if changes is None else changes.unionByName(change)
+        fixed = staged(_repaired(copies, change), "copies")
         drop_staged(copies)
         copies = fixed
-    return (rows.join(copies.select("_row", "copies"), "_row").join(dual, _KEY)
-            .withColumns({"rate": _rate(cap), "taken": F.col("copies") * F.col("size")})
-            .select("_whole.*", *made))
+    drop_staged(copies)
+    # The rows stay where they are: rates and draws are the same again, and the repairs are few.
+    whole = drawn(rows)
+    if changes is not None:
+        whole = _repaired(whole, _per_source(staged(changes.groupBy("_row").agg(F.sum("_by").alias("_by")), "repairs")))
+    return whole.withColumn("taken", F.col("copies") * F.col("size")).select("_whole.*", *made)
+
+
+def _repaired(df: DataFrame, change: DataFrame) -> DataFrame:
+    return (df.join(change, "_row", "left").withColumn("copies", (F.col("copies") + F.coalesce("_by", F.lit(0))).cast("int")).drop("_by"))
 
 
 # Sources whose rows are broadcast to the documents; more of them are joined with a shuffle.
