@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, source mixing, token output.
 
 Every stage works on all that the one before kept; ``run`` writes each stage's result to the shared checkpoint folder and
-reads it again.  Stages but the last return the columns of ``documents``.
+reads it again.  Stages but the last return the columns of ``documents``.  A stage first deletes the working tables of the
+stages before it, whose results are written by then (tables that its own input reads stay).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, minhash, mixing, tokens, toxicity
-from tessera.llm.common import read, scratch_path, staged
+from tessera.llm.common import clear_before, read, scratch_path, staged
 from tessera.llm.queries import END_ID, ID_BYTES, encoder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,27 +18,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
+    clear_before(docs)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of the smallest id (five-word shingles, similarity 0.8)."""
+    clear_before(docs)
     return minhash.first_rows(docs.select(*COLUMNS), width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages by the operator's rule go."""
+    clear_before(docs)
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    clear_before(docs)
     return mixing.replicate(mixing.mix(mixing.with_sizes(docs.select(*COLUMNS)))).select(*COLUMNS)
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of the mix, read back: one row per document and copy."""
+    clear_before(docs)
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(docs, path, encoder, END_ID, ID_BYTES)
     return tokens.read_tokens(spark, path).drop("ids")
@@ -51,7 +57,7 @@ STAGES = [
     ("tokens", write_token_shards),
 ]
 
-# Learned scores, the dual solution and token ids are beyond SQL; tests hold each stage against brute force.
+# Learned scores, the dual solution and token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
