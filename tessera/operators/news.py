@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -26,16 +28,46 @@ def filter_period(df: DataFrame, start: str, end: str, coverage_end: str | None
     return df.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(stop).cast("date")))
 
 
-def dedup_news(df: DataFrame, keys=("day", "headline"), order=("src_rank", "row_no"),
-               bucket: str | None = None) -> DataFrame:
-    """Exact dedup on ``keys``, keeping the first row by ``order``.
+# Decimal digits that hold every value of an integer type counted from its smallest one.
+_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 20}
+_LOWEST = {"tinyint": 1 << 7, "smallint": 1 << 15, "int": 1 << 31, "bigint": 1 << 63}
+
+
+def packed_order(df: DataFrame, order) -> Column | None:
+    """One decimal that sorts like the integer columns ``order`` (nulls first); None if they do not fit 38 digits.
 
-    One hash aggregate with map-side partial aggregation: each partition keeps
-    only its first row per key before the shuffle, so a key repeated a million
-    times costs one row per partition.  ``bucket`` adds a grouping column
-    (e.g. the month) that is implied by the key; the result is the same.
+    A decimal is a fixed-width aggregation buffer, so its minimum stays a hash aggregate; a struct's does not.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if any(types[c] not in _DIGITS for c in order) or sum(_DIGITS[types[c]] for c in order) > 38:
+        return None
+    out = None
+    for c in order:
+        digits = f"decimal({_DIGITS[types[c]] + 1},0)"
+        place = F.coalesce(F.col(c).cast(digits) + F.lit(Decimal(_LOWEST[types[c]] + 1)), F.lit(Decimal(0)))
+        out = place if out is None else out * F.lit(Decimal(10 ** _DIGITS[types[c]])) + place
+    return out.cast("decimal(38,0)")
+
+
+def dedup_news(df: DataFrame, keys=("day", "headline"), order=("src_rank", "row_no"),
+               bucket: str | None = None, unique_order: bool = False) -> DataFrame:
+    """Exact dedup on ``keys``, keeping the first row by ``order``.  ``bucket`` adds a grouping column (e.g. the month)
+    that is implied by the key; the result is the same.
+
+    With ``unique_order`` the caller states that the (integer) order columns identify a row.  Rows are then materialised
+    late: a hash aggregate with map-side combine over keys and packed order alone finds the first rows (a key repeated a
+    million times costs one short row per partition, and no text is read for it), and whole rows meet them in a semi join
+    on the packed order, whose values are all different, so no key is hot.  Callers that use few columns never read the
+    bodies at all.
+
+    Without it, equal order values may occur: ``min_by`` over whole rows keeps exactly one (a sort aggregate, also
+    combined per partition first).
     """
     group = ([bucket] if bucket else []) + list(keys)
+    packed = packed_order(df, order) if unique_order else None
+    if packed is not None:
+        first = df.groupBy(*group).agg(F.min(packed).alias("_first")).select("_first")
+        return df.withColumn("_order", packed).join(first, F.col("_order") == F.col("_first"), "left_semi").drop("_order")
     rest = [c for c in df.columns if c not in group]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     return df.groupBy(*group).agg(first).select(*group, "_first.*").select(*df.columns)
@@ -69,14 +101,15 @@ def by_source_rollup(df: DataFrame) -> DataFrame:
 def by_month_dense(df: DataFrame) -> DataFrame:
     """Rows per month from the first to the last month, empty months as 0.
 
-    The month list is generated from a one-row min/max aggregate, so its size
-    is the span in months, independent of the row count.
+    One pass: the counts per month (as many as the span has months, whatever the row count) are gathered into one map,
+    from which the months of the span are looked up.
     """
-    counts = df.groupBy(F.trunc("day", "month").alias("month")).agg(F.count(F.lit(1)).alias("n_rows"))
-    span = df.agg(F.trunc(F.min("day"), "month").alias("lo"), F.trunc(F.max("day"), "month").alias("hi"))
-    months = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return (months.join(counts, "month", "left")
-                  .select("month", F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
+    month = F.trunc("day", "month")
+    counts = df.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("month").isNotNull())
+    span = counts.agg(F.min("month").alias("lo"), F.max("month").alias("hi"),
+                      F.map_from_entries(F.collect_list(F.struct("month", "n_rows"))).alias("_n"))
+    months = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"), "_n")
+    return months.select("month", F.coalesce(F.try_element_at("_n", F.col("month")), F.lit(0)).alias("n_rows"))
 
 
 def cap_rows_per_day(df: DataFrame, n: int, seed: int = 42, key: str = "day",

@@ -22,7 +22,7 @@ def news_clean(spark, sf):
 
 
 def news_dedup(spark, sf):
-    return N.dedup_news(news_clean(spark, sf))
+    return N.dedup_news(news_clean(spark, sf), unique_order=True)   # (source rank, row number) identify a row
 
 
 @register("clean_news", sql(f"SELECT {NEWS_OUT} FROM clean", "clean"))
@@ -39,7 +39,7 @@ def q_dedup_global(spark, sf):
                                      "dedup"))
 def q_dedup_bucketed(spark, sf):
     c = news_clean(spark, sf).withColumn("ym", F.trunc("day", "month"))
-    return N.dedup_news(c, bucket="ym")
+    return N.dedup_news(c, bucket="ym", unique_order=True)
 
 
 @register("news_ingest_stats", sql("""SELECT r.raw_rows, k.kept_rows, r.raw_rows - k.kept_rows AS duplicates,

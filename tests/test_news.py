@@ -28,6 +28,22 @@ def test_clean_and_dedup_keep_first(spark):
     assert first["titular 0"] == 0
 
 
+def test_late_dedup_equals_min_by(spark):
+    """Negative, extreme and null order values, null keys and repeated keys; ties keep one row without unique_order."""
+    big = 2 ** 63 - 1
+    rows = [("a", 1, 5, "k", "x"), ("a", -3, big, "k", "y"), ("a", -3, -big - 1, "k", "z"), ("b", None, 7, "k", "n"), ("b", 2, None, "m", "o"),
+            ("b", 2, 0, "m", "p"), ("c", 2 ** 31 - 1, 1, None, "q"), ("c", -2 ** 31, 2, None, "r"), ("d", 0, 0, "", "s")]
+    df = spark.createDataFrame(rows, "source string, src_rank int, row_no long, headline string, body string")
+    late = {tuple(r) for r in N.dedup_news(df, ("headline",), unique_order=True).collect()}
+    assert late == {tuple(r) for r in N.dedup_news(df, ("headline",)).collect()} == {rows[3], rows[4], rows[7], rows[8]}
+    tied = df.union(df)
+    assert N.dedup_news(tied, ("headline",)).count() == 4
+    assert N.dedup_news(df.limit(0), ("headline",), unique_order=True).count() == 0
+    assert N.packed_order(df, ["source"]) is None and N.packed_order(df, ["row_no", "row_no"]) is None
+    text_order = N.dedup_news(df, ("headline",), order=("body",), unique_order=True)      # no packed form: the other way
+    assert {r.body for r in text_order.collect()} == {"n", "o", "q", "s"}
+
+
 @pytest.mark.parametrize("end,ok", [("2023-12-29", True), ("2020-06-11", False), ("2023-11-30", True)])
 def test_coverage_guard(spark, end, ok):
     rows = [(dt.date.fromisoformat(end),), (dt.date(2015, 1, 2),), (dt.date(2018, 5, 4),)]

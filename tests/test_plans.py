@@ -45,3 +45,18 @@ def test_filters_and_pruning_reach_the_scan(spark):
     from tessera.sources import readers as RD
     news = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "n_chars").filter("n_chars > 100")
     assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,100)]" in _plan(news)
+
+
+@pytest.mark.parametrize("key", ["dedup_news_global", "dedup_news_bucketed"])
+def test_dedup_aggregates_no_bodies(spark, key):
+    """Keys and the packed order are hash-aggregated; bodies are neither sorted for an aggregate nor part of one."""
+    plan = _plan(E.queries()[key](spark, SF))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    for line in plan.splitlines():
+        if "Aggregate" in line:
+            assert "body" not in line, line
+
+
+def test_reports_read_no_bodies(spark):
+    """A count per month needs days and headlines only; the body's expression is gone from the plan."""
+    assert "body" not in _plan(E.queries()["news_by_month_dense"](spark, SF))
