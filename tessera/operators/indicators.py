@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import series as S
@@ -103,6 +103,18 @@ def bounded_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK
     return S.own_rows(d).drop("_c0", "_xc", "_k", "_s1", "_s2", "_st", "_sc")
 
 
+def all_present(extra=("vix_close",)) -> Column:
+    """True where every feature has a value, told from ``bounded_indicators`` alone.
+
+    The recursive features have values from fixed positions on, the last of them (the signal) before the long moving
+    average is full; so only position, %B, volume change and the extra columns decide.
+    """
+    out = F.col("i") >= SMA_LONG - 1
+    for c in ("bb_pct", "vol_change", *extra):
+        out = out & F.col(c).isNotNull()
+    return out
+
+
 def recursive_indicators(df: DataFrame, key="symbol", block: int = S.DEFAULT_BLOCK,
                          between=None) -> DataFrame:
     """RSI, MACD (+ signal, diff) and ATR via two block-scan rounds.

@@ -57,6 +57,19 @@ def feature_panel(bars: DataFrame, vol: DataFrame, key: str = "symbol",
     return stage(S.renumber(d, key, keep, block=block), "feature-panel")
 
 
+def feature_counts(bars: DataFrame, vol: DataFrame, key: str = "symbol", block: int = S.DEFAULT_BLOCK) -> DataFrame:
+    """``(key, n)``: rows of the feature panel per key, from the bounded windows alone (no recursion, no numbering)."""
+    d = IND.bounded_indicators(joined_panel(bars, vol, key, block), key, block)
+    return d.filter(IND.all_present()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def feature_positions(bars: DataFrame, vol: DataFrame, key: str = "symbol", block: int = S.DEFAULT_BLOCK) -> DataFrame:
+    """``(key, day, i)``: the feature panel's rows and positions, without the indicators' values."""
+    d = IND.bounded_indicators(joined_panel(bars, vol, key, block), key, block)
+    d = stage(d.select(key, "day", "i", S.BLK, IND.all_present().alias("_all")), "present")
+    return S.renumber(d, key, F.col("_all"), block=block).drop("_all")
+
+
 def preds(bars: DataFrame, key: str = "symbol", block: int = S.DEFAULT_BLOCK) -> DataFrame:
     """Prediction table ``(model, horizon, symbol, day, y_true, y_pred)``.
 

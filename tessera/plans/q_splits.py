@@ -9,6 +9,7 @@ from ..operators import samples as SMP
 from ..operators import scaling as SC
 from ..operators import splits as SP
 from ..oracle.views import CTES, sql
+from ..session import stage
 from ..sources import fixtures as FX
 from . import features as FT
 from .q_features import FX_SYMBOLS
@@ -51,16 +52,18 @@ def panel(spark, sf):
 
 
 def samples(spark, sf):
-    """Valid samples ``(symbol, day, i, j, y_t1, y_t5)``; j = i - L (positions are contiguous)."""
-    p = panel(spark, sf)
-    n = SP.counts(p, ["symbol"])
-    t = SMP.targets(p).join(n, "symbol")
-    return (t.filter((F.col("i") >= LOOKBACK) & (F.col("i") < F.col("n") - 5))
-             .select("symbol", "day", "i", (F.col("i") - LOOKBACK).alias("j"), "y_t1", "y_t5"))
+    """Valid samples ``(symbol, day, i, j)``; j = i - L.  Positions are contiguous, so a sample needs L rows before it
+    and 5 after it; no value is looked at."""
+    p = stage(FT.feature_positions(_bars(spark, sf), FX.vol_index(spark, sf)), "positions")
+    d = p.join(SP.counts(p, ["symbol"]), "symbol")
+    return (d.filter((F.col("i") >= LOOKBACK) & (F.col("i") < F.col("n") - 5))
+             .select("symbol", "day", "i", (F.col("i") - LOOKBACK).alias("j")))
 
 
 def sample_counts(spark, sf):
-    return SP.counts(samples(spark, sf), ["symbol"])
+    """Samples per symbol: the panel's rows less the lookback and the longest horizon."""
+    n = FT.feature_counts(_bars(spark, sf), FX.vol_index(spark, sf))
+    return n.withColumn("n", F.col("n") - LOOKBACK - 5).filter("n > 0")
 
 
 @register("walk_forward_splits", sql("""SELECT symbol, CAST(fold AS INTEGER) AS fold, CAST(0 AS BIGINT) AS train_lo,
@@ -86,9 +89,9 @@ def q_final_test(spark, sf):
   JOIN (SELECT symbol, count(*) AS n FROM feat GROUP BY symbol) n USING (symbol)
   WHERE s.i >= 30 AND s.y IS NOT NULL) GROUP BY symbol, role""", "feat"))
 def q_static(spark, sf):
-    p = panel(spark, sf)
-    n = SP.counts(p, ["symbol"])
-    t = SMP.targets(p, h1=1, h5=1).join(n, "symbol").filter((F.col("i") >= LOOKBACK) & F.col("y_t1").isNotNull())
+    p = stage(FT.feature_positions(_bars(spark, sf), FX.vol_index(spark, sf)), "positions")
+    # The next return exists for all rows but the last one.
+    t = p.join(SP.counts(p, ["symbol"]), "symbol").filter((F.col("i") >= LOOKBACK) & (F.col("i") < F.col("n") - 1))
     r = t.withColumn("role", SP.static_roles(F.col("i"), F.col("n")))
     return r.groupBy("symbol", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("first_day"),
                                           F.max("day").alias("last_day"))

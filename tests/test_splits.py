@@ -56,3 +56,25 @@ def test_model_folds_end_before_the_test_rows(spark):
     ends = Q.wf_folds(des).join(Q.test_geometry(des).select("symbol", "test_start"), "symbol")
     assert ends.count() == 10
     assert ends.filter("train_hi > test_start or val_hi > test_start").count() == 0
+
+
+def test_positions_equal_the_feature_panels(spark):
+    """Rows and positions told without the recursive indicators: flat closes, a day without volume, a short symbol."""
+    import datetime as dt
+    from tessera.plans import features as FT
+
+    day = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(160)]
+    rows = []
+    for symbol, n in (("A", 160), ("B", 40), ("C", 60)):
+        for k in range(n):
+            close = 100.0 if symbol == "A" and 90 <= k < 115 else 100.0 + (k * 7 % 11)
+            volume = 0.0 if symbol == "A" and k == 130 else 10.0 + k % 5
+            rows.append((symbol, day[k], close, close + 1, close - 1, close, volume))
+    bars = spark.createDataFrame(rows, "symbol string, day date, open double, high double, low double, close double, volume double")
+    vol = spark.createDataFrame([(d, 20.0 + k % 3) for k, d in enumerate(day) if k != 70], "day date, vix_close double")
+    want = {(r.symbol, r.day, r.i) for r in FT.feature_panel(bars, vol).select("symbol", "day", "i").collect()}
+    assert {(r.symbol, r.day, r.i) for r in FT.feature_positions(bars, vol).collect()} == want
+    # A loses its first row, day 70, the warm-up, 6 flat frames and the step out of no volume; B never gets warm.
+    counts = {r.symbol: r.n for r in FT.feature_counts(bars, vol).collect()}
+    assert counts == {s: sum(w[0] == s for w in want) for s in ("A", "C")}
+    assert counts["A"] == 160 - 1 - 1 - 49 - 6 - 1
