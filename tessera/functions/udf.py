@@ -9,26 +9,40 @@ windows per Arrow batch.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"\w+", re.UNICODE)
+_TOKEN = re.compile("[0-9a-z_\u0080-\U0010ffff]+")
+# Hashes of words that a task remembers.
+WORDS_KEPT = 1 << 16
 
 
 def hashing_encoder(dim: int = 64, seed: int = 42) -> Callable[[list[str]], np.ndarray]:
-    """Bag of lower-cased word tokens hashed into ``dim`` signed buckets, L2-normalised."""
+    """Bag of lower-cased word tokens hashed into ``dim`` signed buckets, L2-normalised (zeros without a token).
+
+    Of the md5 of ``seed:token`` the first 15 hex digits choose the bucket and the 16th the sign, which any SQL engine
+    can repeat.  Each distinct word of a batch is hashed once; counting is one ``bincount`` over all tokens.
+    """
+    @lru_cache(WORDS_KEPT)
+    def place(word: str) -> tuple[int, float]:
+        digest = hashlib.md5(f"{seed}:{word}".encode()).hexdigest()
+        return int(digest[:15], 16) % dim, 1.0 if digest[15] < "8" else -1.0
+
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for r, t in enumerate(texts):
-            for tok in _TOKEN.findall((t or "").lower()):
-                h = xxhash.xxh64_intdigest(tok, seed=seed)
-                out[r, h % dim] += 1.0 if (h >> 63) == 0 else -1.0
+        tokens = [_TOKEN.findall((t or "").lower()) for t in texts]
+        codes, words = pd.factorize(np.array([w for t in tokens for w in t], dtype=object))
+        placed = [place(w) for w in words]
+        bucket = np.array([b for b, _ in placed], dtype=np.int64)[codes]
+        sign = np.array([s for _, s in placed], dtype=np.float64)[codes]
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+        out = np.bincount(rows * dim + bucket, sign, len(texts) * dim).reshape(len(texts), dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         norm[norm == 0] = 1.0
         return (out / norm).astype(np.float32)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embeddings as E
 from ..operators import news as N
-from ..oracle.views import CTES, sql
+from ..oracle.views import CTES, WS, sql
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources import readers as RD
@@ -187,9 +187,23 @@ def q_day_texts(spark, sf):
         F.min(F.md5(F.col("headline").cast("binary"))).alias("first_text"))
 
 
-@register("encode_text")
+_ENCODED = r"""tok AS (
+  SELECT row_no, day, unnest(regexp_extract_all(lower(trim(headline || ' ' || body, {WS})), '[0-9a-z_\x{80}-\x{10FFFF}]+')) AS t FROM dedup),
+hashed AS (
+  SELECT row_no, day, CAST('0x' || substr(h, 1, 15) AS BIGINT) % (SELECT min(len(embedding)) FROM embeddings) AS b,
+         CASE WHEN substr(h, 16, 1) < '8' THEN 1 ELSE -1 END AS s
+  FROM (SELECT row_no, day, md5('42:' || t) AS h FROM tok)),
+bucket AS (SELECT row_no, day, b, sum(s) AS x FROM hashed GROUP BY row_no, day, b),
+unit AS (
+  SELECT row_no, day, b, CAST(x / sqrt(sum(x * x) OVER (PARTITION BY row_no)) AS FLOAT) AS v FROM bucket WHERE x <> 0),
+per_day AS (SELECT day, count(*) AS n_news FROM dedup GROUP BY day),
+means AS (SELECT u.day, u.b, sum(CAST(v AS DOUBLE)) / min(n_news) AS m FROM unit u JOIN per_day p ON p.day = u.day GROUP BY u.day, u.b)""".replace("{WS}", WS)
+
+
+@register("encode_text", R(sql("""SELECT p.day, p.n_news, coalesce(sum(m), 0.0) AS emb_sum, coalesce(sqrt(sum(m * m)), 0.0) AS emb_norm
+FROM per_day p LEFT JOIN means ON means.day = p.day GROUP BY p.day, p.n_news""", "dedup", extra=_ENCODED), "emb_sum", "emb_norm"))
 def q_encode_text(spark, sf):
-    """Default hashing encoder in mapInPandas on the corpus texts, then daily means (rows-only)."""
+    """Default hashing encoder in mapInPandas on the corpus texts, then daily means."""
     from ..functions import text as TX
     from ..functions.udf import encode_text
     dim = FX.embedding_dim(spark, sf)
