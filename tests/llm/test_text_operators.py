@@ -70,6 +70,32 @@ def test_decontaminate_empty_tables_and_clashing_columns(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_pieces_hold_each_window_once():
+    words = [b"w%d" % i for i in range(57)]
+    for n in (0, 1, 12, 13, 14, 25, 57):
+        pieces = decontaminate.item_pieces(b" ".join(words[:n]), 13, 10)
+        cut = [p.split()[i:i + 13] for p in pieces for i in range(max(1, len(p.split()) - 12))]
+        assert cut == ([words[:n][i:i + 13] for i in range(max(1, n - 12))] if n else [])
+
+
+def test_decontaminate_long_items_and_working_names(spark, monkeypatch):
+    """Items of many pieces in several automata equal brute force; columns named like working columns stay."""
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 5)
+    monkeypatch.setattr(decontaminate.item_pieces, "__defaults__", (13, 5))
+    words = [f"v{i % 37}" for i in range(60)]
+    items = [("a", " ".join(words)), ("b", " ".join(words[20:45])), ("c", "v1 v2")]
+    texts = [" ".join(words[10:50]), " ".join(words[30:]) + " x " + " ".join(words[:13]), "v1 v2", " ".join(words[:12]), "x y z"]
+    docs = (frame(spark, [doc(i, t) for i, t in enumerate(texts)])
+            .withColumn("_runs", F.lit(7)).withColumn("_items", F.lit("mine")).withColumn("__runs", F.lit(8)))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for size in (10_000, 150):
+        out = decontaminate.decontaminate(docs, bench, automaton_bytes=size).collect()
+        assert len(out) == len(texts)
+        for r in out:
+            assert (r["n_words"], r["n_hit"], r["n_items"]) == (lambda n, h, f: (n, h, len(set(f))))(*brute_hits(r["text"], items))
+            assert (r["_runs"], r["_items"], r["__runs"]) == (7, "mine", 8)
+
+
 # ------------------------------------------------------------------------------------------------------- quality rules
 
 def brute_measures(text):
