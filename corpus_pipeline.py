@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, minhash, mixing, tokens, toxicity
-from tessera.llm.common import clear_before, read, scratch_path, staged
+from tessera.llm.common import arrow_rows, clear_before, read, scratch_path, staged
 from tessera.llm.queries import END_ID, ID_BYTES, encoder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -61,8 +61,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+# Rows that Spark hands to Python at once: batches of texts stay small beside what the stages keep in their workers.
+BATCH_ROWS = 1_000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    with arrow_rows(spark, BATCH_ROWS):
+        for name, stage in STAGES:
+            docs = staged(stage(spark, docs, sf_dir), name)
     return docs
