@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import adf as ADF
 from ..operators import indicators as IND
 from ..operators import stats as ST
 from ..oracle.views import CTES, sql
@@ -267,10 +268,55 @@ def q_stylized_paths(spark, sf):
     return rounded(both[0].unionByName(both[1]))
 
 
-@register("adf_test")
+# Twin of the ADF test: every row's regressors as a list, their cross products, and one pivot after another (Gauss-Jordan).
+# After k pivots the last element is the residual sum of the regression on the first k columns, so the pivots of one matrix
+# give the residual sums of all lags; the inverse and the coefficients of the final one stand in the matrix after all pivots.
+_PIVOTS = """{name}(series, symbol, n, z, k, g) AS (SELECT series, symbol, n, z, CAST(0 AS BIGINT), g FROM {source}
+  UNION ALL SELECT series, symbol, n, z, k + 1, list_transform(range(0, z * z), lambda e: CASE
+    WHEN e // z = k AND e % z = k THEN 1 / g[k * z + k + 1]
+    WHEN e // z = k THEN g[e + 1] / g[k * z + k + 1]
+    WHEN e % z = k THEN -g[e + 1] / g[k * z + k + 1]
+    ELSE g[e + 1] - g[(e // z) * z + k + 1] * g[k * z + e % z + 1] / g[k * z + k + 1] END) FROM {name} WHERE k < z - 1)"""
+
+
+def _poly(x: str, coefficients: list[float]) -> str:
+    return " + ".join(f"({c}) * pow({x}, {j})" for j, c in enumerate(coefficients))
+
+
+def _products(name: str, source: str) -> str:
+    """Sums of all products of the rows ``v`` of ``source`` (series, symbol, z, v), as one list per series and symbol."""
+    return f"""{name} AS (SELECT series, symbol, any_value(n) AS n, z, list(p ORDER BY e) AS g FROM (
+  SELECT series, symbol, z, e, count(*) AS n, sum(v[e // z + 1] * v[e % z + 1]) AS p
+  FROM (SELECT *, unnest(range(0, z * z)) AS e FROM {source}) GROUP BY ALL) GROUP BY series, symbol, z)"""
+
+
+_ADF = f"""ob AS (SELECT series, symbol, t, n, least(n // 2 - 2, CAST(ceil(12 * pow(n / 100.0, 0.25)) AS BIGINT)) AS m, x, x - lag(x) OVER w AS dx, lag(x) OVER w AS lev
+  FROM (SELECT series, symbol, day, row_number() OVER w0 - 1 AS t, count(*) OVER s AS n, x - avg(x) OVER s AS x
+        FROM (SELECT 'r' AS series, symbol, day, r AS x FROM rets UNION ALL SELECT 'close', symbol, day, close FROM rets)
+        WINDOW s AS (PARTITION BY series, symbol), w0 AS (PARTITION BY series, symbol ORDER BY day))
+  WINDOW w AS (PARTITION BY series, symbol ORDER BY t)),
+lagged AS (SELECT *, list_reverse(list(dx) OVER (PARTITION BY series, symbol ORDER BY t ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)) AS past FROM ob),
+wide AS (SELECT series, symbol, m + 3 AS z, list_concat([1.0, lev], list_concat(past[1:m], [dx])) AS v FROM lagged WHERE t > m),
+{_products("gw", "wide")},
+{_PIVOTS.format(name="pw", source="gw")},
+best AS (SELECT series, symbol, arg_min(k - 2, (n * (ln(2 * pi()) + ln(g[z * z] / n) + 1) + 2 * k, k)) AS lag FROM pw WHERE k >= 2 GROUP BY series, symbol),
+own AS (SELECT series, symbol, lag + 3 AS z, list_concat([1.0, lev], list_concat(past[1:lag], [dx])) AS v
+  FROM lagged JOIN best USING (series, symbol) WHERE t > lag),
+{_products("go", "own")},
+{_PIVOTS.format(name="po", source="go")},
+stats AS (SELECT series, symbol, z - 3 AS lag, n, g[2 * z] / sqrt(g[z * z] / (n - (z - 1)) * g[z + 2]) AS stat FROM po WHERE k = z - 1),
+surface AS (SELECT *, CASE WHEN stat <= {ADF.TAU_STAR} THEN {_poly("stat", ADF.TAU_SMALLP)} ELSE {_poly("stat", ADF.TAU_LARGEP)} END AS q FROM stats)"""
+_NORMAL = """0.5 + q / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001),
+    lambda j: CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow(q * j / 2000, 2))))"""
+_CRITS = ", ".join(f"{_poly('1.0 / n', c)} AS crit_{level.rstrip('%')}" for level, c in ADF.CRIT_2010.items())
+
+
+@register("adf_test", R(sql(f"""SELECT *, p_value < 0.05 AS stationary FROM (
+  SELECT symbol, series, stat, CASE WHEN stat > {ADF.TAU_MAX} THEN 1.0 WHEN stat < {ADF.TAU_MIN} THEN 0.0 ELSE {_NORMAL} END AS p_value,
+         CAST(lag AS INTEGER) AS used_lag, CAST(n AS BIGINT) AS nobs, {_CRITS} FROM surface)""", "rets", extra=_ADF),
+                        "stat", "p_value", "crit_1", "crit_5", "crit_10"))
 def q_adf(spark, sf):
     """ADF (constant, AIC lag) of the returns and of the close per symbol; verdict at 5 %."""
-    from ..operators import adf as ADF
     r = stage(rets(spark, sf), "returns")
     a = ADF.adf(r, ["symbol"], "r").withColumn("series", F.lit("r"))
     c = ADF.adf(r, ["symbol"], "close").withColumn("series", F.lit("close"))

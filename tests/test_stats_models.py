@@ -257,3 +257,15 @@ def test_compare_paths(spark):
         c = f - f.mean()
         assert got[f"{name}_excess_kurtosis"] == pytest.approx((c ** 4).mean() / (c ** 2).mean() ** 2 - 3, rel=1e-9)
         assert got[f"{name}_skewness"] == pytest.approx((c ** 3).mean() / (c ** 2).mean() ** 1.5, rel=1e-9)
+
+
+def test_adf_twin_p_value():
+    """The p-value surface of the SQL twin equals the operator's on both sides of the break and in the tails."""
+    import duckdb
+    from tessera.operators.adf import TAU_MAX, TAU_MIN, TAU_SMALLP, TAU_LARGEP, TAU_STAR, mackinnon_p
+    from tessera.plans.q_stats import _NORMAL, _poly
+    stats = [-18.5, -6.0, -3.2, -2.0, TAU_STAR, -1.6, -0.4, 0.0, 1.7, 2.7]
+    rows = duckdb.sql(f"""SELECT stat, {_NORMAL} AS p FROM (SELECT stat, CASE WHEN stat <= {TAU_STAR} THEN {_poly("stat", TAU_SMALLP)}
+      ELSE {_poly("stat", TAU_LARGEP)} END AS q FROM (SELECT CAST(unnest({stats}) AS DOUBLE) AS stat))""").fetchall()
+    assert len(rows) == len(stats)
+    assert all(TAU_MIN <= t <= TAU_MAX and abs(p - mackinnon_p(t)) < 1e-10 for t, p in rows)
