@@ -23,9 +23,16 @@ def clean_news(df: DataFrame) -> DataFrame:
 
 
 def filter_period(df: DataFrame, start: str, end: str, coverage_end: str | None = None) -> DataFrame:
-    """``start <= day <= min(end, coverage_end)`` (a pushed-down range predicate)."""
+    """``start <= day <= min(end, coverage_end)`` (a pushed-down range predicate).
+
+    A corpus partitioned by month (string column ``ym``, as ``sinks.sink_news_by_month`` writes it) is filtered by the
+    implied range of months too, so only the folders of the period are listed and read.
+    """
     stop = min(end, coverage_end) if coverage_end else end
-    return df.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(stop).cast("date")))
+    inside = F.col("day").between(F.lit(start).cast("date"), F.lit(stop).cast("date"))
+    if dict(df.dtypes).get("ym") == "string":
+        inside = inside & F.col("ym").between(start[:7], stop[:7])
+    return df.filter(inside)
 
 
 # Decimal digits that hold every value of an integer type counted from its smallest one.

@@ -82,11 +82,13 @@ def scan_news_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_bars(bars: DataFrame, symbols: Sequence[str] | None = None,
-              start: str | None = None, end: str | None = None) -> DataFrame:
+              start: str | None = None, end: str | None = None, required: bool = False) -> DataFrame:
     """Bars for some symbols and a period (end exclusive), rows with any null dropped.
 
     Filters are plain predicates on the scan columns, so Catalyst pushes them
     into the parquet reader (and prunes partitions when bars are partitioned).
+    With ``required`` each of the symbols (without ``symbols``: the table) must have a row: a ValueError names those
+    that have none, before anything is computed from an empty panel.
     """
     d = bars
     if symbols is not None:
@@ -95,7 +97,14 @@ def load_bars(bars: DataFrame, symbols: Sequence[str] | None = None,
         d = d.filter(F.col("day") >= F.lit(start).cast("date"))
     if end is not None:
         d = d.filter(F.col("day") < F.lit(end).cast("date"))
-    return d.dropna("any")
+    d = d.dropna("any")
+    if required and symbols is None and d.isEmpty():
+        raise ValueError(f"no bars between {start} and {end}")
+    if required and symbols is not None:
+        missing = sorted(set(symbols) - {r["symbol"] for r in d.select("symbol").distinct().collect()})
+        if missing:
+            raise ValueError(f"no bars of {missing} between {start} and {end}")
+    return d
 
 
 def market_days(bars: DataFrame) -> DataFrame:

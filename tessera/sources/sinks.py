@@ -21,8 +21,12 @@ def sink_news_by_month(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def sink_samples(df: DataFrame, path: str, key: str = "symbol", mode: str = "overwrite") -> None:
-    """Samples / feature panel by symbol, sorted by day inside files."""
-    df.sortWithinPartitions(key, "day").write.mode(mode).partitionBy(key).parquet(path)
+    """Samples / feature panel by symbol, sorted by day inside files.
+
+    Range partitioning on (symbol, day) gives each symbol a few files instead of one from every task that held some of
+    its rows, and spreads a symbol with many rows over several tasks.
+    """
+    df.repartitionByRange(key, "day").sortWithinPartitions(key, "day").write.mode(mode).partitionBy(key).parquet(path)
 
 
 def wide_embeddings(df: DataFrame, dim: int, key: str = "day", col: str = "emb") -> DataFrame:
