@@ -22,7 +22,6 @@ FIT_ROWS, FIT_CHARS = 2000, 20_000
 FUZZY_LENGTH = 5
 STEM_LENGTHS = range(4, 9)
 STEM_LIFT = 6
-MAX_TERMS = 500
 CONTEXT = 5
 # Bounds of a task's memory: words whose match is remembered, bytes of texts at once.
 KNOWN_WORDS, STEP_BYTES = 100_000, 4_000_000
@@ -153,10 +152,22 @@ def features(found_hits: list[dict], n_words: int) -> list[float]:
     return [float(x) for x in out]
 
 
-def candidates(words: set[str]) -> set[tuple[str, bool]]:
-    """(term, whole word?) that a text's words offer to the lexicon."""
-    out = {(w, True) for w in words if len(w) >= 3}
-    out.update((w[:n], False) for w in words for n in STEM_LENGTHS if len(w) > n)
+def count_terms(sets: list[set[str]]) -> Counter:
+    """Texts that hold a whole word, for the words of three letters and more."""
+    return Counter(w for words in sets for w in words if len(w) >= 3)
+
+
+def count_stems(sets: list[set[str]], least: int) -> Counter:
+    """Texts with a longer word that begins like this, for the beginnings of STEM_LENGTHS letters.
+
+    A beginning is counted only if its own beginnings stand in ``least`` texts or more: longer ones cannot stand in more.
+    So the many beginnings of rare words never fill the driver.
+    """
+    out: Counter = Counter()
+    for n in STEM_LENGTHS:
+        shorter = n - 1 if n - 1 in STEM_LENGTHS else 0
+        found = Counter(s for words in sets for s in {w[:n] for w in words if len(w) > n and (not shorter or w[:shorter] in out)})
+        out.update({s: k for s, k in found.items() if k >= least})
     return out
 
 
@@ -180,7 +191,7 @@ def unlike(sets: list[set[str]], share: float = 0.5) -> list[set[str]]:
     return kept
 
 
-def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], max_terms: int = MAX_TERMS) -> Lexicon:
+def learn_lexicon(toxic: list[set[str]], clean: list[set[str]]) -> Lexicon:
     """Terms and stems that mark toxic texts beyond chance.
 
     A whole word needs 19 toxic texts for a clean one, and support that no candidate would reach by chance with
@@ -189,27 +200,26 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], max_terms: int =
     what the clean texts predict, and seen with several endings.  A stem stands for all terms and stems it begins.
     """
     toxic, clean = unlike(toxic), unlike(clean)
-    support = Counter(c for w in toxic for c in candidates(w))
-    support = Counter({c: n for c, n in support.items() if n >= 3})
-    against = Counter(c for w in clean for c in candidates(w) if c in support)
+    whole = {w: n for w, n in count_terms(toxic).items() if n >= 3}
+    begun = count_stems(toxic, 3)
+    clean_words = count_terms([words & whole.keys() for words in clean])
+    against = Counter(s for words in clean for s in {w[:n] for w in words for n in STEM_LENGTHS if len(w) > n} if s in begun)
     base = len(toxic) / max(1, len(toxic) + len(clean))
-    least = 1 + int(np.ceil(np.log(0.01 / max(1, len(support))) / np.log(base))) if 0 < base < 1 else 3
-    words = {t for (t, whole), n in support.items() if whole and n >= max(3, least) and 19 * against[t, True] <= n}
+    least = 1 + int(np.ceil(np.log(0.01 / max(1, len(whole) + len(begun))) / np.log(base))) if 0 < base < 1 else 3
+    words = {t for t, n in whole.items() if n >= max(3, least) and 19 * clean_words[t] <= n}
     stems = set()
-    for (t, whole), n in support.items():
-        expected = (against[t, False] + 1) * len(toxic) / max(1, len(clean))
-        if not whole and n >= max(3, least) and n >= STEM_LIFT * expected and n - expected >= 6 * np.sqrt(expected + 1):
+    for t, n in begun.items():
+        expected = (against[t] + 1) * len(toxic) / max(1, len(clean))
+        if n >= max(3, least) and n >= STEM_LIFT * expected and n - expected >= 6 * np.sqrt(expected + 1):
             stems.add(t)
     # A stem that one whole word accounts for is that word: other endings are hardly seen with it.
-    stems -= {s for w in words for k in STEM_LENGTHS if (s := w[:k]) in stems and 2 * support[w, True] >= support[s, False]}
+    stems -= {s for w in words for k in STEM_LENGTHS if (s := w[:k]) in stems and 2 * whole[w] >= begun[s]}
     stems = {s for s in stems if not any(s[:n] in stems for n in range(min(STEM_LENGTHS), len(s)))}
-    terms = [t for t in words if not any(t[:n] in stems for n in STEM_LENGTHS)]
-    return Lexicon(sorted(terms, key=lambda t: (-support[t, True], t))[:max_terms],
-                   sorted(stems, key=lambda t: (-support[t, False], t))[:max_terms])
+    return Lexicon([t for t in words if not any(t[:n] in stems for n in STEM_LENGTHS)], list(stems))
 
 
 class Model:
-    """A lexicon of at most ``MAX_TERMS`` terms and the weights of the hit counts."""
+    """A lexicon and the weights of the hit counts."""
 
     def __init__(self, terms: list[str], stems: list[str], weights: np.ndarray):
         self.terms, self.stems, self.weights = terms, stems, weights
@@ -228,8 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     total = counts.get(0, 0) + counts.get(1, 0)
     prior = counts.get(1, 0) / total if total else 0.5
     rows = list(dict.fromkeys(zip(sample, y)))
-    sets = [[set(words_of(t)) for t, c in rows if c == k] for k in (0, 1)]
+    once: dict[str, str] = {}  # a word is kept once, however many texts hold it
+    sets = [[{once.setdefault(w, w) for w in words_of(t)} for t, c in rows if c == k] for k in (0, 1)]
     lexicon = learn_lexicon(sets[1], sets[0])
+    del sets, once
     x = []
     for t, _ in rows:
         words = words_of(t)

@@ -343,3 +343,18 @@ def test_shards_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "empty")
     tokens.write_tokens(frame(spark, []), path, queries.encoder, 2)
     assert tokens.read_tokens(spark, path).count() == 0
+
+
+def test_stem_counts_equal_plain_counts():
+    """Beginnings counted length by length are those of a plain count that stand in enough texts."""
+    import random
+    from collections import Counter
+    from tessera.llm.toxicity import STEM_LENGTHS, count_stems, count_terms
+
+    r = random.Random(5)
+    words = ["".join(r.choice("ab") for _ in range(r.randint(1, 12))) for _ in range(300)] + ["äöüßé", "", "abab"]
+    sets = [set(r.sample(words, r.randint(0, 12))) for _ in range(80)] + [set()]
+    plain = Counter(s for x in sets for s in {w[:n] for w in x for n in STEM_LENGTHS if len(w) > n})
+    for least in (1, 2, 3, 9):
+        assert count_stems(sets, least) == {s: k for s, k in plain.items() if k >= least}
+    assert count_stems([], 3) == {} and count_terms(sets) == Counter(w for x in sets for w in x if len(w) >= 3)
