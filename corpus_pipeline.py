@@ -14,6 +14,9 @@ from tessera.llm.common import arrow_rows, clear_before, read, scratch_path, sta
 from tessera.llm.queries import END_ID, ID_BYTES, encoder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Rows that Spark hands to Python at once: batches of texts stay small beside what the stages keep in their workers.  Stages
+# that run jobs of their own set it too, so it holds for them when they are called one by one.
+BATCH_ROWS = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of the smallest id (five-word shingles, similarity 0.8)."""
     clear_before(docs)
-    return minhash.first_rows(docs.select(*COLUMNS), width=5)
+    with arrow_rows(spark, BATCH_ROWS):
+        return minhash.first_rows(docs.select(*COLUMNS), width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +49,8 @@ def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Token shards of the mix, read back: one row per document and copy."""
     clear_before(docs)
     path = scratch_path(spark, "tokens")
-    tokens.write_tokens(docs, path, encoder, END_ID, ID_BYTES)
+    with arrow_rows(spark, BATCH_ROWS):
+        tokens.write_tokens(docs, path, encoder, END_ID, ID_BYTES)
     return tokens.read_tokens(spark, path).drop("ids")
 
 
@@ -61,10 +66,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-# Rows that Spark hands to Python at once: batches of texts stay small beside what the stages keep in their workers.
-BATCH_ROWS = 1_000
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     with arrow_rows(spark, BATCH_ROWS):
