@@ -4,15 +4,17 @@ Files landing in a folder are read with ``readStream`` (explicit schema), run
 through the same column logic as the batch plans and written with
 ``writeStream`` to parquet with a checkpoint, so a restarted query continues
 where it stopped (``trigger(availableNow=True)`` processes what is there and
-stops).  Exact dedup keeps no keys in the state store: a batch's first rows are
-compared with what its months already hold (``run_dedup``); inside a watermark
-``dropDuplicatesWithinWatermark`` does.  Daily vector sums keep one vector a day.
+stops).  Exact dedup keeps no keys in the state store: the first rows of a run's
+batches are compared once with each other and with what their months already hold
+(``run_dedup``); inside a watermark ``dropDuplicatesWithinWatermark`` does.  Daily
+vector sums keep one vector a day.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import news as N
 
@@ -56,30 +58,47 @@ def dedup_within(stream: DataFrame, keys, ts: str, watermark: str) -> DataFrame:
 def run_dedup(stream: DataFrame, out: str, checkpoint: str, keys=("day", "headline"), month_of: str = "day"):
     """Exact dedup of all available rows, month by month, without keys in the state store; returns the finished query.
 
-    A batch keeps its first rows per key (by source rank and row number), leaves out those whose key an earlier batch has
-    published, and writes the rest under its own number: ``out/batch=N/ym=YYYY-MM``.  Only the months of the batch are read
-    back.  A batch that runs again after a failure replaces its own output, so rows are published once.
+    A batch keeps its first rows per key (by source rank and row number) beside the checkpoint, whatever was published
+    before, so its cost follows its own size.  When the stream has no more to read, ``publish_first`` compares all batches of
+    the run with each other and with the published months at once.
     """
-    keys = list(keys)
-
-    def publish(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        first = N.dedup_news(batch, keys).withColumn("ym", F.date_format(month_of, "yyyy-MM")).persist()
-        try:
-            if number and not first.isEmpty():
-                published = spark.read.schema(first.schema.add("batch", "long")).parquet(out).filter(F.col("batch") < number)
-                theirs = published.join(first.select("ym").distinct(), "ym", "left_semi").select(*keys)
-                first.join(theirs, keys, "left_anti").write.mode("overwrite").partitionBy("ym").parquet(f"{out}/batch={number}")
-            else:
-                first.write.mode("overwrite").partitionBy("ym").parquet(f"{out}/batch={number}")
-        finally:
-            first.unpersist()
-
-    q = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    keys, arrived = list(keys), f"{checkpoint}/arrived"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        N.dedup_news(batch, keys).write.mode("overwrite").parquet(f"{arrived}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    publish_first(stream.sparkSession, arrived, stream.schema, out, keys, month_of)
     return q
 
 
+def publish_first(spark: SparkSession, arrived: str, schema: T.StructType, out: str, keys: list[str], month_of: str) -> None:
+    """Publish of each key of ``arrived/batch=N`` the row of the earliest batch, unless ``out`` has the key already.
+
+    The rows go to ``out/batch=N/ym=YYYY-MM`` with the number of the last batch; then the arrived rows are deleted.  Only the
+    months of the arrived rows are read back.  A run that failed on the way is made good by the next one: it replaces the
+    output of its own number and leaves out what other numbers hold, so a key is published once.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(arrived)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return
+    rows = (spark.read.schema(schema.add("batch", "long")).parquet(arrived)
+            .withColumn("ym", F.date_format(month_of, "yyyy-MM")))
+    last = max(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder))
+    first = N.dedup_news(rows, keys, order=("batch",)).drop("batch")
+    if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)):
+        months = [r["ym"] for r in rows.select("ym").distinct().collect()]
+        published = (spark.read.schema(schema.add("ym", "string").add("batch", "long")).parquet(out)
+                     .filter((F.col("batch") != last) & (F.col("ym").isin([m for m in months if m]) | F.col("ym").isNull())))
+        theirs = published.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        first = first.join(theirs, same, "left_anti")
+    first.write.mode("overwrite").partitionBy("ym").parquet(f"{out}/batch={last}")
+    fs.delete(folder, True)
+
+
 def _day_end_ms(day) -> int:
     import calendar
 

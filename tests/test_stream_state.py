@@ -40,6 +40,37 @@ def test_dedup_over_batches_equals_batch(spark):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_dedup_reads_published_rows_once_a_run(spark, monkeypatch):
+    day = dt.date(2020, 1, 5)
+    batches = [[("s0", 0, 10 * k + j, day, f"h{(k + j) % 7}", "b") for j in range(4)] for k in range(6)]
+    out, ck, folder = scratch_path(spark, "out"), scratch_path(spark, "ck"), scratch_path(spark, "landing")
+    runs, real = [], ST.publish_first
+    monkeypatch.setattr(ST, "publish_first", lambda *a: (runs.append(1), real(*a)))
+    for k, part in enumerate((batches[:4], batches[4:] + [[("s0", 0, 99, dt.date(2020, 1, 6), "h0", "b")]])):
+        for i, rows in enumerate(part):
+            spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(f"{folder}/batch={k}{i}")
+        q = ST.run_dedup(ST.read_news_stream(spark, folder, max_files=1), out, ck)
+        assert len([p for p in q.recentProgress if p["numInputRows"]]) == len(part)
+    assert len(runs) == 2
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.day.day, r.headline) for r in rows) == [(5, f"h{i}") for i in range(7)] + [(6, "h0")]
+    # Each key's row is that of the earliest batch.
+    seen = {}
+    for r in sum(batches, []):
+        seen.setdefault(r[4], r[2])
+    assert {r.headline: r.row_no for r in rows if r.day == day} == seen
+    # Nothing new: the output stays as it is.
+    ST.run_dedup(ST.read_news_stream(spark, folder, max_files=1), out, ck)
+    assert spark.read.parquet(out).count() == 8
+
+
+def test_dedup_keeps_one_row_of_a_null_key(spark):
+    batches = [[("s0", 0, 1, dt.date(2020, 1, 5), None, "b")], [("s0", 0, 2, dt.date(2020, 1, 5), None, "b")]]
+    out, ck = scratch_path(spark, "out"), scratch_path(spark, "ck")
+    ST.run_dedup(ST.read_news_stream(spark, landed(spark, batches, COLUMNS), max_files=1), out, ck)
+    assert spark.read.parquet(out).count() == 1
+
+
 class _progress:
     def __init__(self, p):
         self.stateOperators = (p if isinstance(p, dict) else json.loads(p.json)).get("stateOperators", [])
