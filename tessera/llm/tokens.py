@@ -37,13 +37,15 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS, SAMPLE_IDS = 1000, 20_000
 SHARD_BYTES = 4_000_000
 # Rows of a batch between Spark and Python: of texts, and of shards.
-TEXT_ROWS, SHARD_ROWS = 2000, 2
+TEXT_ROWS, SHARD_ROWS = 1000, 2
 BROADCAST_SHARDS = 500_000
 
 
 # Pieces of text whose ids a worker remembers between batches and tasks, by tokenizer file; bounds its memory.
 MEMORY_PIECES = 400_000
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
+# New pieces that a worker encodes at once.
+FRESH_PIECES = 20_000
 _MEMORY: dict[str, PieceIds] = {}
 
 # Letters beyond ASCII that the direct path takes: Latin-1 and Latin Extended-A, without signs and irregular letters.
@@ -68,7 +70,7 @@ class PieceIds:
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.table = {ord(c): spell(c)[0][0] for c in _LATIN.lower()}
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.first, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
 
     def ids_of(self, pieces: list[str]) -> list[list[int]]:
@@ -110,24 +112,27 @@ class PieceIds:
             blank = pc.replace_substring_regex(pc.ascii_lower(blank), "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,]) ", "\\1 \\2 ")
         lists = pc.split_pattern(blank, " ")
         words = lists.flatten().dictionary_encode()
-        pieces = words.dictionary.to_pylist()
-        at = list(map(self.known.get, pieces))
+        at = pc.index_in(words.dictionary, value_set=self.known)
         first, size, flat = self.first, self.size, self.flat
-        if new := [k for k, i in enumerate(at) if i is None]:
-            fresh = [pieces[k] for k in new]
-            found = self.ids_of(fresh)
-            more = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+        if at.null_count:
+            fresh = words.dictionary.filter(pc.is_null(at))
+            sizes, parts = [size], [flat]
+            for k in range(0, len(fresh), FRESH_PIECES):
+                found = self.ids_of(fresh.slice(k, FRESH_PIECES).to_pylist())
+                sizes.append(np.fromiter(map(len, found), dtype=np.int32, count=len(found)))
+                parts.append(np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(sizes[-1].sum())))
+            more = np.concatenate(sizes[1:])
             first = np.concatenate([first, len(flat) + np.cumsum(more, dtype=np.int64) - more])
-            flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(more.sum()))])
-            size = np.concatenate([size, more])
+            size, flat = np.concatenate(sizes), np.concatenate(parts)
             base = len(self.known)
-            for i, k in enumerate(new):
-                at[k] = base + i
-            if base + len(new) <= MEMORY_PIECES:  # frequent pieces come early; beyond that a piece is learned for its batch
-                self.known.update(zip(fresh, range(base, base + len(new))))
+            at = at.to_numpy(zero_copy_only=False)
+            new = np.isnan(at)
+            at[new] = np.arange(base, base + len(fresh))
+            if base + len(fresh) <= MEMORY_PIECES:  # frequent pieces come early; beyond that a piece is learned for its batch
+                self.known = pa.concat_arrays([self.known, fresh])
                 self.first, self.size, self.flat = first, size, flat
         # Ids of the batch's distinct pieces as an Arrow list array, which then follows the order of the text.
-        number = np.array(at, dtype=np.int64)
+        number = np.asarray(at).astype(np.int64)
         n = size[number]
         ends = np.cumsum(n, dtype=np.int64)
         flat = flat[np.repeat(first[number] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]

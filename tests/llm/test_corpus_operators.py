@@ -356,6 +356,21 @@ def test_near_duplicates_with_null_and_repeated_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_block_pairs_reach_python_in_small_batches(spark, monkeypatch):
+    seen, real = {}, minhash.staged
+
+    def spy(df, name):
+        seen[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "staged", spy)
+    rows = spark.createDataFrame([doc(i, "a b c d e f g h") for i in range(3)], SCHEMA)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    minhash.near_duplicates(rows, width=2).collect()
+    assert seen["links"] * 2 * minhash.BLOCK <= 2_000 < seen["signatures"] * 2 * minhash.BLOCK
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_near_copies_without_ids_are_linked(spark):
     base = [f"x{i}" for i in range(60)]
     rows = [doc(None, " ".join(base)), doc(None, " ".join(base + ["y"])), doc(5, " ".join(base + ["z"])), doc(None, "quite alone")]

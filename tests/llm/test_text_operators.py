@@ -304,6 +304,19 @@ def test_piece_encoder_on_any_text(texts):
     assert [x.tolist() for x in tokens.word_encoder(path)(column)] == [x.tolist() for x in tokens.plain_encoder(path)(column)]
 
 
+def test_new_pieces_are_encoded_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "FRESH_PIECES", 3)
+    monkeypatch.setattr(tokens, "MEMORY_PIECES", 12)
+    encoder = tokens.PieceIds(queries.tokenizer_path())
+    plain = tokens.plain_encoder(queries.tokenizer_path())
+    for k in range(4):  # pieces of the memory, new ones, and those that find no room there
+        column = pa.array([" ".join(f"word{k * j}a Éte{j}," for j in range(k + 3)), None, "", "word0a\n\nword0a"])
+        assert [x.tolist() for x in encoder.encode(column)] == [x.tolist() for x in plain(column)]
+    assert 0 < len(encoder.known) <= 12
+
+
 def test_shards_round_trip(spark, tmp_path):
     texts = ["hello world", "", None, LONG, "hello world", "ünïcode 日本"] + [f"text number {i} of many" for i in range(300)]
     rows = [doc(i * 3 % 1001, t) for i, t in enumerate(texts)] + [doc(None, "no id"), doc(0, "hello world"), doc(0, "another text")]
