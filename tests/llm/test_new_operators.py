@@ -1,6 +1,7 @@
 """Hard negatives, periodic runs and factor dedup against brute force on small fixtures."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import factors, negatives, periods
+from tessera.llm.common import staged
 
 # ------------------------------------------------------------------------------------------------------- hard negatives
 
@@ -221,6 +223,25 @@ def test_factor_dedup_equals_brute_force(spark, monkeypatch, hot, part):
         assert sum(r["n_removed"] > 0 for r in out) > 20
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """The pieces' shuffle files go as the factors are written, though the plan is still referred to."""
+    import time
+
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: store.getAllFiles().mkString("\n")
+    before = set(files().split("\n"))
+    plan = spark.range(20_000).withColumn("h", F.xxhash64("id")).repartition(7, "h")
+    assert staged(plan, "shuffled").count() == 20_000
+    for _ in range(50):
+        left = [f for f in files().split("\n") if "/shuffle_" in f and f not in before]
+        if not left:
+            break
+        time.sleep(0.1)
+    # The count's own shuffle of one row a task may stay.
+    assert sum(os.path.getsize(f) for f in left) < 10_000
+    assert plan.count() == 20_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_factor_dedup_of_an_empty_table(spark):
     out = factors.remove_repeats(spark.createDataFrame([], "doc_id long, text string"))
     assert out.count() == 0 and out.columns == ["doc_id", "n_words", "n_removed", "spans", "kept"]
