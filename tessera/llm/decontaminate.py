@@ -27,6 +27,8 @@ WINDOW = 13
 SHARE = 20
 # Bytes of benchmark words that one automaton takes on average; a larger benchmark is scanned in several automata.
 AUTOMATON_BYTES = 2_000_000
+# Bytes of rows that a task scans at once.
+STEP_BYTES = 1_000_000
 # Windows of a piece of an item.
 PIECE_WINDOWS = 4096
 
@@ -133,30 +135,34 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
+def _scanned(machine, batch: pa.RecordBatch, text_col: str, runs_col: str, items_col: str):
+    """Yield (text, runs, items found) of the rows, with what scans before this one found in them."""
+    for text, r0, i0 in zip(raw_texts(batch, text_col), batch.column(runs_col).to_pylist(), batch.column(items_col).to_pylist()):
+        r, i = scan(machine, text) if machine and text else ([], set())
+        yield text, merged(r + list(zip(r0[::2], r0[1::2]))) if r0 else r, sorted(i | set(i0))
+
+
 def _scan_columns(items: list[tuple[str, bytes]], window: int, text_col: str, runs_col: str, items_col: str):
     def make():
         machine = automaton(items, window)
 
         def step(batch: pa.RecordBatch):
-            runs, names = [], []
-            for text, r0, i0 in zip(raw_texts(batch, text_col), batch.column(runs_col).to_pylist(), batch.column(items_col).to_pylist()):
-                r, i = scan(machine, text) if machine and text else ([], set())
-                r = merged(r + list(zip(r0[::2], r0[1::2]))) if r0 else r
-                runs.append([x for y in r for x in y])
-                names.append(sorted(i | set(i0)))
-            return [runs, names]
+            found = list(_scanned(machine, batch, text_col, runs_col, items_col))
+            return [[[x for y in runs for x in y] for _, runs, _ in found], [names for _, _, names in found]]
         return step
     return make
 
 
-def _finish(text_col: str, runs_col: str, items_col: str):
+def _last_scan(items: list[tuple[str, bytes]], window: int, text_col: str, runs_col: str, items_col: str):
+    """The last scan gives the results at once: one Python worker a task instead of one for the scan and one for them."""
     def make():
+        machine = automaton(items, window)
+
         def step(batch: pa.RecordBatch):
             out = [[], [], [], [], [], []]
-            for text, flat, items in zip(raw_texts(batch, text_col), batch.column(runs_col).to_pylist(), batch.column(items_col).to_pylist()):
-                runs = list(zip(flat[::2], flat[1::2]))
+            for text, runs, names in _scanned(machine, batch, text_col, runs_col, items_col):
                 n, hit = len(words_of(text)), sum(z - a for a, z in runs)
-                row = (n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(),
+                row = (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(),
                        hit > 0 and SHARE * hit >= n, char_spans(text, runs))
                 for column, x in zip(out, row):
                     column.append(x)
@@ -187,10 +193,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for k in range(slices):
         before = found if k else None
         part = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(slices)) == k).collect()
-        found = append_columns(found, _scan_columns([(r["item"], bytes(r["piece"])) for r in part], window, text_col, runs_col, items_col), fields)
-        if slices > 1:
-            found = staged(found, "scanned")
+        args = ([(r["item"], bytes(r["piece"])) for r in part], window, text_col, runs_col, items_col)
+        if k == slices - 1:
+            found = append_columns(found, _last_scan(*args), FIELDS, drop=(runs_col, items_col, *drop), step_bytes=STEP_BYTES)
+        else:
+            found = staged(append_columns(found, _scan_columns(*args), fields, step_bytes=STEP_BYTES), "scanned")
             if before is not None:
                 drop_staged(before)
     drop_staged(pieces)
-    return append_columns(found, _finish(text_col, runs_col, items_col), FIELDS, drop=(runs_col, items_col, *drop))
+    return found

@@ -62,6 +62,14 @@ def test_decontaminate_equals_brute_force(spark):
     assert sorted(map(str, cut.collect())) == sorted(str(r) for r in decontaminate.decontaminate(docs, bench).select("doc_id", "n_hit", "items_sha256", "spans").collect())
 
 
+def test_decontaminate_takes_one_python_worker_a_task(spark):
+    docs = frame(spark, [doc(1, "a b c"), doc(2, None)])
+    bench = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
+    for size in (10_000, 4):
+        plan = decontaminate.decontaminate(docs, bench, automaton_bytes=size)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
 def test_decontaminate_empty_tables_and_clashing_columns(spark):
     docs = frame(spark, [doc(1, "a b c")]).withColumn("n_hit", F.lit("old")).withColumn("_runs", F.lit(1)).withColumn("extra", F.lit(2))
     bench = spark.createDataFrame([], "item_id long, text string")
