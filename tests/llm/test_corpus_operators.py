@@ -440,6 +440,40 @@ def test_long_lists_are_dealt_in_bounded_parts(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs, width=2).collect()), key=str) == brute_components(made, 2)
 
 
+def test_small_components_of_a_group_share_blocks_and_parts(spark):
+    """Neither the block pairs nor the members dealt to parts grow with the square of a group of unlinked alike nodes."""
+    n = 2000
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(50).cast("long").alias("n"))
+    judged = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"), F.lit(40).cast("long").alias("inter"), F.lit(60).cast("long").alias("both"))
+    grouped = spark.createDataFrame([(2 * i + j, 2 * i) for i in range(n // 2) for j in range(2)], "node long, component long")
+    placed = minhash._placed(nodes, judged, grouped)
+    blocks = [r["count"] for r in placed.groupBy("block").count().collect()]
+    assert sum(blocks) == n and len(blocks) <= 8 and max(blocks) <= 2 * minhash.BLOCK
+    # A large component has blocks of its own, long sets make small blocks.
+    grouped = spark.createDataFrame([(i, 0) for i in range(1000)], "node long, component long")
+    placed = minhash._placed(nodes.withColumn("n", F.lit(5000).cast("long")), judged, grouped).collect()
+    assert not {r["block"] for r in placed if r["label"] == 0} & {r["block"] for r in placed if r["label"] != 0}
+    assert len({r["block"] for r in placed}) >= 16
+    lists = spark.createDataFrame([(1, i, 5, i) for i in range(n)], "value long, node long, score long, label long")
+    assert minhash._tiled(lists.join(minhash._mixed(lists), "value")).count() == n
+
+
+def test_block_links_between_two_blocks():
+    """Only links across the two blocks count, also when the matrix is cut."""
+    rng = np.random.default_rng(5)
+    base = [np.sort(rng.integers(0, 1 << 40, 200).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([base[k % 3][rng.random(200) > 0.04], rng.integers(0, 1 << 40, 2).astype(np.uint64)])) for k in range(20)]
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    for width in (4096, 7):
+        minhash.WIDTH, before = width, minhash.WIDTH
+        try:
+            found = minhash._block_links(list(range(20)), list(range(20)), sets, 8)
+        finally:
+            minhash.WIDTH = before
+        assert found and all(i < 8 <= j and alike(i, j) for i, j in found)
+        assert {x for p in found for x in p} == {x for i in range(8) for j in range(8, 20) if alike(i, j) for x in (i, j)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(20)]
