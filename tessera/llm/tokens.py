@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .common import append_columns, arrow_rows, drop_staged, release, staged
+from .common import append_columns, arrow_rows, drop_staged, give_back, release, staged
 
 MAGIC = b"TOKSHRD1"
 LEVEL = 3
@@ -150,6 +150,12 @@ def word_encoder(path: str):
     return _MEMORY[path].encode
 
 
+def forget() -> None:
+    """Drop the encoders that this process keeps: the driver needs one for the dictionary only."""
+    _MEMORY.clear()
+    give_back()
+
+
 def plain_encoder(path: str):
     from tokenizers import Tokenizer
 
@@ -200,7 +206,10 @@ def sample_dictionary(docs: DataFrame, encoder, end_id: int, width: int, id_col:
     if not rows:
         return b""
     found = encoder()(pa.array([r["t"] for r in rows], pa.string()))
-    return train_dictionary([packed(np.append(x[:SAMPLE_IDS], end_id), width) for x in found])
+    made = train_dictionary([packed(np.append(x[:SAMPLE_IDS], end_id), width) for x in found])
+    del rows, found
+    forget()
+    return made
 
 
 def encoded(docs: DataFrame, encoder, dictionary: bytes, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import append_columns, fit_rows, logistic, texts
+from .common import append_columns, fit_rows, give_back, logistic, texts
 
 # Bounds of the fit sample: labelled rows per class and characters per text.
 FIT_ROWS, FIT_CHARS = 2000, 20_000
@@ -254,7 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         weights[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     else:
         weights = logistic(x, target, weight, ridge=1e-4)
-    return Model(lexicon.terms, lexicon.stems, weights)
+    model = Model(lexicon.terms, lexicon.stems, weights)
+    del sample, rows, lexicon, x
+    give_back()  # the driver goes on with the other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, spans: bool = False,

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from tessera.llm import tokens, toxicity
 from tessera.llm.common import staged
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -84,6 +86,18 @@ def test_stages_one_by_one(spark, tables):
     assert len(out) == sum(times.values()) and all(r["n_tokens"] >= 1 for r in out)
 
 
+def test_driver_gives_back_what_fits_held(spark, tables, monkeypatch):
+    folder, docs = tables
+    freed = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: freed.append("toxicity"))
+    monkeypatch.setattr(tokens, "give_back", lambda: freed.append("tokens"))
+    given = spark.createDataFrame(docs, COLUMNS)
+    toxicity.fit(given, spark.read.parquet(f"{folder}/labels.parquet"))
+    monkeypatch.setitem(tokens._MEMORY, "an encoder", object())
+    tokens.sample_dictionary(given, lambda: lambda c: [np.arange(20) for _ in c], 2, 2, "doc_id", "text")
+    assert freed == ["toxicity", "tokens"] and not tokens._MEMORY
+
+
 def test_whole_pipeline_and_empty_tables(spark, tables, tmp_path):
     folder, docs = tables
     assert P.run(spark, folder).count() > 100
