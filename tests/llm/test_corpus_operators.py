@@ -458,6 +458,31 @@ def test_small_components_of_a_group_share_blocks_and_parts(spark):
     assert minhash._tiled(lists.join(minhash._mixed(lists), "value")).count() == n
 
 
+def test_hubs_and_equal_lists_are_not_dealt(spark):
+    """A hub has met its list; lists of the same other members are one, those of one component beside the hub are none."""
+    rows = [(1, 1, 5, 1), (1, 2, 5, 2), (1, 9, 9, 9), (2, 1, 5, 1), (2, 2, 5, 2), (2, 8, 9, 8),
+            (3, 1, 5, 1), (3, 3, 5, 1), (3, 9, 9, 9), (4, 1, 5, 1), (4, 9, 9, 9), (5, 1, 5, 1), (5, 2, 5, 2), (5, 4, 6, 2), (5, 9, 9, 2)]
+    lists = spark.createDataFrame(rows, "value long, node long, score long, label long")
+    got = {r["value"]: r for r in minhash._mixed(lists).collect()}
+    assert set(got) == {1, 5} and (got[1]["hub"], got[1]["lead"]) == (9, 9)
+    assert (got[5]["hub"], got[5]["major"], got[5]["tiles"], got[5]["chunks"]) == (9, 2, 1, 1)
+
+
+def test_block_pairs_share_cells(spark, monkeypatch):
+    """Blocks that all meet each other are sent once a cell, not once a pair, and every pair has its two blocks there."""
+    monkeypatch.setattr(minhash, "SIDE", 100)
+    n = 40
+    pairs = {(x, y) for x in range(n) for y in range(x, n)} | {(100, 101)}
+    block_pairs = spark.createDataFrame(sorted(pairs), "x long, y long")
+    inside = block_pairs.selectExpr("explode(array(x, y)) as block").distinct().selectExpr("block", "10L as n", "explode(sequence(1, 10)) as node")
+    cells = {}
+    for r in minhash._in_cells(block_pairs, inside).collect():
+        cells.setdefault((r["p"], r["q"]), {})[r["block"]] = r["others"]
+    found = [(x, y) for held in cells.values() for x, others in held.items() for y in others]
+    assert sorted(found) == sorted(pairs) and all(y in held for held in cells.values() for others in held.values() for y in others)
+    assert sum(map(len, cells.values())) <= len(pairs) / 2
+
+
 def test_block_links_between_two_blocks():
     """Only links across the two blocks count, also when the matrix is cut."""
     rng = np.random.default_rng(5)
