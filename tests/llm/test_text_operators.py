@@ -325,6 +325,24 @@ def test_new_pieces_are_encoded_in_parts(monkeypatch):
     assert 0 < len(encoder.known) <= 12
 
 
+@pytest.mark.parametrize("codes", ["own", "all equal"])
+def test_known_pieces_are_found_by_their_text(monkeypatch, codes):
+    import pyarrow as pa
+
+    if codes != "own":
+        monkeypatch.setattr(tokens, "_codes", lambda pieces: np.zeros(len(pieces), dtype=np.uint64))
+    encoder = tokens.PieceIds(queries.tokenizer_path())
+    plain = tokens.plain_encoder(queries.tokenizer_path())
+    asked, real = [], encoder.ids_of
+    monkeypatch.setattr(encoder, "ids_of", lambda pieces: asked.extend(pieces) or real(pieces))
+    first = pa.array(["one two,$$$ three!! it's&&& one's ~two~ " + "long" * 40 + "|", "", None])
+    second = pa.array(["x", "two three.% one### " + "long" * 40 + " three&&&* it's. ('ve)) d's]] o''re"]).slice(1)
+    for column in (first, second, first):
+        assert [x.tolist() for x in encoder.encode(column)] == [x.tolist() for x in plain(column)]
+    if codes == "own":  # signs at the end are pieces of their own, and no piece is encoded again
+        assert {"two", ",$$$", "three", "!!"} <= set(asked) and len(asked) == len(set(asked)) == len(encoder.known)
+
+
 def test_shards_round_trip(spark, tmp_path):
     texts = ["hello world", "", None, LONG, "hello world", "ünïcode 日本"] + [f"text number {i} of many" for i in range(300)]
     rows = [doc(i * 3 % 1001, t) for i, t in enumerate(texts)] + [doc(None, "no id"), doc(0, "hello world"), doc(0, "another text")]
