@@ -347,6 +347,27 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, width)
 
 
+def test_near_duplicates_in_shares_equal_brute_force(spark, monkeypatch):
+    """Many lists, tiles and cells beyond what goes at once: every share is worked on, with the same result."""
+    rng = random.Random(3)
+    rows = near_copies(rng, n_groups=5, copies=30)
+    boiler = " ".join(words(rng, 30, 5000))
+    rows += [doc(1000 + i, boiler + " " + " ".join(words(rng, 60, 5000))) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    count, real = {}, minhash.staged
+
+    def spy(df, name):
+        count[name] = count.get(name, 0) + 1
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "staged", spy)
+    want = brute_components(rows, 2)
+    for name, value in (("DEALT", 0), ("FEW", 600), ("HELD", 1 << 40), ("TILE", 16), ("BLOCK", 16), ("SIDE", 32)):
+        monkeypatch.setattr(minhash, name, value)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, width=2).collect()), key=str) == want
+    assert count["blockpairs"] > 2 and count["celllinks"] > 1  # the shares and their union; the cells
+
+
 def test_near_duplicates_with_null_and_repeated_rows(spark):
     text = " ".join(f"x{i}" for i in range(50))
     rows = [doc(5, text), doc(5, text), doc(None, text), doc(9, text + " y"), doc(None, "alone"), doc(None, None), doc(7, None)]
